@@ -36,26 +36,22 @@ def base_name(signature: Column) -> Column:
     return F.substring_index(signature, "(", 1)
 
 
-def category(name: Column, prefixes: PrefixLists = PrefixLists()) -> Column:
-    """Category of a method name by its first matching prefix."""
-    lowered = F.lower(name)
+def _by_prefix(name: Column, prefixes: PrefixLists, values: dict[str, str]) -> Column:
     out = None
     for label, words in prefixes.by_category():
-        hit = F.lit(False)
-        for word in words:
-            hit = hit | lowered.startswith(word)
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out.otherwise(fixed.OTHER)
+        hit = F.lower(name).rlike(r"\A(?:" + "|".join(rf"\Q{w}\E" for w in words) + ")")
+        out = F.when(hit, values[label]) if out is None else out.when(hit, values[label])
+    return out.otherwise(values[fixed.OTHER])
 
 
-def verb(category_name: Column) -> Column:
-    out = None
-    for label, word in fixed.VERBS.items():
-        if label == fixed.OTHER:
-            continue
-        hit = category_name == label
-        out = F.when(hit, word) if out is None else out.when(hit, word)
-    return out.otherwise(fixed.VERBS[fixed.OTHER])
+def category(name: Column, prefixes: PrefixLists = PrefixLists()) -> Column:
+    """Category of a method name by its first matching prefix."""
+    return _by_prefix(name, prefixes, {c: c for c in (*fixed.CATEGORIES, fixed.OTHER)})
+
+
+def verb(name: Column, prefixes: PrefixLists = PrefixLists()) -> Column:
+    """HTTP verb of a method name's category."""
+    return _by_prefix(name, prefixes, fixed.VERBS)
 
 
 def safe_name(text: Column) -> Column:
@@ -73,10 +69,9 @@ def task_id(class_fqn: Column, method: Column, created_at: Column) -> Column:
 
 def class_folder(class_fqn: Column) -> Column:
     """Folder of a class: one level per package and class name."""
-    named = F.when(is_blank(class_fqn), F.lit("UnknownClass")).otherwise(class_fqn)
-    parts = F.filter(F.split(F.replace(named, F.lit("$"), F.lit(".")), r"\.", -1), lambda p: ~is_blank(p))
+    parts = F.filter(F.split(class_fqn, r"[.$]", -1), lambda p: ~is_blank(p))
     parts = F.transform(parts, lambda p: F.regexp_replace(p, "[^a-zA-Z0-9_-]", "_"))
-    return F.when(F.size(parts) == 0, F.lit("UnknownClass")).otherwise(F.array_join(parts, "/"))
+    return F.coalesce(F.nullif(F.array_join(parts, "/"), F.lit("")), F.lit("UnknownClass"))
 
 
 def relative_path(
@@ -118,16 +113,20 @@ def strip_think(text: Column) -> Column:
     return trim_all(F.regexp_replace(text, r"(?is)<\s*think\s*>.*?<\s*/\s*think\s*>", ""))
 
 
+# A text whose first line opens a fence and whose last line closes it.
+_IN_LINE = r"[\p{Z}\t\x0B\f\x1C-\x1F]*"
+_EDGE = r"[\x{FEFF} \n\r\t]*"
+_NEW_LINE = r"(?:\r\n|\n|\r)"
+FENCED = (
+    rf"(?s)\A{_EDGE}{_IN_LINE}```(?i:markdown|md|html|json|text)?{_IN_LINE}{_NEW_LINE}"
+    rf"(?:(.*?){_NEW_LINE})?{_IN_LINE}```{_IN_LINE}{_EDGE}\z"
+)
+
+
 def unwrap_fence(text: Column) -> Column:
     """Take off one code fence around the whole text; other texts stay as they are."""
-    edge = r"[\x{FEFF} \n\r\t]"
-    core = F.regexp_replace(F.regexp_replace(text, r"\A" + edge + "+", ""), edge + r"+\z", "")
-    lines = split_lines(core)
-    opening = trim_all(F.element_at(lines, 1)).rlike(r"\A```(?i:markdown|md|html|json|text)?\s*\z")
-    closing = trim_all(F.element_at(lines, -1)).rlike(r"\A```\s*\z")
-    body = trim_end(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0))), "\n"))
-    fenced = core.startswith("```") & (F.size(lines) >= 2) & opening & closing
-    return F.when(fenced, body).otherwise(text)
+    body = F.regexp_replace(F.regexp_extract(text, FENCED, 1), LINE_BREAK, "\n")
+    return F.when(text.rlike(FENCED), trim_end(body)).otherwise(text)
 
 
 def clean_entities(text: Column) -> Column:

@@ -14,7 +14,7 @@ from scribeloom.options import PrefixLists
 def stub_documents(entries: DataFrame, prefixes: PrefixLists = PrefixLists()) -> DataFrame:
     """The placeholder document of each entry, made from its name alone."""
     name = text.base_name(F.col("method"))
-    verb = text.verb(text.category(name, prefixes))
+    verb = text.verb(name, prefixes)
     markdown = F.concat_ws(
         "\n",
         F.concat(F.lit(fixed.STUB_NAME), F.col("class_fqn"), F.lit("."), name, F.lit(fixed.INFERRED)),

@@ -13,13 +13,11 @@ OUTPUT_FOLDERS = {"docs": ("md", "doc"), "md": ("md",)}
 
 def file_stem(path: Column) -> Column:
     """File name without folders and extension."""
-    name = F.substring_index(path, "/", -1)
-    return F.substring(name, F.lit(1), F.length(name) - F.length(F.substring_index(name, ".", -1)) - 1)
+    return F.regexp_replace(F.regexp_extract(path, r"[^/]*\z", 0), r"\.[^.]*\z", "")
 
 
 def extension(path: Column) -> Column:
-    name = F.substring_index(path, "/", -1)
-    return F.when(F.instr(name, ".") > 0, F.lower(F.substring_index(name, ".", -1))).otherwise("")
+    return F.lower(F.regexp_extract(path, r"\.([^./]*)\z", 1))
 
 
 def counts_as_output(relative: Column) -> Column:
@@ -32,29 +30,29 @@ def counts_as_output(relative: Column) -> Column:
 
 
 def _index_rows(files: DataFrame) -> DataFrame:
-    stem = text.drop_time_suffix(file_stem(F.col("path")))
-    cut = F.instr(F.col("stem"), "_")
-    head = F.substring(F.col("stem"), F.lit(1), cut - 1)
-    tail = F.substring(F.col("stem"), cut + 1, F.length("stem"))
-    rows = files.select("path", stem.alias("stem")).select(
+    """Class and method part of each file name, and whether they are usable.
+
+    Built in steps that each use the step before by name; the last one is
+    exploded, so that a filter on it does not compute the names again.
+    """
+    stems = files.select("path", text.drop_time_suffix(file_stem(F.col("path"))).alias("stem"))
+    cut = F.instr("stem", "_")
+    parts = stems.select(
         "path",
-        F.when(cut <= 1, F.col("stem")).otherwise(head).alias("class_fqn"),
-        F.when(cut > 1, tail).alias("tail"),
+        F.when(cut <= 1, F.col("stem")).otherwise(F.substring_index("stem", "_", 1)).alias("class_fqn"),
+        F.when(cut > 1, F.substring(F.col("stem"), cut + 1, F.length("stem"))).alias("tail"),
     )
     is_class = F.col("tail").isNull() | (F.lower("tail") == fixed.CLASS_TASK.lower())
-    key = F.when(~is_class, F.col("tail"))
-    name = F.substring_index(key, "_", 1)
-    usable = F.contains(F.col("class_fqn"), F.lit(".")) & (
-        is_class | ~text.is_blank(F.substring_index(F.col("tail"), "_", 1))
-    )
-    return rows.select(
-        "path",
+    base = F.substring_index("tail", "_", 1)
+    usable = F.contains(F.col("class_fqn"), F.lit(".")) & (is_class | ~text.is_blank(base))
+    row = F.struct(
         "class_fqn",
-        key.alias("method_key"),
-        name.alias("base_name"),
+        F.when(~is_class, F.col("tail")).alias("method_key"),
+        F.when(~is_class, base).alias("base_name"),
         F.when(is_class, "CLASS").otherwise("METHOD").alias("kind"),
         F.coalesce(usable, F.lit(False)).alias("usable"),
     )
+    return parts.select("path", F.explode(F.array(row)).alias("r")).select("path", "r.*")
 
 
 def output_index(files: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def placeholders(prefixes: PrefixLists = PrefixLists()) -> list[tuple[str, Colum
         ("${ENTRY_CLASS_FQN}", F.col("class_fqn")),
         ("${ENTRY_METHOD}", F.col("method")),
         ("${ENTRY_METHOD_BASE}", name),
-        ("${HTTP_METHOD}", text.verb(text.category(name, prefixes))),
+        ("${HTTP_METHOD}", text.verb(name, prefixes)),
         ("${CONTEXT}", F.col("context")),
     ]
 

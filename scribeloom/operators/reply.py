@@ -34,10 +34,7 @@ def read_replies(replies: DataFrame) -> DataFrame:
     )
 
 
-def clean_text(content: Column) -> Column:
-    """Take off think blocks, then a fence around the whole text."""
-    return text.unwrap_fence(text.strip_think(content))
-
-
 def clean_replies(replies: DataFrame) -> DataFrame:
-    return replies.withColumn("markdown", clean_text(F.col("content")))
+    """Take off think blocks, then a fence around the whole text."""
+    told = replies.withColumn("markdown", text.strip_think(F.col("content")))
+    return told.withColumn("markdown", text.unwrap_fence(F.col("markdown")))

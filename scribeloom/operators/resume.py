@@ -14,38 +14,33 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     A key is a signature, a bare method name, or CLASS.
     """
-    trimmed = text.trim_all(F.col("line"))
-    rows = lines.select("line_no", trimmed.alias("line")).where(
+    kept = lines.select("line_no", text.trim_all(F.col("line")).alias("line")).where(
         (F.col("line") != "") & ~F.col("line").startswith("#")
     )
-    # Endings taken off in turn, each at most once.
-    bare = F.col("line")
-    for ending in (".md", ".doc", ".txt"):
-        bare = F.when(
-            bare.endswith(ending), F.substring(bare, F.lit(1), F.length(bare) - len(ending))
-        ).otherwise(bare)
-    rows = rows.select("line_no", text.drop_time_suffix(bare).alias("s"))
-
-    parts = F.split("s", "#", -1)
-    hash_class = text.trim_all(F.get(parts, F.lit(0)))
-    hash_method = text.trim_all(F.get(parts, F.lit(1)))
-    by_hash = F.coalesce((F.size(parts) > 1) & (hash_class != "") & (hash_method != ""), F.lit(False))
-
-    tail = F.substring_index("s", ".", -1)
-    package_len = F.length("s") - F.length(tail) - 1
-    package = F.substring(F.col("s"), F.lit(1), package_len)
-    cut = F.instr(tail, "_")
-    simple = F.substring(tail, F.lit(1), cut - 1)
-    base = F.substring_index(F.substring(tail, cut + 1, F.length(tail)), "_", 1)
-    file_class = F.when(cut > 1, F.concat_ws(".", package, simple)).otherwise(F.col("s"))
+    # Fixed value: endings taken off the end in the order .md, .doc, .txt.
+    bare = F.regexp_replace("line", r"(?:\.txt)?(?:\.doc)?(?:\.md)?\z", "")
+    names = kept.select("line_no", text.drop_time_suffix(bare).alias("s"))
+
+    hash_parts = F.split("s", "#", -1)
+    parts = names.select(
+        "line_no", "s",
+        text.trim_all(F.get(hash_parts, F.lit(0))).alias("hash_class"),
+        text.trim_all(F.get(hash_parts, F.lit(1))).alias("hash_method"),
+        F.substring_index("s", ".", -1).alias("tail"),
+    )
+    by_hash = F.coalesce((F.col("hash_class") != "") & (F.col("hash_method") != ""), F.lit(False))
+    # A file name: the class ends at the first underscore behind the last dot.
+    package_len = F.length("s") - F.length("tail") - 1
+    cut = F.instr("tail", "_")
+    base = F.substring_index(F.substring(F.col("tail"), cut + 1, F.length("tail")), "_", 1)
+    file_class = F.when(cut > 1, F.substring(F.col("s"), F.lit(1), package_len + cut)).otherwise(F.col("s"))
     file_key = F.when(cut > 1, base).otherwise(fixed.CLASS_TASK)
     by_file = (package_len > 0) & ((cut <= 1) | ~text.is_blank(base))
-
-    return rows.select(
-        "line_no",
-        F.when(by_hash, hash_class).when(by_file, file_class).alias("class_fqn"),
-        F.when(by_hash, hash_method).when(by_file, file_key).alias("method_key"),
-    ).where(F.col("class_fqn").isNotNull())
+    found = (
+        F.when(by_hash, F.array(F.struct(F.col("hash_class").alias("class_fqn"), F.col("hash_method").alias("method_key"))))
+        .when(by_file, F.array(F.struct(file_class.alias("class_fqn"), file_key.alias("method_key"))))
+    )
+    return parts.select("line_no", F.explode(found).alias("p")).select("line_no", "p.*")
 
 
 def is_class_key(key: Column) -> Column:

@@ -26,7 +26,10 @@ def queue_batch(
     """Tasks for the entries that have no document and are not queued yet; an
     entry that comes twice in the batch is taken once."""
     key = ["class_fqn", "method"]
-    todo = skip_done_methods(entries, index).dropDuplicates(key)
+    rest = [c for c in entries.columns if c not in key]
+    first = F.min_by(F.struct(*rest), F.struct("file", "line"))  # the same one in a rerun
+    once = entries.groupBy(*key).agg(first.alias("e")).select(*key, "e.*")
+    todo = skip_done_methods(once, index)
     if queued is not None:
         todo = todo.join(queued.select(*key).distinct(), key, "left_anti")
     return new_tasks(todo, created_at)
