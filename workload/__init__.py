@@ -1,8 +1,8 @@
 """Queries on the given tables: each a Spark function and, where SQL can say
 it, the same in SQL."""
 
-from workload import selection
+from workload import context, selection
 
 ALL = {}
-for part in (selection,):
+for part in (selection, context):
     ALL.update(part.QUERIES)
