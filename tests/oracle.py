@@ -33,7 +33,7 @@ def plain(df: pd.DataFrame) -> pd.DataFrame:
         col = df[c]
         if pd.api.types.is_datetime64_any_dtype(col):
             col = col.astype("datetime64[us]").astype(str)
-        out[c] = [None if x is None or x != x else x for x in col.astype(object)]
+        out[c] = [None if pd.isna(x) else x for x in col.astype(object)]
     rows = pd.DataFrame(out, columns=df.columns, dtype=object)
     return rows.sort_values(by=list(rows.columns), key=lambda s: s.map(repr)).reset_index(drop=True)
 
