@@ -52,7 +52,7 @@ def _index_rows(files: DataFrame) -> DataFrame:
         F.when(is_class, "CLASS").otherwise("METHOD").alias("kind"),
         F.coalesce(usable, F.lit(False)).alias("usable"),
     )
-    return parts.select("path", F.explode(F.array(row)).alias("r")).select("path", "r.*")
+    return parts.select("path", text.rows_of(F.array(row)).alias("r")).select("path", "r.*")
 
 
 def output_index(files: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         F.when(by_hash, F.array(F.struct(F.col("hash_class").alias("class_fqn"), F.col("hash_method").alias("method_key"))))
         .when(by_file, F.array(F.struct(file_class.alias("class_fqn"), file_key.alias("method_key"))))
     )
-    return parts.select("line_no", F.explode(found).alias("p")).select("line_no", "p.*")
+    rows = parts.select("line_no", text.rows_of(found).alias("p")).where(F.col("p").isNotNull())
+    return rows.select("line_no", "p.*")
 
 
 def is_class_key(key: Column) -> Column:
@@ -63,7 +64,7 @@ def resolve(lines: DataFrame, entries: DataFrame) -> DataFrame:
     class_names = keys.where(F.col("resume_key") == fixed.CLASS_TASK).drop("resume_key")
 
     names = F.array(F.col("method"), text.base_name(F.col("method")))
-    asked = entries.withColumn("resume_key", F.explode(F.array_distinct(names))).join(
+    asked = entries.withColumn("resume_key", text.rows_of(F.array_distinct(names))).join(
         method_names, ["class_fqn", "resume_key"]
     )
     rest = [c for c in entries.columns if c not in ("class_fqn", "method", "scope")]

@@ -87,43 +87,49 @@ def salts_for(spark: SparkSession) -> int:
     return max(2, min(256, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def find_hot(
+    df: DataFrame, on: Sequence[str], share: int = HOT_SHARE, floor: int = HOT_FLOOR, rows: int | None = None
+) -> DataFrame | None:
+    """The hot keys as a small local frame, or None. `rows` is the number of
+    rows if known: below the floor there is nothing to count."""
+    if rows is not None and rows < floor:
+        return None
+    found = hot_keys(df, on, share, floor).collect()  # fewer than `share` rows
+    if not found:
+        return None
+    return df.sparkSession.createDataFrame(found, df.select(*on).schema)
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    share: int = HOT_SHARE,
-    floor: int = HOT_FLOOR,
+    hot_left: DataFrame | None = None,
+    hot_right: DataFrame | None = None,
     spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Join in which the hot keys of `left` are spread over many tasks.
+    """Join in which the rows of hot keys, as `find_hot` gives them, are spread
+    over many tasks.
 
-    Rows of a hot key get a salt on the left; their partners on the right are
+    Rows of a hot key of `left` get a salt; their partners on the right are
     repeated once per salt. Other keys are joined as usual. For an inner join
-    the hot keys of `right` are spread in the same way. The frames should be
-    cheap to scan twice; `spread_by` names the left columns the salt is
+    hot keys of `right` are spread in the same way; other joins need a right
+    side that is unique by key. `spread_by` names the left columns the salt is
     computed from (all by default).
     """
     on = list(on)
-    salts = salts_for(left.sparkSession)
-    hot_left = _hot_on_driver(left, on, share, floor)
-    hot_right = _hot_on_driver(right, on, share, floor) if how == "inner" else None
     if hot_left is None and hot_right is None:
         return left.join(right, on, how)
-
+    if hot_right is not None and how != "inner":
+        raise ValueError("the right side can be spread in an inner join only")
+    salts = salts_for(left.sparkSession)
     left, right = _spread(left, right, on, hot_left, "_salt_l", salts, spread_by or left.columns)
     right, left = _spread(right, left, on, hot_right, "_salt_r", salts, right.columns)
     joined = left.join(right, [*on, "_salt_l", "_salt_r"], how)
     return joined.drop("_salt_l", "_salt_r")
 
 
-def _hot_on_driver(df: DataFrame, on: list[str], share: int, floor: int) -> DataFrame | None:
-    rows = hot_keys(df, on, share, floor).collect()  # fewer than `share` rows
-    if not rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.select(*on).schema)
-
-
 def _spread(
     big: DataFrame, other: DataFrame, on: list[str], hot: DataFrame | None,
     name: str, salts: int, columns: Sequence[str],
@@ -139,7 +145,7 @@ def _spread(
     )
     repeated = (
         other.join(flagged, on, "left")
-        .withColumn(name, F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
+        .withColumn(name, F.explode_outer(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
         .drop("_hot")
     )
     return salted, repeated

@@ -69,7 +69,7 @@ def output_rows(documents: DataFrame, options: OutputOptions = OutputOptions())
     if not files:
         files = [F.lit(None).cast("struct<kind:string,path:string,content:string>")]
     return (
-        documents.select("task_id", "module", F.explode(F.array(*files)).alias("f"))
+        documents.select("task_id", "module", text.rows_of(F.array(*files)).alias("f"))
         .where(F.col("f").isNotNull() & F.col("f.content").isNotNull())
         .select("task_id", F.coalesce("module", F.lit("none")).alias("module"), "f.*")
     )

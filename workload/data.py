@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribeloom.functions.text import split_lines
+from scribeloom.functions.text import rows_of, split_lines
 
 SETTING = "@the, lib.and;org.lib.of\n@la\ten"
 CLASS_SETTING = "the;org.lang.de lang.fr"
@@ -41,11 +41,13 @@ def source_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per line with the line that follows it. The rows carry no arrays."""
     docs = documents(spark, folder).withColumn("l", split_lines(F.col("text")))
-    return docs.select(
+    rows = docs.select(
         "doc_id", "lang", "file", F.size("l").alias("n"),
-        F.posexplode("l").alias("pos", "ln"), F.get("l", F.col("pos") + 1).alias("next_ln"),
-    ).withColumn("k", F.col("pos") + 1).drop("pos")
+        F.transform("l", lambda x, i: F.struct((i + 1).alias("k"), x.alias("ln"), F.get("l", i + 1).alias("next_ln"))).alias("r"),
+    )
+    return rows.select("doc_id", "lang", "file", "n", rows_of(F.col("r")).alias("r")).select("doc_id", "lang", "file", "n", "r.*")
 
 
 def _sig(line, lang, k):
@@ -107,7 +109,7 @@ def type_refs(spark: SparkSession, folder: str) -> DataFrame:
     refs = docs.select(
         _class(F.col("doc_id")).alias("class_fqn"), F.lit(None).cast("string").alias("method_sig"),
         F.lit(0).alias("ref_ord"),
-        F.explode(F.array(
+        rows_of(F.array(
             ref("super", F.length(F.get("l", F.lit(0)))), ref("interface", F.size("l")),
             ref("field", F.length(F.element_at("l", -1))),
         )).alias("r"),

@@ -197,9 +197,8 @@ def numbered_lines(spark, folder):
 
 
 def anchor_lines(spark, folder):
-    return locate.anchor_lines(
-        locate.anchors(data.entries(spark, folder)), locate.file_lines(data.source_files(spark, folder))
-    )
+    anchored = locate.anchors(data.entries(spark, folder))
+    return locate.anchor_lines(anchored, locate.file_lines(data.source_files(spark, folder)), one_each=True)
 
 
 NAMES = r"""
