@@ -27,6 +27,8 @@ def session_conf(cores: int | None = None) -> dict[str, str]:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Requests and replies may be long: keep the batches sent to Python small.
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
