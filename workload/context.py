@@ -10,7 +10,7 @@ from scribeloom.operators import bundle, generate, graph, index, locate, prompt,
 from scribeloom.options import ContextOptions, PromptOptions
 from workload import data
 from workload.data import CALL_EDGES, CLASSES, SRC, TAGGED, TYPE_EDGES, literal, sql
-from workload.selection import CATEGORY, WANTED, WORDS, symbol_entries
+from workload.selection import CATEGORY, WANTED, WORDS
 
 LIMIT = 2000
 CONTEXT = ContextOptions(type_depth=2, called_depth=3, max_chars=LIMIT)
@@ -22,8 +22,8 @@ def _roots(spark, folder):
     return data.method_rows(spark, folder).select("class_fqn", "method_sig")
 
 
-def _marked(spark, folder):
-    return select.mark_targets(data.classes(spark, folder), data.annotations(spark, folder))
+def _marked(tables):
+    return select.mark_targets(tables["classes"], tables["annotations"])
 
 
 def called_closure(spark, folder):
@@ -54,12 +54,14 @@ def supply_closure(spark, folder):
 
 
 def type_closure(spark, folder):
-    return graph.method_types(data.type_refs(spark, folder), _marked(spark, folder), 2).select("root", "node", "level")
+    t = data.stored(spark, folder, "classes", "annotations", "type_refs")
+    return graph.method_types(t["type_refs"], _marked(t), 2).select("root", "node", "level")
 
 
 def class_types(spark, folder):
+    t = data.stored(spark, folder, "classes", "annotations", "type_refs")
     public = select.with_signature(data.methods(spark, folder)).where("is_public")
-    return graph.class_types(public, data.type_refs(spark, folder), _marked(spark, folder), 2).select("class_fqn", "type_fqn")
+    return graph.class_types(public, t["type_refs"], _marked(t), 2).select("class_fqn", "type_fqn")
 
 
 def graph_size(spark, folder):
@@ -81,19 +83,22 @@ def source_bundles(spark, folder):
 
 
 def method_bundles(spark, folder):
-    entries = symbol_entries(spark, folder).withColumn("entry_id", F.concat_ws("#", "class_fqn", "method"))
+    t = data.stored(spark, folder, "classes", "methods", "annotations", "type_refs", "calls")
+    entries = select.select_entries(t["classes"], t["methods"], t["annotations"], data.SETTING).withColumn(
+        "entry_id", F.concat_ws("#", "class_fqn", "method")
+    )
     found = bundle.method_bundles(
-        entries, data.classes(spark, folder), data.methods(spark, folder), _marked(spark, folder),
-        data.type_refs(spark, folder), data.calls(spark, folder), data.source_files(spark, folder), CONTEXT,
+        entries, t["classes"], t["methods"], _marked(t), t["type_refs"], t["calls"],
+        data.source_files(spark, folder), CONTEXT,
     )
     return found.select("entry_id", "text")
 
 
 def class_bundles(spark, folder):
-    entries = data.classes(spark, folder).select(F.col("class_fqn").alias("entry_id"), "class_fqn")
+    t = data.stored(spark, folder, "classes", "methods", "annotations", "type_refs")
+    entries = t["classes"].select(F.col("class_fqn").alias("entry_id"), "class_fqn")
     found = bundle.class_bundles(
-        entries, data.classes(spark, folder), data.methods(spark, folder), _marked(spark, folder),
-        data.type_refs(spark, folder), data.source_files(spark, folder), CONTEXT,
+        entries, t["classes"], t["methods"], _marked(t), t["type_refs"], data.source_files(spark, folder), CONTEXT
     )
     return found.select("entry_id", "text")
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribeloom.functions.text import rows_of, split_lines
+from scribeloom.scale import materialize
 
 SETTING = "@the, lib.and;org.lib.of\n@la\ten"
 CLASS_SETTING = "the;org.lang.de lang.fr"
@@ -158,6 +159,16 @@ def done_files(spark: SparkSession, folder: str) -> DataFrame:
     return by_method.unionByName(by_class)
 
 
+def stored(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    """Symbol tables written to shared storage, as an indexer leaves them, for
+    jobs that read them many times."""
+    made = {
+        "classes": classes, "methods": methods, "annotations": annotations, "type_refs": type_refs,
+        "calls": calls, "source_files": source_files,
+    }
+    return {name: materialize(made[name](spark, folder), name) for name in names}
+
+
 def task_log(spark: SparkSession, folder: str) -> DataFrame:
     return task_log_of(table(spark, folder, "events"))
 
