@@ -118,17 +118,6 @@ def drop_time_suffix(stem: Column) -> Column:
     return F.regexp_replace(stem, r"_+\p{Nd}*\z", "")
 
 
-def number_text(value: Column) -> Column:
-    """Number with at most four places and no needless zeros."""
-    return F.rtrim(F.rtrim(F.format_string("%.4f", value.cast("double")), F.lit("0")), F.lit("."))
-
-
-def json_string(text: Column) -> Column:
-    """A text as a quoted JSON string."""
-    boxed = F.to_json(F.array(F.coalesce(text, F.lit(""))))
-    return F.substring(boxed, F.lit(2), F.length(boxed) - 2)
-
-
 def strip_think(text: Column) -> Column:
     return trim_all(F.regexp_replace(text, r"(?is)<\s*think\s*>.*?<\s*/\s*think\s*>", ""))
 

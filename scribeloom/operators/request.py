@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribeloom.functions import fixed, text
+from scribeloom.functions import fixed
 from scribeloom.options import RequestOptions
 
 
@@ -24,26 +26,29 @@ def model_of(provider: Column, model: Column) -> Column:
     return F.when((provider == "DEEPSEEK") & ~known, "deepseek-chat").otherwise(model)
 
 
-def request_body(
-    provider: Column, model: Column, prompt: Column, max_tokens: Column, temperature: Column, top_p: Column
-) -> Column:
-    user = F.concat(F.lit('{"role":"user","content":'), text.json_string(prompt), F.lit("}"))
-    system = F.concat(
-        F.lit('{"role":"system","content":'), text.json_string(F.lit(fixed.SYSTEM_MESSAGE)), F.lit("},")
-    )
+def number(value: float) -> int | Decimal:
+    """A number with at most four places and no needless zeros."""
+    rounded = Decimal(repr(float(value))).quantize(Decimal("0.0001"), ROUND_HALF_UP)
+    return int(rounded) if rounded == rounded.to_integral_value() else rounded.normalize()
+
+
+def request_body(provider: Column, model: Column, prompt: Column, options: RequestOptions) -> Column:
+    """Chat body as JSON; fields a provider does not take are null and left out."""
+
+    def message(role: str, content: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), F.coalesce(content, F.lit("")).alias("content"))
+
+    user, system = message("user", prompt), message("system", F.lit(fixed.SYSTEM_MESSAGE))
     is_ollama, is_openai = provider == "OLLAMA", provider == "OPENAI"
-    return F.concat(
-        F.lit('{"model":'), text.json_string(model), F.lit(',"messages":['),
-        F.when(is_ollama, F.lit("")).otherwise(system), user, F.lit('],"stream":false'),
-        F.when(is_openai, F.concat(F.lit(',"max_tokens":'), max_tokens.cast("string"))).otherwise(""),
-        F.when(is_ollama, F.lit("")).otherwise(
-            F.concat(
-                F.lit(',"temperature":'), text.number_text(temperature),
-                F.lit(',"top_p":'), text.number_text(top_p),
-            )
-        ),
-        F.lit("}"),
+    body = F.struct(
+        F.coalesce(model, F.lit("")).alias("model"),
+        F.when(is_ollama, F.array(user)).otherwise(F.array(system, user)).alias("messages"),
+        F.lit(False).alias("stream"),
+        F.when(is_openai, F.lit(options.max_tokens)).alias("max_tokens"),
+        F.when(~is_ollama, F.lit(number(options.temperature))).alias("temperature"),
+        F.when(~is_ollama, F.lit(number(options.top_p))).alias("top_p"),
     )
+    return F.to_json(body, {"ignoreNullFields": "true"})
 
 
 def request_rows(prompts: DataFrame, options: RequestOptions = RequestOptions()) -> DataFrame:
@@ -59,8 +64,5 @@ def request_rows(prompts: DataFrame, options: RequestOptions = RequestOptions())
     rows = rows.withColumn("model", model_of(F.col("provider"), own("model", options.model)))
     return rows.withColumn(
         "body",
-        request_body(
-            F.col("provider"), F.col("model"), F.col("prompt"), F.lit(options.max_tokens),
-            F.lit(options.temperature), F.lit(options.top_p),
-        ),
+        request_body(F.col("provider"), F.col("model"), F.col("prompt"), options),
     )

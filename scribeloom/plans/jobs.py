@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scribeloom.functions import text
 from scribeloom.operators import bundle, index, prompt, reply, request, resume, select, tasks
 from scribeloom.options import Options
+from scribeloom.scale import materialize
 
 
 def scan(
@@ -21,7 +22,8 @@ def scan(
     entries = select.in_module(entries, options.module)
     entries = select.add_category(entries, text.base_name(F.col("method")), options.prefixes)
     entries = select.keep_categories(entries, options.categories, observation)
-    done = index.output_index(output_files)
+    # Stored, so that Spark knows its size and broadcasts it if it is small.
+    done = materialize(index.output_index(output_files), "index")
     if options.per_class:
         todo = index.skip_done_classes(select.class_entries(entries), done)
     else:

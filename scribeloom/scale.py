@@ -5,12 +5,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 # A key is hot if it holds more than 1/HOT_SHARE of the rows, so a table of hot
 # keys never has HOT_SHARE rows or more and is safe to broadcast or collect.
 HOT_SHARE = 64
@@ -68,6 +73,14 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def at_once(spark: SparkSession, *steps: Callable[[], T]) -> list[T]:
+    """Run steps that do not need each other from threads of the driver, so
+    that the cluster can fill idle cores of one with tasks of another."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+        return [s.result() for s in started]
+
+
 def hot_keys(
     df: DataFrame, on: Sequence[str], share: int = HOT_SHARE, floor: int = HOT_FLOOR
 ) -> DataFrame:

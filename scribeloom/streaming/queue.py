@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from scribeloom.operators.index import skip_done_methods
 from scribeloom.operators.tasks import new_tasks
+from scribeloom.scale import materialize
 
 
 def read_queue(spark: SparkSession, path: str) -> DataFrame | None:
@@ -38,7 +39,11 @@ def queue_batch(
 def stream_queue(
     entries: DataFrame, index: DataFrame, path: str, checkpoint: str, created_at: Column | None = None
 ) -> StreamingQuery:
-    """Queue streamed entries into a table, one folder per batch."""
+    """Queue streamed entries into a table, one folder per batch.
+
+    The index is stored once, not computed again for each batch.
+    """
+    index = materialize(index, "index")
 
     def add(batch: DataFrame, batch_id: int) -> None:
         queued = read_queue(batch.sparkSession, path)

@@ -51,6 +51,11 @@ def test_request_bodies(spark):
     assert '"top_p":1}' in got[0]["body"]
 
 
+def test_numbers():
+    got = [str(request.number(v)) for v in (0.7, 1.0, 0.0, 100.0, 0.12345, 0.00004, 0.0001)]
+    assert got == ["0.7", "1", "0", "100", "0.1235", "0", "0.0001"]
+
+
 def test_model_names(spark):
     names = ["deepseek-chat", "deepseek-reasoner", "chat", "reasoner", "Qwen-32B"]
     df = spark.createDataFrame([(n,) for n in names], "m string")

@@ -137,7 +137,6 @@ def test_keys_and_paths(spark):
     assert column(spark, ["get(List<String>)", "sum(int[])", "use(Outer.Inner)"], text.method_key) == ["get_List_String", "sum_int", "use_Outer.Inner"]
     assert column(spark, ["com.a.B$C", "", "..", "a b.ü"], text.class_folder) == ["com/a/B/C", "UnknownClass", "UnknownClass", "a_b/_"]
     assert column(spark, ["com.A_b_", "com.A1", "x__12", "x_1_2"], text.drop_time_suffix) == ["com.A_b", "com.A1", "x", "x_1"]
-    assert column(spark, [0.7, 1.0, 0.0, 100.0, 0.12345], text.number_text, "double") == ["0.7", "1", "0", "100", "0.1235"]
     row = spark.createDataFrame([Row(t="c.A#get(int)#5", c="c.A", s="METHOD", m="my mod", k="CLASS")])
     path = lambda scope, options: text.relative_path("docs", F.col("t"), "doc", F.col("c"), scope, F.col("m"), options)
     got = row.select(path(F.col("s"), OutputOptions()), path(F.col("k"), OutputOptions(group_by_module=True))).first()

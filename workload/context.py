@@ -104,11 +104,15 @@ def class_bundles(spark, folder):
 
 
 def _doc_entries(spark, folder):
-    """A document as an entry: named by its first word, with its text as context."""
+    """A document as an entry: named by its first word, with its text as context.
+
+    The word is exploded, so that filters on it do not search the text again.
+    """
     word = F.coalesce(F.nullif(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("")), F.lit("m"))
-    return data.documents(spark, folder).select(
+    docs = data.documents(spark, folder).select("doc_id", "lang", "text", "n_chars", text.rows_of(F.array(word)).alias("word"))
+    return docs.select(
         "doc_id", "lang", F.concat(F.lit("com.acme.D"), F.col("doc_id").cast("string")).alias("class_fqn"),
-        F.concat(word, F.lit("("), "lang", F.lit(",L1)")).alias("method"), F.col("text").alias("context"), "n_chars",
+        F.concat("word", F.lit("("), "lang", F.lit(",L1)")).alias("method"), F.col("text").alias("context"), "n_chars",
     )
 
 
@@ -147,7 +151,7 @@ def request_rows(spark, folder):
     """From entries to requests: categories, what is done already, prompt, body."""
     entries = select.add_category(_doc_entries(spark, folder), text.base_name(F.col("method")), WORDS)
     kept = select.keep_categories(entries, WANTED)
-    todo = index.skip_done_methods(kept, index.output_index(data.done_files(spark, folder)))
+    todo = index.skip_done_methods(kept, data.done_index(spark, folder))
     options = PromptOptions(custom_enabled=True, custom_template=CUSTOM)
     rows = request.request_rows(prompt.render_prompts(todo, options, WORDS))
     return rows.select("doc_id", "category", "provider", "model", "prompt", "body")

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribeloom.functions.text import rows_of, split_lines
-from scribeloom.scale import materialize
+from scribeloom.operators.index import output_index
+from scribeloom.scale import at_once, materialize
 
 SETTING = "@the, lib.and;org.lib.of\n@la\ten"
 CLASS_SETTING = "the;org.lang.de lang.fr"
@@ -150,13 +151,20 @@ def done_files(spark: SparkSession, folder: str) -> DataFrame:
     one per toxic text as a whole."""
     rows = method_rows(spark, folder).join(table(spark, folder, "labels"), "doc_id")
     safe = lambda c: F.regexp_replace(c, "[^a-zA-Z0-9._-]", "_")
-    by_method = rows.where("quality = 1").select(
-        F.concat(F.lit("docs/"), F.col("lang"), F.lit("/"), safe(F.concat_ws("#", "class_fqn", "method_sig", F.col("n").cast("string"))), F.lit(".md")).alias("path")
+    by_method = F.concat(
+        F.lit("docs/"), F.col("lang"), F.lit("/"),
+        safe(F.concat_ws("#", "class_fqn", "method_sig", F.col("n").cast("string"))), F.lit(".md"),
     )
-    by_class = rows.where("toxic = 1 and k = 1").select(
-        F.concat(F.lit("md/"), F.col("class_fqn"), F.lit("_Class__"), F.col("n").cast("string"), F.lit(".MD")).alias("path")
+    by_class = F.concat(F.lit("md/"), F.col("class_fqn"), F.lit("_Class__"), F.col("n").cast("string"), F.lit(".MD"))
+    paths = F.array(
+        F.when(F.col("quality") == 1, by_method), F.when((F.col("toxic") == 1) & (F.col("k") == 1), by_class)
     )
-    return by_method.unionByName(by_class)
+    return rows.select(rows_of(paths).alias("path")).where("path is not null")
+
+
+def done_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of those files, stored so that its size is known before it is joined."""
+    return materialize(output_index(done_files(spark, folder)), "index")
 
 
 def stored(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
@@ -166,7 +174,8 @@ def stored(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame
         "classes": classes, "methods": methods, "annotations": annotations, "type_refs": type_refs,
         "calls": calls, "source_files": source_files,
     }
-    return {name: materialize(made[name](spark, folder), name) for name in names}
+    steps = [lambda name=name: materialize(made[name](spark, folder), name) for name in names]
+    return dict(zip(names, at_once(spark, *steps)))
 
 
 def task_log(spark: SparkSession, folder: str) -> DataFrame:

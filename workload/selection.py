@@ -133,12 +133,12 @@ def safe_paths(spark, folder):
 
 
 def skip_methods(spark, folder):
-    done = index.output_index(data.done_files(spark, folder))
+    done = data.done_index(spark, folder)
     return index.skip_done_methods(data.entries(spark, folder), done).select("class_fqn", "method")
 
 
 def skip_classes(spark, folder):
-    done = index.output_index(data.done_files(spark, folder))
+    done = data.done_index(spark, folder)
     return index.skip_done_classes(select.class_entries(data.entries(spark, folder)), done).select(
         "class_fqn", "method", "file", "line"
     )

@@ -133,7 +133,7 @@ def stream_queue(spark, folder):
         F.concat(F.coalesce(F.nullif(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("")), F.lit("m")), F.lit("("), "lang", F.lit(",L1)")).alias("method"),
         F.col("source").alias("file"), F.lit(1).alias("line"), F.lit("@RpcService").alias("annotation"),
     )
-    done = index.output_index(data.done_files(spark, folder))
+    done = data.done_index(spark, folder)
     queue.stream_queue(entries, done, out, state, F.lit(5).cast("bigint")).awaitTermination()
     return spark.read.parquet(out).select("task_id", "class_fqn", "method", "status", "scope")
 
