@@ -48,12 +48,14 @@ CALLED_METHODS = "# Called Methods / 被调方法"
 ENTRY_CLASS = "# Entry Class"
 CLASS_SOURCE = "# Class Source"
 PUBLIC_METHODS = "# Public Methods"
+DEFAULT_SUMMARY = "[stub] CG+Slice for "
 TRUNCATED = "... [truncated]"
 NUMBERED_LINE = "%6d | %s\n"
 
 # Chat requests.
 SYSTEM_MESSAGE = "You are a helpful assistant for Java API documentation. Answer in Chinese Markdown only."
 ERROR_SNIPPET = 240
+REPLY_ERROR = "RuntimeException"
 
 # The placeholder document.
 STUB_NAME = "接口名称："

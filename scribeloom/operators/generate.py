@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scribeloom.functions import fixed, text
 from scribeloom.options import PrefixLists
+from scribeloom.scale import materialize
 
 
 def stub_documents(entries: DataFrame, prefixes: PrefixLists = PrefixLists()) -> DataFrame:
@@ -33,8 +35,7 @@ def generate(
     at once. A call that fails gives a row with the error.
 
     A task that is run again calls the function again, so store the result
-    under its key before using it. Rows go out in small batches, as a reply
-    may be long.
+    under its key before using it; `generate_in_rounds` does so step by step.
     """
 
     def call(batches: Iterator) -> Iterator:
@@ -65,3 +66,31 @@ def generate(
         .repartition(max(1, max_concurrent), key)
         .mapInPandas(call, schema)
     )
+
+
+def generate_in_rounds(
+    requests: DataFrame, reply_to: Callable[[str], str], path: str, rounds: int,
+    max_concurrent: int = 2, request: str = "body", key: str = "task_id",
+) -> DataFrame:
+    """As `generate`, in rounds that each write their replies before the next
+    one starts.
+
+    With few tasks at once a task holds a large share of the requests. Rounds
+    bound what is called again when an executor is lost. Rounds found complete
+    under the path are not run again, so a stopped job can go on.
+    """
+    spark = requests.sparkSession
+    stored = materialize(
+        requests.select(key, request).withColumn("round", F.pmod(F.xxhash64(key), F.lit(rounds)).cast("int")),
+        "requests",
+    )
+    for n in range(rounds):
+        folder = f"{path}/round={n}"
+        try:
+            spark.read.parquet(folder)  # a folder without a finished write has no schema
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            part = stored.where(F.col("round") == n)
+            generate(part, reply_to, max_concurrent, request, key).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(path).drop("round")

@@ -29,7 +29,7 @@ def read_replies(replies: DataFrame) -> DataFrame:
     return replies.select(
         "*",
         F.when(good, content_of(F.col("body"))).alias("content"),
-        F.when(~good, F.lit("RuntimeException")).alias("error_type"),
+        F.when(~good, F.lit(fixed.REPLY_ERROR)).alias("error_type"),
         F.when(~good, snippet).alias("error_message"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,12 @@ DEEP_OFFSET = 100_000
 
 
 def new_tasks(entries: DataFrame, created_at: Column | None = None) -> DataFrame:
-    """Queued tasks for entries; entries with a scope keep it."""
-    created = F.unix_millis(F.current_timestamp()) if created_at is None else created_at
+    """Queued tasks for entries; entries with a scope keep it.
+
+    The time is fixed when the frame is built, so that its task ids are the
+    same each time it is computed.
+    """
+    created = F.lit(time.time_ns() // 1_000_000).cast("bigint") if created_at is None else created_at
     scope = F.col("scope") if "scope" in entries.columns else F.lit("METHOD")
     return entries.select(
         text.task_id(F.col("class_fqn"), F.col("method"), created).alias("task_id"),

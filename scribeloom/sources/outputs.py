@@ -39,7 +39,7 @@ def list_output_files(spark: SparkSession, base: str) -> DataFrame:
 def list_output_table(spark: SparkSession, table: str) -> DataFrame:
     """Paths of the documents in an output table that count as done."""
     rows = spark.read.parquet(table).select("path")
-    return rows.where(counts_as_output(F.col("path")))
+    return rows.where(counts_as_output(F.col("path"))).distinct()
 
 
 def output_rows(documents: DataFrame, options: OutputOptions = OutputOptions()) -> DataFrame:
@@ -75,17 +75,25 @@ def output_rows(documents: DataFrame, options: OutputOptions = OutputOptions())
     )
 
 
-def write_outputs(documents: DataFrame, table: str, options: OutputOptions = OutputOptions()) -> None:
-    """Write documents as rows of path and content, in folders by kind and
-    module; folders that get rows are replaced as a whole."""
+def write_outputs(
+    documents: DataFrame, table: str, options: OutputOptions = OutputOptions(), run: int = 0
+) -> None:
+    """Write documents as rows of path and content, in folders by kind, module
+    and run. Runs are numbered upwards: a path written again by a later run
+    replaces the older one for readers, and a run that is repeated replaces its
+    own rows only."""
     (
-        output_rows(documents, options)
+        output_rows(documents, options).withColumn("run", F.lit(run).cast("bigint"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("kind", "module").parquet(table)
+        .partitionBy("kind", "module", "run").parquet(table)
     )
 
 
 def read_outputs(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.schema(
-        "task_id string, path string, content string, kind string, module string"
+    """The last content written to each path. Which run that is comes from the
+    paths alone, without the contents."""
+    rows = spark.read.schema(
+        "task_id string, path string, content string, kind string, module string, run bigint"
     ).parquet(table)
+    last = rows.groupBy("path").agg(F.max("run").alias("run"))
+    return rows.join(last, ["path", "run"], "left_semi")

@@ -114,3 +114,21 @@ def test_given_function(spark):
     assert len(got) == 500
     assert got[12]["reply"] == "1212" and got[12]["status"] == "SUCCEEDED" and got[12]["error_type"] is None
     assert (got[7]["status"], got[7]["error_type"], got[7]["error_message"]) == ("FAILED", "TimeoutError", "request timed out")
+
+
+def test_rounds_go_on_where_they_stopped(spark, tmp_path):
+    df = spark.range(200).select(F.col("id").alias("task_id"), F.col("id").cast("string").alias("body"))
+    out, calls = str(tmp_path / "replies"), tmp_path / "calls"
+    calls.write_text("")
+    log = str(calls)
+
+    def answer(body):
+        with open(log, "a") as f:
+            f.write(body + "\n")
+        return body
+
+    generate.generate_in_rounds(df, answer, out, 4).collect()
+    assert sorted(calls.read_text().split(), key=int) == [str(i) for i in range(200)]
+    again = generate.generate_in_rounds(df, answer, out, 4).collect()
+    assert sorted(int(r["reply"]) for r in again) == list(range(200))
+    assert len(calls.read_text().split()) == 200

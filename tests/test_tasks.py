@@ -101,8 +101,8 @@ def test_documents_written_and_found(spark, tmp_path):
         "task_id string, class_fqn string, scope string, module string, markdown string, json string, context string",
     )
     table = str(tmp_path / "out")
-    for _ in range(2):  # writing again replaces the rows
-        outputs.write_outputs(docs, table, OutputOptions(group_by_module=True))
+    for _ in range(2):  # a run that is repeated replaces its own rows
+        outputs.write_outputs(docs, table, OutputOptions(group_by_module=True), run=1)
     got = {(r["kind"], r["module"], r["path"], r["content"]) for r in outputs.read_outputs(spark, table).collect()}
     assert got == {
         ("md", "m 1", "md/m_1/c/A/c.A_get_int__5.md", "text"), ("docs", "m 1", "docs/m_1/c/A/c.A_get_int__5.doc", "text"),
@@ -110,6 +110,12 @@ def test_documents_written_and_found(spark, tmp_path):
         ("docs", "none", "docs/c.B_CLASS_6.doc", "whole"), ("json", "none", "method-docs/c.B_CLASS_6.json", "{}"),
     }
     assert outputs.list_output_table(spark, table).count() == 4
+    # A later run keeps the documents of the run before and replaces equal paths.
+    later = docs.where("scope = 'CLASS'").withColumn("markdown", F.lit("new"))
+    outputs.write_outputs(later, table, OutputOptions(group_by_module=True, write_doc=False), run=2)
+    kept = {r["path"]: r["content"] for r in outputs.read_outputs(spark, table).collect()}
+    assert len(kept) == 6 and kept["md/c.B_CLASS_6.md"] == "new" and kept["docs/c.B_CLASS_6.doc"] == "whole"
+    assert outputs.list_output_table(spark, table).count() == 4
     assert outputs.output_rows(docs, OutputOptions(write_markdown=False, write_doc=False)).count() == 2
 
 
@@ -231,6 +237,12 @@ def test_from_scan_to_documents(spark):
     assert [(r["task_id"], r["status"], r["due_at"], r["error_message"]) for r in bad.collect()] == [("Bare#address()#7", "PARTIAL", 1550, "HTTP 503 — busy")]
 
 
+def test_task_ids_stay_the_same_when_computed_again(spark):
+    queued = jobs.scan(project.tables(spark), spark.createDataFrame([], "path string"), Options(annotation="Rpc"))
+    first = sorted(r["task_id"] for r in queued.collect())
+    assert first and first == sorted(r["task_id"] for r in queued.collect())
+
+
 def test_resume_job(spark):
     t = project.tables(spark)
     lines = spark.createDataFrame([(1, f"{project.S}#get"), (2, "Bare#address()"), (3, f"{project.S}#CLASS")], "line_no bigint, line string")
