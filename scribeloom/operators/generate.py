@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scribeloom.functions import fixed, text
 from scribeloom.options import PrefixLists
-from scribeloom.scale import materialize
+from scribeloom.scale import is_written, materialize
 
 
 def stub_documents(entries: DataFrame, prefixes: PrefixLists = PrefixLists()) -> DataFrame:
@@ -86,11 +85,8 @@ def generate_in_rounds(
     )
     for n in range(rounds):
         folder = f"{path}/round={n}"
-        try:
-            spark.read.parquet(folder)  # a folder without a finished write has no schema
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            part = stored.where(F.col("round") == n)
-            generate(part, reply_to, max_concurrent, request, key).write.mode("overwrite").parquet(folder)
+        if is_written(spark, folder):
+            continue
+        part = stored.where(F.col("round") == n)
+        generate(part, reply_to, max_concurrent, request, key).write.mode("overwrite").parquet(folder)
     return spark.read.parquet(path).drop("round")

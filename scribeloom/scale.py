@@ -73,6 +73,12 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder has been finished."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def at_once(spark: SparkSession, *steps: Callable[[], T]) -> list[T]:
     """Run steps that do not need each other from threads of the driver, so
     that the cluster can fill idle cores of one with tasks of another."""
