@@ -44,6 +44,7 @@ RULES = (
     Rule("shouts", None, 0.25),        # words that end in two or more marks, a word
     Rule("stop_words", 0.02, None),    # stop words a word
     Rule("dup_lines", None, 0.5),      # lines seen before, a line with a word
+    Rule("echoes", None, 0.3),         # words equal to the word before, a word
 )
 
 
@@ -51,7 +52,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the struct `quality` of counts over the whole text.
 
     n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
-    n_stop_words, n_capitals, n_shouts. A null text counts as empty. Windows
+    n_stop_words, n_capitals, n_shouts, n_echoes. A null text counts as empty. Windows
     within a text are compared by their 64-bit hashes. Columns of `docs` stay
     as they are, whatever their names; one of the name `quality` is replaced.
     """
@@ -72,6 +73,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter("_w", lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         length("\\p{Lu}+").cast("long").alias("n_capitals"),
         F.size(F.filter("_w", lambda w: w.endswith("!!") | w.endswith("??"))).cast("long").alias("n_shouts"),
+        F.size(F.filter("_w", lambda w, i: F.coalesce(w == F.get("_w", i - 1), F.lit(False)))).cast("long").alias("n_echoes"),
     )
     kept = [F.col("_d")[c].alias(c) for c in docs.columns if c != "quality"]
     return step.select(*kept, found.alias("quality"))
@@ -108,6 +110,7 @@ def ratios(q: Column) -> dict[str, Column]:
         "word_length": per("word_chars", "n_words"), "symbols": per("n_symbols", "n_words"),
         "capitals": per("n_capitals", "word_chars"), "shouts": per("n_shouts", "n_words"),
         "stop_words": per("n_stop_words", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"),
+        "echoes": per("n_echoes", "n_words"),
     }
 
 
@@ -155,6 +158,7 @@ def quality_cte(source: str) -> str:
         "word_length": "word_chars / n_words", "symbols": "n_symbols / n_words",
         "capitals": "CASE WHEN word_chars > 0 THEN n_capitals / word_chars ELSE 0 END", "shouts": "n_shouts / n_words",
         "stop_words": "n_stop_words / n_words", "dup_lines": "CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END",
+        "echoes": "n_echoes / n_words",
     }
     for rule in RULES:
         checks += [f"{names[rule.ratio]} >= {rule.low}"] if rule.low is not None else []
@@ -178,7 +182,8 @@ metrics AS (
          len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
          len(list_filter(w, lambda x: x IN ({stops}))) AS n_stop_words,
          length(t) - length(regexp_replace(t, '\p{{Lu}}+', '', 'g')) AS n_capitals,
-         len(list_filter(w, lambda x: ends_with(x, '!!') OR ends_with(x, '??'))) AS n_shouts
+         len(list_filter(w, lambda x: ends_with(x, '!!') OR ends_with(x, '??'))) AS n_shouts,
+         len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS n_echoes
   FROM split s LEFT JOIN covered c USING (doc_id)),
 based AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed FROM metrics),
