@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from scribeloom.llm import quality
+from scribeloom.llm import html_text, quality
 from scribeloom.llm.common import table
 
 
+def op1_html_extraction(spark, folder):
+    return html_text.op1(table(spark, folder, "pages"))
+
+
 def op3_quality_rules(spark, folder):
     return quality.op3(table(spark, folder, "documents"))
 
 
 ALL = {
+    "op1_html_extraction": (op1_html_extraction, None),
     "op3_quality_rules": (op3_quality_rules, quality.OP3_SQL),
 }
