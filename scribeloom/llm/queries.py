@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from scribeloom.llm import html_text, quality
+from scribeloom.llm import html_text, quality, token_files
 from scribeloom.llm.common import table
 
 
+def tokenizer_path(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_html_extraction(spark, folder):
     return html_text.op1(table(spark, folder, "pages"))
 
@@ -14,7 +20,12 @@ def op3_quality_rules(spark, folder):
     return quality.op3(table(spark, folder, "documents"))
 
 
+def op4_token_files(spark, folder):
+    return token_files.op4(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 ALL = {
     "op1_html_extraction": (op1_html_extraction, None),
     "op3_quality_rules": (op3_quality_rules, quality.OP3_SQL),
+    "op4_token_files": (op4_token_files, None),
 }
