@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scribeloom.llm import html_text, quality, token_files
+from scribeloom.llm import html_text, pieces, quality, token_files
 from scribeloom.llm.common import table
 
 
@@ -24,8 +24,13 @@ def op4_token_files(spark, folder):
     return token_files.op4(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_sentencepiece(spark, folder):
+    return pieces.op9(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 ALL = {
     "op1_html_extraction": (op1_html_extraction, None),
     "op3_quality_rules": (op3_quality_rules, quality.OP3_SQL),
     "op4_token_files": (op4_token_files, None),
+    "op9_sentencepiece": (op9_sentencepiece, None),
 }
