@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scribeloom.llm import html_text, pieces, quality, token_files
+from scribeloom.llm import html_text, mixing, pieces, quality, token_files
 from scribeloom.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_token_files(spark, folder):
     return token_files.op4(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_mixing(spark, folder):
+    return mixing.op5(table(spark, folder, "documents"))
+
+
 def op9_sentencepiece(spark, folder):
     return pieces.op9(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -32,5 +36,6 @@ ALL = {
     "op1_html_extraction": (op1_html_extraction, None),
     "op3_quality_rules": (op3_quality_rules, quality.OP3_SQL),
     "op4_token_files": (op4_token_files, None),
+    "op5_mixing": (op5_mixing, mixing.OP5_SQL),
     "op9_sentencepiece": (op9_sentencepiece, None),
 }
