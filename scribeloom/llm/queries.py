@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scribeloom.llm import html_text, mixing, pieces, quality, token_files
+from scribeloom.llm import html_text, mixing, pieces, quality, token_files, url_filter
 from scribeloom.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_mixing(spark, folder):
     return mixing.op5(table(spark, folder, "documents"))
 
 
+def op8_url_filters(spark, folder):
+    return url_filter.op8(table(spark, folder, "pages"), table(spark, folder, "events"))
+
+
 def op9_sentencepiece(spark, folder):
     return pieces.op9(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -37,5 +41,6 @@ ALL = {
     "op3_quality_rules": (op3_quality_rules, quality.OP3_SQL),
     "op4_token_files": (op4_token_files, None),
     "op5_mixing": (op5_mixing, mixing.OP5_SQL),
+    "op8_url_filters": (op8_url_filters, url_filter.OP8_SQL),
     "op9_sentencepiece": (op9_sentencepiece, None),
 }
