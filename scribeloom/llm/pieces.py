@@ -12,6 +12,7 @@ as well, and a difference ends the task.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -106,39 +107,34 @@ class Codec:
                 heappush(agenda, (rank[pair], before, a, len(pair)))
         return [symbol for symbol in text if symbol]
 
-    def learn(self, units: set[str]) -> dict[str, bytes]:
-        """Ids of units, as little-endian 32-bit integers, all checked against the library."""
-        new = [u for u in units if u not in self._known]
-        if not new:
-            return self._known
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of units not met lately, as little-endian 32-bit integers, all
+        checked against the library."""
         ids = [self.encode_unit(u) for u in new]
         # The library puts a mark before a text, and cannot be given an empty one.
         checked = [k for k, u in enumerate(new) if u[0] == MARK and len(u) > 1]
         theirs = self.library.encode([new[k][1:] for k in checked], num_threads=1) if checked else []
-        spoken = self.library.decode([ids[k] for k in checked]) if checked else []
+        spoken = self.library.decode([ids[k] for k in checked], num_threads=1) if checked else []
         for k, want, said in zip(checked, theirs, spoken, strict=True):
-            if ids[k] != want or self.decode(ids[k]) != said:
+            if ids[k] != want or b"".join(map(self._surface.__getitem__, ids[k])) != b" " + said.encode():
                 raise RuntimeError(f"the library encodes or decodes {new[k]!r} in another way")
-        if len(self._known) + len(new) > CACHED_UNITS:
-            self._known = {}
-        found = {u: np.array(x, "<i4").tobytes() for u, x in zip(new, ids, strict=True)}
-        self._known.update((u, x) for u, x in found.items() if len(u) <= CACHED_CHARS)
+        return {u: array("i", x).tobytes() for u, x in zip(new, ids, strict=True)}
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text, without begin or end ids; a null counts as empty."""
+        known = self._known
+        if len(known) > CACHED_UNITS:
+            known.clear()
+        units = UNIT.findall((MARK + text).replace(" ", MARK)) if text else []
+        new = {u for u in units if u not in known}
+        if new:
+            known.update(self.learn(list(new)))
+        found = b"".join(map(known.__getitem__, units))
+        for u in new:
+            if len(u) > CACHED_CHARS:
+                del known[u]
         return found
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, without begin or end ids; a null counts as empty."""
-        cut = [UNIT.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
-        out = []
-        for units in cut:
-            try:
-                out.append(b"".join(map(self._known.__getitem__, units)))
-            except KeyError:
-                known = self._known
-                new = {u for u in units if u not in known}
-                mine = self.learn(new)
-                out.append(b"".join([known[u] if u in known else mine[u] for u in units]))
-        return out
-
     def decode(self, ids: list[int]) -> str:
         """The text of ids: one space that stands for the mark put before a
         text goes; bytes that are no valid character become U+FFFD each."""
@@ -189,7 +185,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(model)
         for batch in batches:
-            found = own.encode_batch(batch.to_pylist())
+            found = [own.encode(text.as_py()) for text in batch]
             spoken = [own.decode(np.frombuffer(x, "<i4").tolist()) for x in found]
             ends = np.cumsum([0, *(len(x) // 4 for x in found)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
