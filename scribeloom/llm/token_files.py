@@ -12,7 +12,9 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,9 +29,10 @@ from scribeloom.scale import scratch_path
 MAGIC = b"WVM1"
 BLOCK = 4096  # bits a rank entry covers
 SHARD_TOKENS = 1 << 22
-CACHED_WORDS = 500_000
+CACHED_WORDS = 700_000
 END = 1  # appended to each document
 WORD = re.compile(r"[^ \t\n\r]+")
+STEM = re.compile(r"([A-Za-z]+)([.,;:!?#*%$&()|-]*)")
 SHARD_SCHEMA = "shard long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, matrix binary"
 
 
@@ -135,12 +138,13 @@ class WaveletMatrix:
         return ids
 
 
-class _Words:
+class Words:
     """Ids of white-space-separated words, as the library gives them.
 
     The tokenizer drops white space and never joins words across it, so a text
-    is the ids of its words in order. The words met last are remembered, at
-    most CACHED_WORDS and those of one text.
+    is the ids of its words in order; punctuation at the end of a word in ASCII
+    letters is cut off as the tokenizer does, and capitals count as small. What
+    was met lately is remembered by the Python worker.
     """
 
     def __init__(self, path: str):
@@ -150,18 +154,38 @@ class _Words:
         self._tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._known: dict[str, bytes] = {}
+        self._stems: dict[str, bytes] = {}
         self._end = np.array([END], self.dtype).tobytes()
 
+    def _ask(self, words: list[str]) -> list[bytes]:
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember new words, by their stems and marks where they have some."""
+        parts = [(m[1].lower(), m[2]) if (m := STEM.fullmatch(w)) else (w, "") for w in words]
+        new = list({p for pair in parts for p in pair if p and p not in self._stems})
+        self._stems.update(zip(new, self._ask(new), strict=True))
+        stems = self._stems
+        self._known.update((w, stems[a] + stems[b] if b else stems[a]) for w, (a, b) in zip(words, parts, strict=True))
+
     def encode(self, text: str | None) -> bytes:
+        known = self._known
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        if len(self._stems) > CACHED_WORDS:
+            self._stems.clear()
         words = WORD.findall(text or "")
-        new = list(set(words).difference(self._known))
+        new = {w for w in words if w not in known}
         if new:
-            if len(self._known) + len(new) > CACHED_WORDS:
-                self._known.clear()
-                new = list(set(words))
-            for word, found in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self._known[word] = np.array(found.ids, self.dtype).tobytes()
-        return b"".join(map(self._known.__getitem__, words)) + self._end
+            self._learn(list(new))
+        return b"".join(map(known.__getitem__, words)) + self._end
+
+
+@lru_cache(maxsize=4)
+def words_of(path: str) -> Words:
+    """One for each Python worker and tokenizer."""
+    return Words(path)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -175,7 +199,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_
     """
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, part, n = _Words(tokenizer), TaskContext.get().partitionId(), 0
+        words, part, n = words_of(tokenizer), TaskContext.get().partitionId(), 0
         ids, sizes, held, total = [], [], [], 0
 
         def close() -> pd.DataFrame:
