@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scribeloom.llm import html_text, mixing, pieces, quality, token_files, url_filter
+from scribeloom.llm import html_text, jaccard_join, mixing, pieces, quality, token_files, url_filter
 from scribeloom.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op9_sentencepiece(spark, folder):
     return pieces.op9(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op10_jaccard_join(spark, folder):
+    return jaccard_join.op10(table(spark, folder, "documents"))
+
+
 ALL = {
     "op1_html_extraction": (op1_html_extraction, None),
     "op3_quality_rules": (op3_quality_rules, quality.OP3_SQL),
@@ -43,4 +47,5 @@ ALL = {
     "op5_mixing": (op5_mixing, mixing.OP5_SQL),
     "op8_url_filters": (op8_url_filters, url_filter.OP8_SQL),
     "op9_sentencepiece": (op9_sentencepiece, None),
+    "op10_jaccard_join": (op10_jaccard_join, jaccard_join.OP10_SQL),
 }
