@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scribeloom.llm import html_text, jaccard_join, mixing, pieces, quality, token_files, url_filter
+from scribeloom.llm import html_text, jaccard_join, long_repeats, mixing, pieces, quality, token_files, url_filter
 from scribeloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_html_extraction(spark, folder):
     return html_text.op1(table(spark, folder, "pages"))
 
 
+def op2_run_length_dedup(spark, folder):
+    return long_repeats.op2(table(spark, folder, "documents"))
+
+
 def op3_quality_rules(spark, folder):
     return quality.op3(table(spark, folder, "documents"))
 
@@ -42,6 +46,7 @@ def op10_jaccard_join(spark, folder):
 
 ALL = {
     "op1_html_extraction": (op1_html_extraction, None),
+    "op2_run_length_dedup": (op2_run_length_dedup, None),
     "op3_quality_rules": (op3_quality_rules, quality.OP3_SQL),
     "op4_token_files": (op4_token_files, None),
     "op5_mixing": (op5_mixing, mixing.OP5_SQL),

@@ -16,8 +16,8 @@ import pyarrow as pa
 SHINGLE = 5
 CHUNK = 1 << 20  # bytes hashed at once
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
-_P = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+P = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(P), -1, 1 << 64))
 _powers = {False: np.ones(1, np.uint64), True: np.ones(1, np.uint64)}
 
 
@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _byte_values() -> np.ndarray:
     """A number for each byte; capitals have that of their small letter."""
-    values = mix(np.arange(1, 257, dtype=np.uint64) * _P)
+    values = mix(np.arange(1, 257, dtype=np.uint64) * P)
     values[65:91] = values[97:123]
     return values
 
@@ -42,10 +42,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _power(n: int, inverse: bool = False) -> np.ndarray:
+def power(n: int, inverse: bool = False) -> np.ndarray:
     """Powers 0 to n - 1 of the multiplier, or of its inverse."""
     if len(_powers[inverse]) < n:
-        base = np.full(n, _INVERSE if inverse else _P)
+        base = np.full(n, _INVERSE if inverse else P)
         base[0] = 1
         _powers[inverse] = np.cumprod(base)
     return _powers[inverse]
@@ -62,11 +62,11 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends[:-1] &= ~solid[1:]
     ends[inner - 1] = solid[inner - 1]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power = _power(len(data) + 1)
+    power = power(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUES[data] * power[: len(data)], out=sums[1:])
     # Taking the power of the first byte out makes equal words equal anywhere.
-    hashes = mix((sums[last] - sums[first]) * _power(len(data) + 1, True)[first] + (last - first).astype(np.uint64))
+    hashes = mix((sums[last] - sums[first]) * power(len(data) + 1, True)[first] + (last - first).astype(np.uint64))
     return hashes, np.searchsorted(first, bounds)
 
 
@@ -75,7 +75,7 @@ def _sets(hashes: np.ndarray, places: np.ndarray) -> Iterator[np.ndarray]:
     n = max(0, len(hashes) - SHINGLE + 1)
     total = np.full(n, SHINGLE, np.uint64)
     for k in range(SHINGLE):
-        total = mix(total * _P + hashes[k : k + n])
+        total = mix(total * P + hashes[k : k + n])
     for a, b in zip(places[:-1], places[1:], strict=True):
         if b - a >= SHINGLE:
             found = np.sort(total[a : b - SHINGLE + 1])
@@ -85,7 +85,7 @@ def _sets(hashes: np.ndarray, places: np.ndarray) -> Iterator[np.ndarray]:
         elif b > a:
             whole = np.full(1, b - a, np.uint64)
             for h in hashes[a:b]:
-                whole = mix(whole * _P + h)
+                whole = mix(whole * P + h)
             yield whole
         else:
             yield np.empty(0, np.uint64)
