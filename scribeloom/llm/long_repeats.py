@@ -18,12 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scribeloom.llm.common import parts_for
 from scribeloom.llm.shingles import P, mix, power
-from scribeloom.scale import materialize
+from scribeloom.scale import find_hot, materialize
 
 LENGTH = 100
 GRAM = 32
@@ -32,17 +33,20 @@ CHUNK = 1 << 20             # bytes sampled at once
 PLACE = np.uint64((1 << 22) - 1)
 FLUSH = 400_000
 BUCKET_BYTES = 24 << 20     # text whose samples meet in one task
+INDEX_BYTES = 2 << 20       # pieces in one index
+HOT_SHARE, HOT_RUNS = 64, 20_000
+BLOCK = 8                   # places of a hot k-gram in a string that are dealt together
 
 _CASED = mix(np.arange(1, 257, dtype=np.uint64) * P)
 
 
-def sample(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, n, gram): runs of n string starts from `first` on that share
-    their sampled k-gram, of whose bytes `gram` is the hash. Strings do not
-    cross the bounds of texts."""
+def sample(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, n, ahead, gram): runs of n string starts from `first` on that
+    share their sampled k-gram, which stands `ahead` bytes after `first`; `gram`
+    is the hash of its bytes. Strings do not cross the bounds of texts."""
     size = len(data)
     if size < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum(_CASED[data] * power(size + 1)[:size], out=sums[1:])
     grams = mix((sums[GRAM:] - sums[:-GRAM]) * power(size + 1, True)[: size - GRAM + 1])
@@ -62,7 +66,7 @@ def sample(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first = np.flatnonzero(fresh & whole)
     run = np.cumsum(fresh) - 1
     count = np.bincount(run[whole], minlength=run[-1] + 1 if starts else 0)
-    return first, count[run[first]], grams[place[first]]
+    return first, count[run[first]], place[first] - first, grams[place[first]]
 
 
 class RunIndex:
@@ -159,33 +163,47 @@ def _pieces_of(d: int, x: int, text: bytes) -> Iterator[tuple[int, int, bytes, i
         yield d, x, text[at : at + CHUNK + LENGTH - 1], at
 
 
+def _finer(run: dict, text: bytes) -> Iterator[tuple[int, int, int]]:
+    """Key, first start and number of starts of the parts of a run whose k-gram
+    is hot. Strings with their k-gram in the same BLOCK places of them share the
+    bytes in between, so these are the key of equal strings."""
+    gram_at = run["first"] + run["ahead"]
+    for block in range((run["ahead"] - run["n"] + 1) // BLOCK, run["ahead"] // BLOCK + 1):
+        last = gram_at - block * BLOCK
+        core = text[max(0, last) : last - BLOCK + 1 + LENGTH]
+        a, b = max(run["first"], last - BLOCK + 1), min(run["first"] + run["n"] - 1, last)
+        if a <= b:
+            key = xxhash.xxh3_64_intdigest(core, seed=block)
+            yield key - (1 << 64 if key >> 63 else 0), a, b - a + 1
+
+
 def repeated_samples(keyed: DataFrame, buckets: int) -> DataFrame:
-    """d, x, first, n, gram of runs whose sampled k-gram occurs again."""
+    """d, x, first, n, ahead, gram of runs whose sampled k-gram occurs again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         total = 0
 
         def packed() -> pa.RecordBatch:
-            d, x, first, n, gram = (np.concatenate(c) for c in zip(*held, strict=True))
+            *other, gram = (np.concatenate(c) for c in zip(*held, strict=True))
             bucket = (gram >> np.uint64(8)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             rows = [[int(bucket[order[at]]) for at in [0, *cuts]]]
-            rows += [[part.tobytes() for part in np.split(c[order], cuts)] for c in (d, x, first, n, gram)]
-            kinds = [pa.int64()] + [pa.binary()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["bucket", "d", "x", "first", "n", "gram"])
+            rows += [[part.tobytes() for part in np.split(c[order], cuts)] for c in (*other, gram)]
+            kinds = [pa.int64()] + [pa.binary()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["bucket", "d", "x", "first", "n", "ahead", "gram"])
 
         def sampled(group: list[tuple[int, int, bytes, int]]) -> None:
             nonlocal total
             bounds = np.cumsum([len(t) for _, _, t, _ in group])
-            first, n, gram = sample(np.frombuffer(b"".join(t for _, _, t, _ in group), np.uint8), bounds)
+            first, n, ahead, gram = sample(np.frombuffer(b"".join(t for _, _, t, _ in group), np.uint8), bounds)
             text = np.searchsorted(bounds, first, "right")
             begin = np.concatenate([[0], bounds[:-1]])
             at = np.array([p for *_, p in group], np.int64)
             held.append((
                 np.array([g[0] for g in group], np.int64)[text], np.array([g[1] for g in group], np.int64)[text],
-                first - begin[text] + at[text], n.astype(np.uint8), gram,
+                first - begin[text] + at[text], n.astype(np.uint8), ahead.astype(np.uint8), gram,
             ))
             total += len(first)
 
@@ -208,7 +226,7 @@ def repeated_samples(keyed: DataFrame, buckets: int) -> DataFrame:
             yield packed()
 
     def again(rows: pd.DataFrame) -> pd.DataFrame:
-        kinds = {"d": np.int64, "x": np.int64, "first": np.int64, "n": np.uint8, "gram": np.uint64}
+        kinds = {"d": np.int64, "x": np.int64, "first": np.int64, "n": np.uint8, "ahead": np.uint8, "gram": np.uint64}
         cols = {c: np.frombuffer(b"".join(rows[c]), k) for c, k in kinds.items()}
         order = np.argsort(cols["gram"], kind="stable")
         gram = cols["gram"][order]
@@ -216,13 +234,19 @@ def repeated_samples(keyed: DataFrame, buckets: int) -> DataFrame:
         keep = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
         return pd.DataFrame({c: v[keep].view(np.int64) if c == "gram" else v[keep].astype(np.int64) for c, v in cols.items()})
 
-    packed = keyed.select("d", "x", "text").mapInArrow(run, "bucket long, d binary, x binary, first binary, n binary, gram binary")
-    return packed.groupBy("bucket").applyInPandas(again, "d long, x long, first long, n long, gram long")
+    packed = keyed.select("d", "x", "text").mapInArrow(run, "bucket long, d binary, x binary, first binary, n binary, ahead binary, gram binary")
+    return packed.groupBy("bucket").applyInPandas(again, "d long, x long, first long, n long, ahead long, gram long")
 
 
 def earlier_ranges(keyed: DataFrame, samples: DataFrame, buckets: int) -> DataFrame:
     """d, x, begin, end: ranges covered by strings that start earlier as well."""
-    runs = samples.groupBy("d", "x").agg(F.collect_list(F.struct("first", "n", "gram")).alias("runs"))
+    hot = find_hot(samples, ["gram"], max(HOT_SHARE, buckets), HOT_RUNS)
+    if hot is None:
+        samples = samples.withColumn("hot", F.lit(False))
+    else:  # fewer grams than buckets
+        flagged = F.broadcast(hot.withColumn("hot", F.lit(True)))
+        samples = samples.join(flagged, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    runs = samples.groupBy("d", "x").agg(F.collect_list(F.struct("first", "n", "ahead", "gram", "hot")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pieces of text by bucket; equal pieces of a batch travel once."""
@@ -232,8 +256,8 @@ def earlier_ranges(keyed: DataFrame, samples: DataFrame, buckets: int) -> DataFr
             for d, x, text, found in zip(*columns, strict=True):
                 d, x, text = d.as_py(), x.as_py(), text.as_py()
                 for run in found.as_py():
-                    a = run["first"]
-                    places.setdefault((run["gram"], text[a : a + run["n"] + LENGTH - 1]), []).append((d, x, a))
+                    for key, a, n in _finer(run, text) if run["hot"] else [(run["gram"], run["first"], run["n"])]:
+                        places.setdefault((key, text[a : a + n + LENGTH - 1]), []).append((d, x, a))
             grams, pieces = [k[0] for k in places], [k[1] for k in places]
             column = lambda i: pa.array([[p[i] for p in v] for v in places.values()], pa.list_(pa.int64()))
             bucket = (np.array(grams, np.int64).view(np.uint64) >> np.uint64(8)) % np.uint64(buckets)
@@ -245,18 +269,24 @@ def earlier_ranges(keyed: DataFrame, samples: DataFrame, buckets: int) -> DataFr
         flat = pd.DataFrame({
             "gram": np.repeat(rows["gram"].to_numpy(), times), "piece": np.repeat(rows["piece"].to_numpy(), times),
             "d": np.concatenate(rows["d"].tolist()), "x": np.concatenate(rows["x"].tolist()), "first": np.concatenate(rows["first"].tolist()),
-        }).sort_values(["d", "x", "first"], kind="stable", ignore_index=True)
+        }).drop_duplicates(["d", "x", "first"]).sort_values(["d", "x", "first"], kind="stable", ignore_index=True)
         new = ~flat.duplicated(["gram", "piece"]).to_numpy()
         copies, own = flat[~new], flat[new]
         out = [pd.DataFrame({"d": copies["d"], "x": copies["x"], "begin": copies["first"], "end": copies["first"] + copies["piece"].map(len)})]
-        pieces = own["piece"].tolist()
-        hits = RunIndex(pieces).stream(pieces)
-        d, x, first = (own[c].to_numpy() for c in ("d", "x", "first"))
+        # One index for about INDEX_BYTES of pieces; those of one k-gram stay together.
+        load = own.groupby("gram")["piece"].transform(lambda p: p.map(len).sum()) / own.groupby("gram")["gram"].transform("size")
+        order = own["gram"].argsort(kind="stable")
+        part = np.empty(len(own), np.int64)
+        part[order] = np.cumsum(load.to_numpy()[order]) // INDEX_BYTES
+        part = pd.Series(part, own.index).groupby(own["gram"]).transform("min")
         found = []
-        for k, hit in enumerate(hits):
-            if hit.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                found += [(d[k], x[k], first[k] + a, first[k] + b - 1 + LENGTH) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+        for _, some in own.groupby(part):
+            pieces = some["piece"].tolist()
+            d, x, first = (some[c].to_numpy() for c in ("d", "x", "first"))
+            for k, hit in enumerate(RunIndex(pieces).stream(pieces)):
+                if hit.any():
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+                    found += [(d[k], x[k], first[k] + a, first[k] + b - 1 + LENGTH) for a, b in zip(edge[::2], edge[1::2], strict=True)]
         out.append(pd.DataFrame(found, columns=["d", "x", "begin", "end"]))
         return pd.concat(out).astype("int64")
 
