@@ -62,9 +62,9 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends[:-1] &= ~solid[1:]
     ends[inner - 1] = solid[inner - 1]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power = power(len(data) + 1)
+    powers = power(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * power[: len(data)], out=sums[1:])
+    np.cumsum(_VALUES[data] * powers[: len(data)], out=sums[1:])
     # Taking the power of the first byte out makes equal words equal anywhere.
     hashes = mix((sums[last] - sums[first]) * power(len(data) + 1, True)[first] + (last - first).astype(np.uint64))
     return hashes, np.searchsorted(first, bounds)
