@@ -24,3 +24,13 @@ def words(text: Column) -> Column:
 def parts_for(spark: SparkSession, n_bytes: float, each: float) -> int:
     """How many partitions hold `n_bytes` with about `each` bytes apiece."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / each))
+
+
+def held(column: Column) -> Column:
+    """The column, kept from being written into what reads it.
+
+    A filter is moved below a projection with the definitions of its columns in
+    place of their names, and in a lambda such a definition is computed anew for
+    each element. It is not moved below a generator.
+    """
+    return F.explode(F.array(column))

@@ -143,15 +143,16 @@ def taken(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix: rows of `docs`, each as often as it is taken, in the order of
-    their virtual finish times over all sources. Takes ids without repeats."""
+    their virtual finish times over all sources. Rows of one id are each taken
+    as often as the first of them."""
     rows = taken(docs, doc_id, text, source).where("passes > 0").withColumn(
         "_pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))
     )
     finish = ((F.col("sent") + F.col("_pass") * F.col("source_size")) / F.col("target")).alias("_finish")
-    rows = rows.select(F.col("doc_id").alias("_id"), finish)
+    rows = rows.select(F.col("doc_id").alias("_id"), "_pass", finish).groupBy("_id", "_pass").agg(F.min("_finish").alias("_finish"))
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{doc_id}`").alias("_id"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = kept.join(rows, "_id").repartitionByRange(parts, "_finish", "_id").sortWithinPartitions("_finish", "_id")
+    joined = kept.join(rows, kept["_id"].eqNullSafe(rows["_id"])).select("_row", rows["_id"], "_finish").repartitionByRange(parts, "_finish", "_id").sortWithinPartitions("_finish", "_id")
     return joined.select("_row.*")
 
 

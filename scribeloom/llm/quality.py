@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribeloom.llm.common import NOT_SPACE, SPACE, words
+from scribeloom.llm.common import NOT_SPACE, SPACE, held, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -137,7 +137,7 @@ def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES
     """
     struct = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     judged = counts(docs.select(struct, F.col(f"`{text}`").alias("_text")), "_text")
-    return judged.where(verdict(F.col("quality"), rules)).select("_row.*")
+    return judged.select("_row", held(F.col("quality")).alias("quality")).where(verdict(F.col("quality"), rules)).select("_row.*")
 
 
 def op3(docs: DataFrame) -> DataFrame:
