@@ -80,14 +80,15 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
         k, n = partitions(b)
         if k == 0:
             continue  # only equal sets link, and those are one node
-        spread = mix(shingles + np.uint64(b) * _INSTANCE)
+        salt = np.full(1, b, np.uint64) * _INSTANCE
+        spread = mix(shingles + salt)
         part = (spread % np.uint64(n)).astype(np.int64)
         sums = np.zeros(n, np.uint64)
         np.add.at(sums, part, mix(spread))
         used = np.flatnonzero(np.bincount(part, minlength=n))
         if len(used) <= k:
             used = np.arange(n)
-        found.append(mix(sums[used] + mix(used.astype(np.uint64) * _PART + np.uint64(b) * _INSTANCE)))
+        found.append(mix(sums[used] + mix(used.astype(np.uint64) * _PART + salt)))
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scribeloom.llm import html_text, jaccard_join, long_repeats, mixing, pieces, quality, secrets, token_files, url_filter
+from scribeloom.llm import bm25, html_text, jaccard_join, long_repeats, mixing, pieces, quality, secrets, token_files, url_filter
 from scribeloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_mixing(spark, folder):
     return mixing.op5(table(spark, folder, "documents"))
 
 
+def op6_exact_search(spark, folder):
+    return bm25.op6(table(spark, folder, "documents"))
+
+
 def op7_secret_scan(spark, folder):
     return secrets.op7(table(spark, folder, "documents"))
 
@@ -54,6 +58,7 @@ ALL = {
     "op3_quality_rules": (op3_quality_rules, quality.OP3_SQL),
     "op4_token_files": (op4_token_files, None),
     "op5_mixing": (op5_mixing, mixing.OP5_SQL),
+    "op6_exact_search": (op6_exact_search, None),
     "op7_secret_scan": (op7_secret_scan, None),
     "op8_url_filters": (op8_url_filters, url_filter.OP8_SQL),
     "op9_sentencepiece": (op9_sentencepiece, None),
