@@ -29,10 +29,10 @@ from scribeloom.scale import scratch_path
 MAGIC = b"WVM1"
 BLOCK = 4096  # bits a rank entry covers
 SHARD_TOKENS = 1 << 22
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_000_000
 END = 1  # appended to each document
 WORD = re.compile(r"[^ \t\n\r]+")
-STEM = re.compile(r"([A-Za-z]+)([.,;:!?#*%$&()|-]*)")
+STEM = re.compile(r"([^\W\d_]+)([.,;:!?#*%$&()|-]*)")
 SHARD_SCHEMA = "shard long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, matrix binary"
 
 
@@ -138,13 +138,21 @@ class WaveletMatrix:
         return ids
 
 
+def _stem(word: str) -> tuple[str, str]:
+    """Letters and the marks after them; all of another word, and no marks."""
+    m = STEM.fullmatch(word)
+    if not m or not m[1].isalpha() or not m[1].lower().isalpha():
+        return word, ""
+    return (m[1].lower() if m[1].isascii() else m[1]), m[2]
+
+
 class Words:
     """Ids of white-space-separated words, as the library gives them.
 
     The tokenizer drops white space and never joins words across it, so a text
-    is the ids of its words in order; punctuation at the end of a word in ASCII
-    letters is cut off as the tokenizer does, and capitals count as small. What
-    was met lately is remembered by the Python worker.
+    is the ids of its words in order; punctuation after letters is cut off as the
+    tokenizer does, and ASCII capitals count as small. What was met lately is
+    remembered by the Python worker.
     """
 
     def __init__(self, path: str):
@@ -163,7 +171,7 @@ class Words:
 
     def _learn(self, words: list[str]) -> None:
         """Remember new words, by their stems and marks where they have some."""
-        parts = [(m[1].lower(), m[2]) if (m := STEM.fullmatch(w)) else (w, "") for w in words]
+        parts = [_stem(w) for w in words]
         new = list({p for pair in parts for p in pair if p and p not in self._stems})
         self._stems.update(zip(new, self._ask(new), strict=True))
         stems = self._stems
