@@ -38,6 +38,8 @@ CHUNK_SIGNATURES = 1_000_000
 BUCKET_SIGNATURES = 1_500_000
 SKETCH_BITS = 512
 BLOCK = 256  # sets of a signature compared with as many others at once
+MEMBERS = 200_000  # rows of signatures in a task
+PAIRS = 500_000  # pairs of sets in memory at once
 _INSTANCE, _PART = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -250,29 +252,35 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_a.where(_links("set_a", "set_b")).select("a", "b")
 
 
-def _across(members: DataFrame) -> DataFrame:
+def _across(members: DataFrame, rows: int) -> DataFrame:
     """Distinct pairs a < b of members of one signature in different components
     that may link. Members of a signature are cut into blocks, and a task holds
     two of them."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, block in rows.groupby(["signature", "low", "high"], sort=False):
-            left, right = block[block["block"] == block["low"]], block[block["block"] == block["high"]]
-            x = np.frombuffer(b"".join(left["sketch"]), np.uint64).reshape(len(left), -1)
-            y = np.frombuffer(b"".join(right["sketch"]), np.uint64).reshape(len(right), -1)
-            if not len(x) or not len(y):
-                continue
-            differ = np.zeros((len(x), len(y)), np.int64)
-            for w in range(x.shape[1]):
-                differ += np.bitwise_count(x[:, None, w] ^ y[None, :, w])
-            n_a, n_b = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-            codes = pd.factorize(pd.concat([left["label"], right["label"]]))[0]
-            c_a, c_b = codes[: len(x)], codes[len(x) :]
-            i, j = np.nonzero(_may_link(n_a, n_b, differ) & (c_a[:, None] != c_b[None, :]))
-            names_a, names_b = left["node"].to_numpy(), right["node"].to_numpy()
-            out += [(min(p, q), max(p, q)) for p, q in zip(names_a[i], names_b[j], strict=True)]
-        return pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"])
+        rows = rows.sort_values(["signature", "low", "high"], kind="stable", ignore_index=True)
+        key = rows[["signature", "low", "high"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+        sizes = np.diff(np.append(starts, len(rows)))
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+        node, names = pd.factorize(rows["node"])
+        label = pd.factorize(rows["label"])[0]
+        n, block, low, high = (rows[c].to_numpy() for c in ("n", "block", "low", "high"))
+        found = [np.empty((0, 2), np.int64)]
+        for m in np.unique(sizes):  # all groups of one size at once
+            x, y = np.triu_indices(m, 1)
+            groups = starts[sizes == m]
+            step = max(1, PAIRS // max(1, len(x)))
+            for some in (groups[i : i + step] for i in range(0, len(groups), step)):
+                a, b = (some[:, None] + x).ravel(), (some[:, None] + y).ravel()
+                here = np.minimum(block[a], block[b]) == low[a]
+                here &= (np.maximum(block[a], block[b]) == high[a]) & (label[a] != label[b]) & _may_link(n[a], n[b], 0)
+                a, b = a[here], b[here]
+                differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+                here = _may_link(n[a], n[b], differ)
+                found.append(np.unique(np.column_stack([node[a[here]], node[b[here]]]), axis=0))
+        pairs = [(names[i], names[j]) for i, j in np.unique(np.concatenate(found), axis=0)]
+        return pd.DataFrame([(min(p), max(p)) for p in pairs], columns=["a", "b"])
 
     sizes = members.groupBy("signature").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y"))
     open_ = members.join(sizes.where("x <> y").select("signature", "m"), "signature")
@@ -284,7 +292,8 @@ def _across(members: DataFrame) -> DataFrame:
         lambda other: F.struct(F.least("block", other).alias("low"), F.greatest("block", other).alias("high")),
     )
     dealt = open_.withColumn("p", F.explode(pairs)).select("signature", "node", "label", "n", "sketch", "block", "p.*")
-    spread = F.pmod(F.xxhash64("signature", "low", "high"), F.lit(1 << 20))
+    tasks = parts_for(members.sparkSession, rows, MEMBERS)
+    spread = F.pmod(F.xxhash64("signature", "low", "high"), F.lit(tasks))
     return dealt.withColumn("task", spread).groupBy("task").applyInPandas(compare, "a binary, b binary").distinct()
 
 
@@ -307,7 +316,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     members = shared.select("signature", "node").join(facts, "node").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node")
     )
-    rest = _across(members).join(first, ["a", "b"], "left_anti")
+    rest = _across(members, shared.count()).join(first, ["a", "b"], "left_anti")
     return found.union(materialize(_verified(materialize(rest, "rest"), sets), "links"))
 
 
