@@ -1,0 +1,180 @@
+"""Operators that work row by row, against plain models and the libraries."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from scribeloom.llm import html_text, pieces, quality, secrets, token_files
+from scribeloom.llm.queries import tokenizer_path
+
+TEXTS = [
+    None, "", " \n\t ", "one", "the cat sat on the mat and that was that for it is as it was by the door in a house\nwith a cat",
+    "a b c d e f g h i\n" * 6, "line\n\nline\nother\nline", "De%%% êeux*** ouier### |x|<y> &z $1", "THE!! AND!! OF!! " * 10,
+    "é中😀\x00 \x0b\x0c\r\x85\xa0x ▁▁ y", "word " * 3000, "x" * 5000, "the same the same the same the same the same the same",
+]
+SCHEMA = "doc_id long, text string, _w string, quality string, source string"
+
+
+def frame(spark, texts):
+    rows = [(i, t, "own", "mine", None if i % 3 else "s") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows + rows[:2], SCHEMA)
+
+
+def plain_quality(text):
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
+
+
+def test_quality_counts_equal_a_plain_model(spark):
+    got = {r["doc_id"]: r for r in quality.op3(frame(spark, TEXTS)).collect()}
+    for i, t in enumerate(TEXTS):
+        r, want = got[i], plain_quality(t)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, t
+        assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        assert not (r["base_failed"] and r["kept"])
+    assert got[4]["kept"] and not got[7]["kept"] and not got[8]["kept"]
+
+
+def test_quality_keeps_columns_and_empty_tables(spark):
+    docs = frame(spark, TEXTS)
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [4]
+    assert quality.keep_good(docs.where("doc_id < 0")).count() == 0
+
+
+def test_html_keeps_the_article_only():
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+    <nav><ul><li><a href=/a>Home, sweet, home</a></ul></nav><header><h1>Site</h1></header><div class="cookie-notice"><p>We use cookies, many, many.</p></div>
+    <div id=sidebar><p>Side text, with commas, and words, in a row, that go on for some while here.</p></div>
+    <article class="post"><h1>A &amp; B</h1><p>First   paragraph,\n with <b>bold</b>&nbsp;words &lt;x&gt;<br>and a <a href="#">link</a>.<p>Second, short.
+    <div class="ad">Buy, buy, buy, buy now!</div><form><p>Name, mail</p><input></form><ul><li>One<li>Two</ul><!-- no --><table><tr><td>c1<td>c2</table>
+    <section id="comments"><p>Reader says, well, a lot, of things, to say, in a long comment on this.</p></section></article>
+    <footer>&copy; me, you, them</footer></body></html>"""
+    assert html_text.main_text(page) == "A & B\nFirst paragraph, with bold words <x> and a link.\nSecond, short.\nOne\nTwo\nc1\nc2"
+
+
+@pytest.mark.parametrize("html", [None, "", "<p", "<!-- open", "<script>x", "</p></p>", "<div>" * 3000, "<a href='x>y", "<b><i></b></i>", "&#0;&nope;"])
+def test_html_survives_odd_pages(html):
+    html_text.main_text(html)
+
+
+def test_html_without_article_scores_containers():
+    body = "".join(f"<p>Paragraph {i}, with some words, enough of them to count.</p>" for i in range(4))
+    page = f"<body><div><a href=x>One link, two</a> <a href=y>more, links</a></div><div class=x><h2>Head</h2>{body}</div><p>tiny</p></body>"
+    got = html_text.main_text(page).split("\n")
+    assert got[0] == "Head" and len(got) == 5
+
+
+def test_html_operator_keeps_rows(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>Hi there, you.</p>"), (1, "u", "<p>Hi there, you.</p>"), (2, None, None)], "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.op1(pages).collect()) == [(1, "Hi there, you.", 14)] * 2 + [(2, "", 0)]
+    assert html_text.op1(pages.limit(0)).count() == 0
+
+
+def test_token_files_equal_the_library(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    texts = [*TEXTS, "it's I'M don't,'s x's. A<|endoftext|>B <|ENDOFTEXT|>", "İ. É!! été, x²."]
+    docs = spark.createDataFrame([(None if i == 3 else i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, start int")
+    library, start = Tokenizer.from_file(path), 0
+    got = {r["doc_id"]: r for r in token_files.op4(docs, path).collect()}
+    order = [3] + [i for i in range(len(texts)) if i != 3]
+    for i in order:
+        ids = library.encode(texts[i] or "", add_special_tokens=False).ids + [1]
+        r = got[None if i == 3 else i]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), texts[i]
+        start += len(ids)
+    assert token_files.op4(docs.limit(0), path).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 4096, 9000])
+def test_wavelet_matrix(n):
+    ids = np.random.default_rng(n).integers(0, 300, n)
+    matrix = token_files.WaveletMatrix(token_files.WaveletMatrix.image(ids))
+    assert (matrix.decode() == ids).all()
+    for token in (0, 5, 299, 700, -1):
+        assert matrix.count(token) == (ids == token).sum()
+        assert [matrix.select(token, j) for j in range(matrix.count(token))] == np.flatnonzero(ids == token).tolist()
+    assert [matrix.access(i) for i in range(0, n, 37)] == ids[::37].tolist()
+    assert matrix.count(5, n // 3, n // 2) == (ids[n // 3 : n // 2] == 5).sum()
+    with pytest.raises(IndexError):
+        matrix.access(n)
+
+
+def test_token_shards_answer_counts_and_places(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "cat dog " * (i + 1)) for i in range(30)], "doc_id long, text string")
+    token_files.write(docs, f"file://{tmp_path}/t", tokenizer_path("word_bpe_49k.json"), shard_tokens=50)
+    shards = token_files.read(spark, f"file://{tmp_path}/t")
+    assert shards.count() > 5
+    assert token_files.count_token(shards, 1).agg(F.sum("n")).first()[0] == 30
+    assert token_files.find_token(shards, 1).count() == 30
+
+
+def test_pieces_equal_the_library(spark):
+    path = tokenizer_path("piece_bpe_32k.model")
+    codec = pieces.Codec(path)
+    rng = np.random.default_rng(3)
+    alphabet = list("ab e. \n\t▁ ▁▁é中😀\x00\r#=1a 2 the  ")
+    for k in range(400):
+        text = "".join(rng.choice(alphabet, int(rng.integers(0, 30 if k % 9 else 300))))
+        ids = np.frombuffer(codec.encode(text), "<i4").tolist()
+        assert ids == codec.library.encode(text)
+        assert codec.decode(ids) == codec.library.decode(ids)
+    for _ in range(400):
+        ids = rng.choice([0, 1, 2, 3, 35, 200, 230, 259, 13, 29871, 300, 400, 12345], int(rng.integers(0, 8))).tolist()
+        assert codec.decode(ids) == codec.library.decode(ids)
+    got = {r["doc_id"]: r for r in pieces.op9(frame(spark, TEXTS), path).collect()}
+    for i, t in enumerate(TEXTS):
+        ids = codec.library.encode(t or "")
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert tuple(got[i])[1:] == (len(ids), digest(",".join(map(str, ids))), digest(codec.library.decode(ids) if ids else ""))
+
+
+def test_pieces_keep_columns_and_empty_tables(spark):
+    path = tokenizer_path("piece_bpe_32k.model")
+    found = pieces.encode(frame(spark, TEXTS), path)
+    assert found.columns == ["doc_id", "text", "_w", "quality", "source", "ids", "decoded"] and found.count() == len(TEXTS) + 2
+    assert pieces.op9(frame(spark, TEXTS).limit(0), path).count() == 0
+
+
+SECRET = "0a1b2c3d4e5f60718293a4b5c6d7e8f9a0c1e3b7"
+
+
+def secret_docs(spark):
+    rows = [(i, f'some words before token = "{SECRET[i % 7:]}{"abcdef9"[:i % 7]}" and after {i}', "src", "en", 1) for i in range(30)]
+    rows += [(100 + i, f"pay with card 49299636898615{i:02d} in the shop", "src", "en", 1) for i in range(30)]
+    rows += [(200, None, None, None, None), (201, "", "s", "l", 0), (202, "z" * 4000 + "1", "s", "l", 0)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, found int")
+
+
+def test_secrets_found_and_cards_left(spark):
+    got = secrets.op7(secret_docs(spark)).collect()
+    assert {r["doc_id"] for r in got if r["is_secret"]} == set(range(30))
+    assert {r["doc_id"] for r in got if not r["is_secret"]} >= set(range(100, 130))
+
+
+def test_secrets_are_masked_and_held_out_findings_judged(spark):
+    docs = secret_docs(spark)
+    model = secrets.train(secrets.labelled(secrets.with_candidates(docs.where("doc_id % 2 = 0"))))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, model=model).collect()}
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for i in range(30):
+        assert clean[i] == f'some words before token = "{secrets.MARK}" and after {i}'
+        assert clean[100 + i] == before[100 + i]
+    assert clean[200] is None and clean[201] == "" and clean[202] == before[202]
+    assert secrets.redact(docs, model=model).columns == docs.columns
+    assert secrets.op7(docs.limit(0)).count() == 0
