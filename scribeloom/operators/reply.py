@@ -9,19 +9,23 @@ from scribeloom.functions import fixed, text
 
 
 def content_of(body: Column) -> Column:
-    """Message text of a reply in either known shape, else the body itself."""
+    """Message text of a reply in either known shape; the body itself if it has
+    neither; null if the text in the message is null."""
+    has_text = lambda path: F.coalesce(
+        F.array_contains(F.json_object_keys(F.get_json_object(body, path)), "content"), F.lit(False)
+    )
     return text.clean_entities(
         F.coalesce(
             F.get_json_object(body, "$.choices[0].message.content"),
             F.get_json_object(body, "$.message.content"),
-            body,
+            F.when(~(has_text("$.choices[0].message") | has_text("$.message")), body),
         )
     )
 
 
 def read_replies(replies: DataFrame) -> DataFrame:
     """Content of good replies; status, error type and snippet of bad ones."""
-    good = F.col("http_status").between(200, 299)
+    good = F.col("http_status").between(200, 299) & F.coalesce(content_of(F.col("body")).isNotNull() | F.col("body").isNull(), F.lit(True))
     snippet = F.concat(
         F.lit("HTTP "), F.col("http_status").cast("string"), F.lit(" — "),
         F.substring(F.col("body"), F.lit(1), F.lit(fixed.ERROR_SNIPPET)),

@@ -12,16 +12,17 @@ from scribeloom.functions import fixed, text
 from scribeloom.options import ContextOptions, PrefixLists
 
 
-def in_module(df: DataFrame, module: str | None) -> DataFrame:
+def in_module(df: DataFrame, module: str | None, modules: DataFrame | None = None) -> DataFrame:
     """Rows of one module; ALL, a blank or an unknown name keeps every row.
 
-    The name is looked up first, so that the filter itself stays a plain
+    The name is looked up first, in `modules` if given (a table that names all
+    modules, such as the classes), so that the filter itself stays a plain
     predicate that reaches the scan.
     """
     if module is None or not module.strip() or module == "ALL":
         return df
-    rows = df.where(F.col("module") == module)
-    return df if rows.isEmpty() else rows
+    known = df if modules is None else modules
+    return df if known.where(F.col("module") == module).isEmpty() else df.where(F.col("module") == module)
 
 
 def add_category(df: DataFrame, name: str | Column, prefixes: PrefixLists = PrefixLists()) -> DataFrame:

@@ -38,11 +38,13 @@ def new_tasks(entries: DataFrame, created_at: Column | None = None) -> DataFrame
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """Last row of each task by `seq`; combined before the shuffle."""
+    """Last row of each task by `seq`; combined before the shuffle. A row
+    without `seq` comes before all others of its task."""
     rest = [c for c in log.columns if c not in ("task_id", "seq")]
+    place = F.coalesce("seq", F.lit(-(1 << 63)))
     return (
         log.groupBy("task_id")
-        .agg(F.max_by(F.struct(*rest), "seq").alias("s"), F.max("seq").alias("seq"))
+        .agg(F.max_by(F.struct(*rest), place).alias("s"), F.max("seq").alias("seq"))
         .select("task_id", "s.*", "seq")
     )
 

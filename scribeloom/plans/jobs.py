@@ -16,10 +16,10 @@ def scan(
     created_at: Column | None = None, observation: Observation | None = None,
 ) -> DataFrame:
     """Queued tasks for the entries that have no document yet."""
+    classes = select.in_module(symbols["classes"], options.module)  # before any join
     entries = select.select_entries(
-        symbols["classes"], symbols["methods"], symbols["annotations"], options.annotation, options.per_class
+        classes, symbols["methods"], symbols["annotations"], options.annotation, options.per_class
     )
-    entries = select.in_module(entries, options.module)
     entries = select.add_category(entries, text.base_name(F.col("method")), options.prefixes)
     entries = select.keep_categories(entries, options.categories, observation)
     # Stored, so that Spark knows its size and broadcasts it if it is small.

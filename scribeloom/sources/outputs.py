@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scribeloom import schemas
@@ -75,25 +76,66 @@ def output_rows(documents: DataFrame, options: OutputOptions = OutputOptions())
     )
 
 
+OUTPUT_TABLE = "task_id string, path string, content string, kind string, module string, run bigint"
+# Characters of content that one file should hold about.
+FILE_CHARS = 256 << 20
+
+
+def runs(spark: SparkSession, table: str) -> list[int]:
+    """The runs that a table holds, ascending, from its folder names."""
+    try:
+        rows = spark.read.schema(OUTPUT_TABLE).parquet(table).select("run").distinct().collect()  # one row a run
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted(r["run"] for r in rows)
+
+
 def write_outputs(
-    documents: DataFrame, table: str, options: OutputOptions = OutputOptions(), run: int = 0
-) -> None:
+    documents: DataFrame, table: str, options: OutputOptions = OutputOptions(), run: int | None = None,
+    repeat: bool = False,
+) -> int:
     """Write documents as rows of path and content, in folders by kind, module
-    and run. Runs are numbered upwards: a path written again by a later run
-    replaces the older one for readers, and a run that is repeated replaces its
-    own rows only."""
+    and run, and return the run.
+
+    Runs are numbered upwards: a path written again by a later run replaces the
+    older one for readers. Without a number the next free one is taken; a run
+    that exists is refused, unless the caller asks to repeat it, which replaces
+    its own rows. Names that become the same path give one row, that of the
+    task created last.
+    """
+    spark = documents.sparkSession
+    known = runs(spark, table)
+    run = run if run is not None else max(known, default=-1) + 1
+    if run in known and not repeat:
+        raise ValueError(f"run {run} exists; say repeat=True to replace it")
+    created = "created_at" if "created_at" in documents.columns else None
+    rows = output_rows(documents, options)
+    order = [F.col("task_id")]
+    if created:
+        rows = rows.join(documents.select("task_id", F.col(created).alias("_created")), "task_id")
+        order = [F.col("_created"), *order]
+    kept = ("task_id", "module", "kind", "content")
+    rows = rows.groupBy("path").agg(F.max_by(F.struct(*kept), F.struct(*order)).alias("r")).select("path", "r.*")
+    rows = rows.withColumn("run", F.lit(run).cast("bigint"))
+    # Files by kind and module, in pieces of a bounded size, not one per task.
+    sizes = rows.groupBy("kind", "module").agg(F.sum(F.length("content")).alias("n"))
+    pieces = F.ceil(F.col("n") / FILE_CHARS).cast("int")
+    rows = rows.join(sizes.select("kind", "module", pieces.alias("_pieces")), ["kind", "module"])
+    rows = rows.repartition("kind", "module", F.pmod(F.xxhash64("path"), F.greatest("_pieces", F.lit(1)))).drop("_pieces")
     (
-        output_rows(documents, options).withColumn("run", F.lit(run).cast("bigint"))
+        rows.select("task_id", "path", "content", "kind", "module", "run")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("kind", "module", "run").parquet(table)
     )
+    return run
 
 
 def read_outputs(spark: SparkSession, table: str) -> DataFrame:
-    """The last content written to each path. Which run that is comes from the
-    paths alone, without the contents."""
-    rows = spark.read.schema(
-        "task_id string, path string, content string, kind string, module string, run bigint"
-    ).parquet(table)
-    last = rows.groupBy("path").agg(F.max("run").alias("run"))
-    return rows.join(last, ["path", "run"], "left_semi")
+    """The last content written to each path. Which rows are superseded comes
+    from the paths alone; contents are not shuffled unless many are."""
+    rows = spark.read.schema(OUTPUT_TABLE).parquet(table)
+    last = F.max("run").over(W.partitionBy("path"))
+    old = rows.select("path", "run").withColumn("last", last).where("run < last").select("path", "run")
+    return rows.join(old, ["path", "run"], "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,15 @@ def complete(rows: DataFrame) -> DataFrame:
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    complete(rows).write.mode("append").parquet(path)
+    """Append rows. Rows without `updated_at` get the time of the call, rows
+    without `seq` a number that is greater than those of earlier calls: the
+    time in milliseconds, shifted, plus a number of the row."""
+    now = time.time_ns()
+    stamped = complete(rows).withColumns({
+        "updated_at": F.coalesce("updated_at", F.timestamp_micros(F.lit(now // 1000))),
+        "seq": F.coalesce("seq", F.lit((now // 1_000_000) << 20) + F.pmod(F.xxhash64("task_id", "status", "attempt"), F.lit(1 << 20))),
+    })
+    stamped.write.mode("append").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

@@ -37,25 +37,38 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
     return latest(spark.read.parquet(path).drop("batch_id"))
 
 
-def window_counts(log: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Events per status in tumbling windows of `updated_at`; rows later than
-    the delay are dropped."""
-    return (
-        log.withWatermark("updated_at", delay)
-        .groupBy(F.window("updated_at", width).alias("w"), "status")
-        .agg(F.count("*").alias("events"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "status", "events")
-    )
+def window_counts(log: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Events per status in tumbling windows of `updated_at`. Rows without a
+    time are in a window of their own, with null bounds."""
+    window = F.window("updated_at", width)
+    counts = [F.count("*").alias("events"), F.max("updated_at").alias("last_seen")]
+    timed = log.where(F.col("updated_at").isNotNull()).groupBy(window.alias("w"), "status").agg(*counts)
+    timed = timed.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "status", "events", "last_seen")
+    no_time = F.lit(None).cast("timestamp")
+    untimed = log.where(F.col("updated_at").isNull()).groupBy("status").agg(*counts)
+    return timed.unionByName(untimed.withColumn("window_start", no_time).withColumn("window_end", no_time))
+
 
+def stream_window_counts(log: DataFrame, path: str, checkpoint: str, width: str = "1 hour") -> StreamingQuery:
+    """Count each batch by window and status. No row is ever too late: a batch
+    adds its counts, and `read_window_counts` sums them."""
 
-def stream_window_counts(
-    log: DataFrame, path: str, checkpoint: str, width: str = "1 hour", delay: str = "1 hour"
-) -> StreamingQuery:
-    """Write each window once, when the watermark has passed it."""
     return (
-        window_counts(log, width, delay)
-        .writeStream.outputMode("append").format("parquet")
-        .option("path", path).option("checkpointLocation", checkpoint)
+        log.select("updated_at", "status").writeStream
+        .foreachBatch(lambda batch, n: _write_batch(window_counts(batch, width), n, path))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_window_counts(spark: SparkSession, path: str, delay: str = "1 hour") -> DataFrame:
+    """window_start, window_end, status, events, closed: a window counts as
+    closed if it ended the delay before the greatest time seen. Later rows
+    still change it once they come."""
+    parts = spark.read.schema(
+        "window_start timestamp, window_end timestamp, status string, events bigint, last_seen timestamp"
+    ).parquet(path)
+    last = parts.agg(F.max("last_seen") - F.expr(f"INTERVAL {delay}")).first()[0]
+    sums = parts.groupBy("window_start", "window_end", "status").agg(F.sum("events").alias("events"))
+    return sums.withColumn("closed", F.coalesce(F.col("window_end") <= F.lit(last), F.lit(False)))

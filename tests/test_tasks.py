@@ -102,7 +102,9 @@ def test_documents_written_and_found(spark, tmp_path):
     )
     table = str(tmp_path / "out")
     for _ in range(2):  # a run that is repeated replaces its own rows
-        outputs.write_outputs(docs, table, OutputOptions(group_by_module=True), run=1)
+        outputs.write_outputs(docs, table, OutputOptions(group_by_module=True), run=1, repeat=True)
+    with pytest.raises(ValueError):
+        outputs.write_outputs(docs, table, run=1)
     got = {(r["kind"], r["module"], r["path"], r["content"]) for r in outputs.read_outputs(spark, table).collect()}
     assert got == {
         ("md", "m 1", "md/m_1/c/A/c.A_get_int__5.md", "text"), ("docs", "m 1", "docs/m_1/c/A/c.A_get_int__5.doc", "text"),
@@ -112,7 +114,7 @@ def test_documents_written_and_found(spark, tmp_path):
     assert outputs.list_output_table(spark, table).count() == 4
     # A later run keeps the documents of the run before and replaces equal paths.
     later = docs.where("scope = 'CLASS'").withColumn("markdown", F.lit("new"))
-    outputs.write_outputs(later, table, OutputOptions(group_by_module=True, write_doc=False), run=2)
+    assert outputs.write_outputs(later, table, OutputOptions(group_by_module=True, write_doc=False)) == 2
     kept = {r["path"]: r["content"] for r in outputs.read_outputs(spark, table).collect()}
     assert len(kept) == 6 and kept["md/c.B_CLASS_6.md"] == "new" and kept["docs/c.B_CLASS_6.doc"] == "whole"
     assert outputs.list_output_table(spark, table).count() == 4
@@ -154,12 +156,45 @@ def test_stream_of_states_equals_the_batch(spark, tmp_path):
     assert got == sorted((r["task_id"], r["status"], r["seq"]) for r in tasks.latest(df).collect())
 
     counted, state2 = str(tmp_path / "counted"), str(tmp_path / "state2")
-    one = spark.readStream.schema(df.schema).parquet(src)
-    task_events.stream_window_counts(one, counted, state2, "2 hours", "10 minutes").awaitTermination()
+    one = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    task_events.stream_window_counts(one, counted, state2, "2 hours").awaitTermination()
     closed = df.groupBy(F.window("updated_at", "2 hours").alias("w"), "status").count()
     end = df.agg(F.max("updated_at") - F.expr("interval 10 minutes")).first()[0]
-    want = {(r["w"]["start"], r["status"], r["count"]) for r in closed.collect() if r["w"]["end"] <= end}
-    assert {(r["window_start"], r["status"], r["events"]) for r in spark.read.parquet(counted).collect()} == want and want
+    want = {(r["w"]["start"], r["status"], r["count"], r["w"]["end"] <= end) for r in closed.collect()}
+    found = task_events.read_window_counts(spark, counted, "10 minutes").collect()
+    assert {(r["window_start"], r["status"], r["events"], r["closed"]) for r in found} == want
+    assert len({flag for *_, flag in want}) == 2
+
+
+def test_equal_paths_of_one_run_keep_the_later_task(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [("c.A#f()#5", "c.A", "METHOD", None, "old", 1), ("c.A#f[]#5", "c.A", "METHOD", None, "new", 2)],
+        "task_id string, class_fqn string, scope string, module string, markdown string, created_at bigint",
+    )
+    table = str(tmp_path / "out")
+    assert outputs.write_outputs(docs, table, OutputOptions(write_doc=False)) == 0
+    assert outputs.write_outputs(docs.limit(0), table) == 1
+    assert [r["content"] for r in outputs.read_outputs(spark, table).collect()] == ["new"]
+
+
+def test_appended_rows_are_stamped_and_found(spark, tmp_path):
+    queued = jobs.scan(project.tables(spark), spark.createDataFrame([], "path string"), Options(annotation="Rpc"))
+    task_log.append_log(queued, str(tmp_path / "log"))
+    task_log.append_log(queued.limit(1).withColumn("status", F.lit("SUCCEEDED")), str(tmp_path / "log"))
+    states = [r["status"] for r in tasks.latest(task_log.read_log(spark, str(tmp_path / "log"))).collect()]
+    assert sorted(states) == ["QUEUED"] * (len(states) - 1) + ["SUCCEEDED"]
+    nulls = task_log.read_log(spark, str(tmp_path / "log")).withColumn("seq", F.lit(None).cast("bigint"))
+    assert tasks.latest(nulls).where("status is null").count() == 0
+
+
+def test_known_module_without_entries_queues_nothing(spark):
+    t = project.tables(spark)
+    extra = t["classes"].limit(1).withColumn("module", F.lit("empty")).withColumn("class_fqn", F.lit("e.E"))
+    t = {**t, "classes": t["classes"].unionByName(extra)}
+    none = spark.createDataFrame([], "path string")
+    every = jobs.scan(t, none, Options(annotation="Rpc")).count()
+    assert jobs.scan(t, none, Options(annotation="Rpc", module="empty")).count() == 0
+    assert jobs.scan(t, none, Options(annotation="Rpc", module="nowhere")).count() == every
 
 
 def test_streamed_entries_are_queued_once(spark, tmp_path):

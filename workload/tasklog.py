@@ -89,7 +89,9 @@ def rerun_failed(spark, folder):
 
 
 def rerun_timeouts(spark, folder):
-    return tasks.timed_out(data.task_log(spark, folder)).select("task_id", "error_type", "error_message", "seq")
+    old = tasks.timed_out(tasks.latest(data.task_log(spark, folder)))
+    again = tasks.run_again(old, F.lit(78).cast("bigint"))
+    return again.select("task_id", "class_fqn", "method", "scope", "status", "created_at", "attempt")
 
 
 def rerun_by_ids(spark, folder):
@@ -114,15 +116,28 @@ def stream_latest(spark, folder):
     return task_events.read_latest(spark, out).select(*SHORT)
 
 
+def _windows(spark, out):
+    return task_events.read_window_counts(spark, out).select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+        F.col("window_end").cast("timestamp_ntz").alias("window_end"), "status", "events", "closed",
+    )
+
+
 def stream_windows(spark, folder):
     out, state = scratch_path(spark, "windows"), scratch_path(spark, "windows-state")
     log = data.task_log_of(_stream(spark, folder, "events"))
     task_events.stream_window_counts(log, out, state).awaitTermination()
-    found = spark.read.schema("window_start timestamp, window_end timestamp, status string, events bigint").parquet(out)
-    return found.select(
-        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-        F.col("window_end").cast("timestamp_ntz").alias("window_end"), "status", "events",
-    )
+    return _windows(spark, out)
+
+
+def stream_windows_batches(spark, folder):
+    """The same from four files that come one a batch, in no order of time."""
+    split, out, state = (scratch_path(spark, name) for name in ("events", "windows", "windows-state"))
+    events = data.table(spark, folder, "events")
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(split)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(split)
+    task_events.stream_window_counts(data.task_log_of(stream), out, state).awaitTermination()
+    return _windows(spark, out)
 
 
 def stream_queue(spark, folder):
@@ -187,6 +202,11 @@ def written_symbols(spark, folder):
     return whole
 
 
+WINDOWS_SQL = sql(LOG, """
+        w AS (SELECT time_bucket(INTERVAL '1 hour', updated_at) AS window_start, status, count(*) AS events FROM log GROUP BY 1, 2)""", body="""
+        SELECT window_start, window_start + INTERVAL '1 hour' AS window_end, status, events,
+               window_start + INTERVAL '1 hour' <= (SELECT max(updated_at) FROM log) - INTERVAL '1 hour' AS closed FROM w""")
+
 QUERIES = {
     "latest_tasks": (latest_tasks, sql(LOG, body="""
         SELECT task_id, class_fqn, method, status, progress, message, scope, error_type, error_message, attempt, seq,
@@ -234,7 +254,8 @@ QUERIES = {
         SELECT class_fqn || '#' || method || '#77' AS task_id, class_fqn, method, scope, 'QUEUED' AS status,
                77::BIGINT AS created_at, 0 AS attempt FROM last WHERE status = 'FAILED'""")),
     "rerun_timeouts": (rerun_timeouts, sql(LOG, body="""
-        SELECT task_id, error_type, error_message, seq FROM log
+        SELECT class_fqn || '#' || method || '#78' AS task_id, class_fqn, method, scope, 'QUEUED' AS status,
+               78::BIGINT AS created_at, 0 AS attempt FROM last
         WHERE status = 'FAILED' AND (error_type ILIKE '%timeout%' OR error_message ILIKE '%timed out%')""")),
     "rerun_by_ids": (rerun_by_ids, sql(LOG, body="""
         SELECT task_id, status, seq FROM last WHERE task_id IN (SELECT 'u' || (c_custkey * 3) FROM customer)""")),
@@ -243,10 +264,8 @@ QUERIES = {
                (k * 1000)::BIGINT AS created_at FROM m""")),
     "stream_latest": (stream_latest, sql(LOG, body="""
         SELECT task_id, class_fqn, method, status, progress, message, scope, error_type, error_message, attempt, seq FROM last""")),
-    "stream_windows": (stream_windows, sql(LOG, """
-        w AS (SELECT time_bucket(INTERVAL '1 hour', updated_at) AS window_start, status, count(*) AS events FROM log GROUP BY 1, 2)""", body="""
-        SELECT window_start, window_start + INTERVAL '1 hour' AS window_end, status, events FROM w
-        WHERE window_start + INTERVAL '1 hour' <= (SELECT max(updated_at) FROM log) - INTERVAL '1 hour'""")),
+    "stream_windows": (stream_windows, WINDOWS_SQL),
+    "stream_windows_batches": (stream_windows_batches, WINDOWS_SQL),
     "stream_queue": (stream_queue, sql(SRC, body="""
         SELECT class_fqn || '#' || method || '#5' AS task_id, class_fqn, method, 'QUEUED' AS status, 'METHOD' AS scope
         FROM (SELECT doc_id, class_fqn, coalesce(nullif(regexp_extract(text, '[A-Za-z]+'), ''), 'm') || '(' || lang || ',L1)' AS method FROM src) e
