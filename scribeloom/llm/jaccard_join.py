@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from scribeloom.llm.common import parts_for
 from scribeloom.llm.components import components
 from scribeloom.llm.shingles import mix, shingle_sets
-from scribeloom.scale import find_hot, materialize, skew_join
+from scribeloom.scale import find_hot, materialize, release, skew_join
 
 PERCENT = 80
 CHUNK_SIGNATURES = 1_000_000
@@ -112,19 +112,20 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node of every row with doc_id and text."""
+    """doc_id, n_shingles, node, sketch of every row with doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, sketches = [], [], []
             for _, s in _texts(batch):
                 sizes.append(len(s))
                 nodes.append(node_of(s))
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node"])
+                sketches.append(sketch_of(s))
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "sketch"])
 
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -133,7 +134,8 @@ def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
     the least node of the signature.
 
     Signatures travel in packed rows, one per bucket and chunk of documents;
-    equal sets of one task are signed once.
+    equal sets of one task are signed once. Signatures that the very same sets
+    share say the same, so each such group is given once, under its hash.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,33 +190,37 @@ def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
         values, owner = values[fresh], owner[fresh]
         starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         sizes = np.diff(np.append(starts, len(values)))
-        shared = np.repeat(sizes > 1, sizes)
+        marks = mix(names[:, 0].astype(np.uint64) ^ mix(names[:, 1].astype(np.uint64)))
+        group = mix(np.add.reduceat(marks[owner], starts) + sizes.astype(np.uint64))
+        once = np.zeros(len(starts), bool)
+        once[np.unique(group, return_index=True)[1]] = True
+        shared = np.repeat((sizes > 1) & once, sizes)
         leader = np.repeat(owner[starts], sizes)[shared]
-        values, owner = values[shared], owner[shared]
+        values, owner = np.repeat(group, sizes)[shared], owner[shared]
         raw = [names[i].tobytes() for i in range(len(names))]
         return pd.DataFrame({
             "signature": values.view(np.int64), "node": [raw[i] for i in owner], "leader": [raw[i] for i in leader],
         })
 
     packed = docs.select("text").mapInArrow(sign, "bucket long, signatures binary, owners binary, nodes binary")
-    return packed.groupBy("bucket").applyInPandas(match, "signature long, node binary, leader binary")
+    return packed.groupBy("bucket").applyInPandas(match, "signature long, node binary, leader binary").distinct()
 
 
-def _with_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, n, sketch, shingles of the wanted nodes, from one document of each."""
+def _with_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, shingles of the nodes of the pairs, from one document of each."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(node_of(s), len(s), sketch_of(s), s.tobytes()) for _, s in _texts(batch)]
-            columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)] if out else []
-            if out:
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "sketch", "shingles"])
+            out = [(node_of(s), s.tobytes()) for _, s in _texts(batch)]
+            columns = [pa.array([row[k] for row in out], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
 
     texts = docs.select("doc_id", "text").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-    made = texts.select("text").mapInArrow(run, "node binary, n long, sketch binary, shingles binary")
-    # Rows of one id with other texts give sets that were not asked for.
-    return made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "shingles")])
+    made = texts.select("text").mapInArrow(run, "node binary, shingles binary")
+    # Rows of one id may repeat, or give sets that were not asked for.
+    return made.dropDuplicates(["node"])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -244,15 +250,20 @@ def _links(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(found, dtype=bool)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b that link."""
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs a, b that link, by all their shingles."""
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    sets = materialize(_with_sets(docs, nodes, pairs), "sets")
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}"))
     with_b = pairs.select("a", "b").join(side("b"), "b")
     with_a = skew_join(with_b, side("a"), ["a"], hot_left=find_hot(pairs, ["a"]), spread_by=["b"])
-    return with_a.where(_links("set_a", "set_b")).select("a", "b")
+    found = materialize(with_a.where(_links("set_a", "set_b")).select("a", "b"), "links")
+    release(docs.sparkSession)
+    return found
 
 
-def _across(members: DataFrame, rows: int) -> DataFrame:
+def _across(members: DataFrame, facts: DataFrame, rows: int) -> DataFrame:
     """Distinct pairs a < b of members of one signature in different components
     that may link. Members of a signature are cut into blocks, and a task holds
     two of them."""
@@ -283,7 +294,7 @@ def _across(members: DataFrame, rows: int) -> DataFrame:
         return pd.DataFrame([(min(p), max(p)) for p in pairs], columns=["a", "b"])
 
     sizes = members.groupBy("signature").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y"))
-    open_ = members.join(sizes.where("x <> y").select("signature", "m"), "signature")
+    open_ = members.join(sizes.where("x <> y").select("signature", "m"), "signature").join(facts, "node")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     # Blocks by hash: no window over a whole signature is needed.
     open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -306,18 +317,21 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = parts_for(spark, 0.65 * total, BUCKET_SIGNATURES)
     shared = materialize(shared_signatures(docs, buckets), "signatures")
-    sets = materialize(_with_sets(docs, nodes, shared.select("node")), "sets")
-    facts = sets.select("node", "n", "sketch")
+    release(spark)
+    facts = nodes.join(shared.select("node"), "node", "left_semi").groupBy("node").agg(
+        F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
+    )
+    facts = materialize(facts, "facts")
     first = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     first = first.join(facts.toDF("b", "n_b", "sketch_b"), "b").join(facts.toDF("a", "n_a", "sketch_a"), "a")
     first = materialize(first.where(_near("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b"), "first")
-    found = materialize(_verified(first, sets), "links")
+    found = _verified(docs, nodes, first)
     labels = components(found)
-    members = shared.select("signature", "node").join(facts, "node").join(labels, "node", "left").withColumn(
-        "label", F.coalesce("label", "node")
-    )
-    rest = _across(members, shared.count()).join(first, ["a", "b"], "left_anti")
-    return found.union(materialize(_verified(materialize(rest, "rest"), sets), "links"))
+    members = shared.select("signature", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = _across(members, facts, shared.count()).join(first, ["a", "b"], "left_anti")
+    rest = materialize(rest, "rest")
+    release(spark)
+    return found.union(_verified(docs, nodes, rest))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -335,7 +349,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     least = full.groupBy("node").agg(F.min("doc_id").alias("least"))
     least = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = least.join(least.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
-    joined = skew_join(nodes, materialize(named, "named"), ["node"], "left", hot_left=find_hot(nodes, ["node"]))
+    joined = skew_join(nodes.drop("sketch"), materialize(named, "named"), ["node"], "left", hot_left=find_hot(nodes, ["node"]))
     return joined.select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
