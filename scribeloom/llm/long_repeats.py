@@ -106,7 +106,7 @@ class RunIndex:
         at = np.arange(size)
 
         def rank(key: np.ndarray) -> np.ndarray:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
             out = np.empty(size, np.int64)
             out[order] = new
@@ -122,7 +122,7 @@ class RunIndex:
                 alike = beside(ranks, LENGTH - known)
             ranks = rank(beside(ranks, known))
             known *= 2
-        rows = np.argsort(ranks, kind="stable")
+        rows = np.argsort(ranks * size + at)
         same = alike[rows]
         match = np.concatenate([[False], same[1:] == same[:-1]]) & (left[rows] >= LENGTH)
         return rows, match
@@ -163,15 +163,15 @@ def _pieces_of(d: int, x: int, text: bytes) -> Iterator[tuple[int, int, bytes, i
         yield d, x, text[at : at + CHUNK + LENGTH - 1], at
 
 
-def _finer(run: dict, text: bytes) -> Iterator[tuple[int, int, int]]:
+def _finer(first: int, n: int, ahead: int, text: bytes) -> Iterator[tuple[int, int, int]]:
     """Key, first start and number of starts of the parts of a run whose k-gram
     is hot. Strings with their k-gram in the same BLOCK places of them share the
     bytes in between, so these are the key of equal strings."""
-    gram_at = run["first"] + run["ahead"]
-    for block in range((run["ahead"] - run["n"] + 1) // BLOCK, run["ahead"] // BLOCK + 1):
+    gram_at = first + ahead
+    for block in range((ahead - n + 1) // BLOCK, ahead // BLOCK + 1):
         last = gram_at - block * BLOCK
         core = text[max(0, last) : last - BLOCK + 1 + LENGTH]
-        a, b = max(run["first"], last - BLOCK + 1), min(run["first"] + run["n"] - 1, last)
+        a, b = max(first, last - BLOCK + 1), min(first + n - 1, last)
         if a <= b:
             key = xxhash.xxh3_64_intdigest(core, seed=block)
             yield key - (1 << 64 if key >> 63 else 0), a, b - a + 1
@@ -252,12 +252,16 @@ def earlier_ranges(keyed: DataFrame, samples: DataFrame, buckets: int) -> DataFr
         """Pieces of text by bucket; equal pieces of a batch travel once."""
         for batch in batches:
             places: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-            columns = (batch.column(c) for c in ("d", "x", "text", "runs"))
-            for d, x, text, found in zip(*columns, strict=True):
-                d, x, text = d.as_py(), x.as_py(), text.as_py()
-                for run in found.as_py():
-                    for key, a, n in _finer(run, text) if run["hot"] else [(run["gram"], run["first"], run["n"])]:
-                        places.setdefault((key, text[a : a + n + LENGTH - 1]), []).append((d, x, a))
+            found = batch.column("runs")
+            ends, fields = found.offsets.to_pylist(), found.values
+            first, n, ahead, gram, hot = (fields.field(c).to_pylist() for c in ("first", "n", "ahead", "gram", "hot"))
+            ds, xs = batch.column("d").to_pylist(), batch.column("x").to_pylist()
+            for k, text in enumerate(batch.column("text")):
+                d, x, text = ds[k], xs[k], text.as_py()
+                for j in range(ends[k], ends[k + 1]):
+                    run = [(gram[j], first[j], n[j])]
+                    for key, a, m in _finer(first[j], n[j], ahead[j], text) if hot[j] else run:
+                        places.setdefault((key, text[a : a + m + LENGTH - 1]), []).append((d, x, a))
             grams, pieces = [k[0] for k in places], [k[1] for k in places]
             column = lambda i: pa.array([[p[i] for p in v] for v in places.values()], pa.list_(pa.int64()))
             bucket = (np.array(grams, np.int64).view(np.uint64) >> np.uint64(8)) % np.uint64(buckets)
@@ -273,12 +277,12 @@ def earlier_ranges(keyed: DataFrame, samples: DataFrame, buckets: int) -> DataFr
         new = ~flat.duplicated(["gram", "piece"]).to_numpy()
         copies, own = flat[~new], flat[new]
         out = [pd.DataFrame({"d": copies["d"], "x": copies["x"], "begin": copies["first"], "end": copies["first"] + copies["piece"].map(len)})]
+        # A piece alone with its k-gram matches nothing: within a piece the
+        # k-gram stands at another place in every string.
+        own = own[own.groupby("gram")["gram"].transform("size") > 1].sort_values("gram", kind="stable")
         # One index for about INDEX_BYTES of pieces; those of one k-gram stay together.
-        load = own.groupby("gram")["piece"].transform(lambda p: p.map(len).sum()) / own.groupby("gram")["gram"].transform("size")
-        order = own["gram"].argsort(kind="stable")
-        part = np.empty(len(own), np.int64)
-        part[order] = np.cumsum(load.to_numpy()[order]) // INDEX_BYTES
-        part = pd.Series(part, own.index).groupby(own["gram"]).transform("min")
+        part = (own["piece"].map(len).astype("int64").cumsum() // INDEX_BYTES).groupby(own["gram"]).transform("min")
+        own = own.sort_index()
         found = []
         for _, some in own.groupby(part):
             pieces = some["piece"].tolist()
