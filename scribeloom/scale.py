@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
-# A key is hot if it holds more than 1/HOT_SHARE of the rows, so a table of hot
-# keys never has HOT_SHARE rows or more and is safe to broadcast or collect.
-HOT_SHARE = 64
+# A key is hot if it holds more than HOT_TIMES the rows of a mean shuffle
+# partition. There are fewer hot keys than partitions, so their table is safe
+# to broadcast or collect.
+HOT_TIMES = 2
 # Below this many rows a key is no burden for one task.
-HOT_FLOOR = 100_000
+HOT_FLOOR = 20_000
 
 
 def session_conf(cores: int | None = None) -> dict[str, str]:
@@ -95,16 +96,25 @@ def at_once(spark: SparkSession, *steps: Callable[[], T]) -> list[T]:
         return [s.result() for s in started]
 
 
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def hot_keys(
-    df: DataFrame, on: Sequence[str], share: int = HOT_SHARE, floor: int = HOT_FLOOR
+    df: DataFrame, on: Sequence[str], share: float | None = None, floor: int = HOT_FLOOR
 ) -> DataFrame:
-    """Keys holding more than 1/share of the rows: fewer than `share` rows.
+    """Keys holding more than 1/share of the rows, so fewer than `share`, with
+    `_salts`: the partitions that their rows would fill, and one more.
 
     Counts are combined before the shuffle, so the count itself has no skew.
     """
+    parts = partitions(df.sparkSession)
+    share = max(2.0, parts / HOT_TIMES) if share is None else share
     counts = df.groupBy(*on).agg(F.count("*").alias("_n"))
-    limit = counts.agg((F.sum("_n") / F.lit(share)).alias("_limit")).scalar()
-    return counts.where((F.col("_n") >= floor) & (F.col("_n") > limit)).select(*on)
+    total = counts.agg(F.sum("_n")).scalar()
+    salts = F.least(F.ceil(F.col("_n") * parts / total) + 1, F.lit(max(2, parts))).cast("int")
+    hot = (F.col("_n") >= floor) & (F.col("_n") > total / F.lit(share))
+    return counts.where(hot).select(*on, salts.alias("_salts"))
 
 
 def salt_of(columns: Sequence[str | Column], salts: int) -> Column:
@@ -117,16 +127,15 @@ def salts_for(spark: SparkSession) -> int:
 
 
 def find_hot(
-    df: DataFrame, on: Sequence[str], share: int = HOT_SHARE, floor: int = HOT_FLOOR, rows: int | None = None
+    df: DataFrame, on: Sequence[str], share: float | None = None, floor: int = HOT_FLOOR, rows: int | None = None
 ) -> DataFrame | None:
     """The hot keys as a small local frame, or None. `rows` is the number of
     rows if known: below the floor there is nothing to count."""
     if rows is not None and rows < floor:
         return None
-    found = hot_keys(df, on, share, floor).collect()  # fewer than `share` rows
-    if not found:
-        return None
-    return df.sparkSession.createDataFrame(found, df.select(*on).schema)
+    keys = hot_keys(df, on, share, floor)
+    found = keys.collect()  # fewer than `share` rows
+    return df.sparkSession.createDataFrame(found, keys.schema) if found else None
 
 
 def skew_join(
@@ -152,30 +161,27 @@ def skew_join(
         return left.join(right, on, how)
     if hot_right is not None and how != "inner":
         raise ValueError("the right side can be spread in an inner join only")
-    salts = salts_for(left.sparkSession)
-    left, right = _spread(left, right, on, hot_left, "_salt_l", salts, spread_by or left.columns)
-    right, left = _spread(right, left, on, hot_right, "_salt_r", salts, right.columns)
+    left, right = _spread(left, right, on, hot_left, "_salt_l", spread_by or left.columns)
+    right, left = _spread(right, left, on, hot_right, "_salt_r", right.columns)
     joined = left.join(right, [*on, "_salt_l", "_salt_r"], how)
     return joined.drop("_salt_l", "_salt_r")
 
 
 def _spread(
     big: DataFrame, other: DataFrame, on: list[str], hot: DataFrame | None,
-    name: str, salts: int, columns: Sequence[str],
+    name: str, columns: Sequence[str],
 ) -> tuple[DataFrame, DataFrame]:
     if hot is None:
         return big.withColumn(name, F.lit(0)), other.withColumn(name, F.lit(0))
-    flagged = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # fewer than HOT_SHARE rows
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    flagged = F.broadcast(hot)  # fewer rows than partitions
+    salt = F.pmod(F.xxhash64(*columns), F.col("_salts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("_salts") - 1)
     salted = (
-        big.join(flagged, on, "left")
-        .withColumn(name, F.when(F.col("_hot"), salt_of(columns, salts)).otherwise(F.lit(0)))
-        .drop("_hot")
+        big.join(flagged, on, "left").withColumn(name, F.coalesce(salt, F.lit(0))).drop("_salts")
     )
     repeated = (
         other.join(flagged, on, "left")
-        .withColumn(name, F.explode_outer(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+        .withColumn(name, F.explode(F.coalesce(every, F.array(F.lit(0))))).drop("_salts")
     )
     return salted, repeated
 
