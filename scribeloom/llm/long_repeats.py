@@ -244,7 +244,7 @@ def earlier_ranges(keyed: DataFrame, samples: DataFrame, buckets: int) -> DataFr
     if hot is None:
         samples = samples.withColumn("hot", F.lit(False))
     else:  # fewer grams than buckets
-        flagged = F.broadcast(hot.withColumn("hot", F.lit(True)))
+        flagged = F.broadcast(hot.select("gram", F.lit(True).alias("hot")))
         samples = samples.join(flagged, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     runs = samples.groupBy("d", "x").agg(F.collect_list(F.struct("first", "n", "ahead", "gram", "hot")).alias("runs"))
 
