@@ -18,6 +18,7 @@ ANNOTATION_WHITELIST = ("Entity", "jakarta.persistence.Entity", "javax.persisten
 
 # Task states, their rank in a sorted list, and task scopes.
 STATUSES = ("QUEUED", "RUNNING", "PARTIAL", "SUCCEEDED", "FAILED", "CANCELLED")
+DONE_MESSAGE = "Done"
 STATUS_RANK = {"QUEUED": 1, "RUNNING": 2, "PARTIAL": 3, "SUCCEEDED": 4, "FAILED": 5, "CANCELLED": 6}
 UNKNOWN_RANK = 99
 PENDING = ("QUEUED", "RUNNING", "PARTIAL")

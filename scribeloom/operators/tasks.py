@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scribeloom.functions import fixed, text
-from scribeloom.options import Options, RetryOptions
+from scribeloom.options import Options, OutputOptions, RetryOptions
 from scribeloom.scale import materialize
 
 # A page that starts beyond this many rows is found by counting sorted pieces.
@@ -34,6 +34,7 @@ def new_tasks(entries: DataFrame, created_at: Column | None = None) -> DataFrame
         F.lit(None).cast("string").alias("message"),
         scope.alias("scope"),
         F.lit(0).alias("attempt"),
+        *([F.col("module")] if "module" in entries.columns else []),  # where its documents will lie
     )
 
 
@@ -201,6 +202,28 @@ def decide_retry(failures: DataFrame, retry: RetryOptions = RetryOptions()) -> D
     })
 
 
+def succeed(done: DataFrame, options: OutputOptions = OutputOptions()) -> DataFrame:
+    """Tasks whose document is there: finished, with the paths it is written to.
+
+    done: task_id, class_fqn, scope [, module, json, context].
+    """
+    task, module = F.col("task_id"), F.col("module") if "module" in done.columns else F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+
+    def rel(root: str, ext: str) -> Column:
+        return text.relative_path(root, task, ext, F.col("class_fqn"), F.col("scope"), module, options)
+
+    has_json = ~text.is_blank(F.col("json")) if "json" in done.columns else F.lit(False)
+    has_context = F.col("context").isNotNull() if "context" in done.columns else F.lit(False)
+    return done.withColumns({
+        "status": F.lit("SUCCEEDED"), "progress": F.lit(1.0), "message": F.lit(fixed.DONE_MESSAGE),
+        "md_path": rel("md", "md") if options.write_markdown else none,
+        "doc_path": rel("docs", "doc") if options.write_doc else none,
+        "json_path": F.when(has_json, text.json_path(task)), "ctx_path": F.when(has_context, text.bundle_path(task)),
+        "module": module,
+    })
+
+
 def requeue_due(tasks: DataFrame, now: Column) -> DataFrame:
     """PARTIAL tasks whose due time has come, back in the queue."""
     return tasks.where((F.col("status") == "PARTIAL") & (F.col("due_at") <= now)).withColumn(

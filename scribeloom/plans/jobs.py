@@ -51,8 +51,10 @@ def requests(symbols: dict[str, DataFrame], queued: DataFrame, options: Options
 
 
 def documents(replies: DataFrame, queued: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
-    """Clean documents of the good replies, and the next state of the others.
+    """Finished tasks with their clean documents, and the next state of the others.
 
+    The first can be given to `write_outputs` and to `append_log`, the second to
+    `append_log`; `requeue` takes back those whose pause is over.
     replies: task_id, http_status, body, failed_at.
     """
     read = reply.read_replies(replies)
@@ -60,11 +62,16 @@ def documents(replies: DataFrame, queued: DataFrame, options: Options = Options(
     bad = read.where(F.col("content").isNull()).select("task_id", "failed_at", "error_type", "error_message")
     old = [c for c in queued.columns if c not in ("error_type", "error_message")]
     return (
-        queued.join(good, "task_id"),
+        tasks.succeed(queued.join(good, "task_id"), options.output),
         tasks.decide_retry(queued.select(*old).join(bad, "task_id"), options.retry),
     )
 
 
+def requeue(waiting: DataFrame, now: Column) -> DataFrame:
+    """Tasks that wait for another attempt and are due, as queued tasks."""
+    return tasks.requeue_due(waiting, now).drop("failed_at", "due_at")
+
+
 def resume_list(
     lines: DataFrame, symbols: dict[str, DataFrame], history: DataFrame, options: Options = Options(),
     skip_succeeded: bool = True, created_at: Column | None = None,

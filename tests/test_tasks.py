@@ -248,7 +248,7 @@ def test_shared_folder_comes_from_the_session(spark):
     assert kept.count() == 5
 
 
-def test_from_scan_to_documents(spark):
+def test_from_scan_to_documents(spark, tmp_path):
     t = project.tables(spark)
     options = Options(annotation="@Rpc")
     done = spark.createDataFrame([("docs/app/com.shop.OrderService_check_OrderDTO__99.md",)], "path string")
@@ -271,6 +271,20 @@ def test_from_scan_to_documents(spark):
     assert [(r["task_id"], r["markdown"]) for r in good.collect()] == [(f"{project.S}#get(String)#7", "fine")]
     assert [(r["task_id"], r["status"], r["due_at"], r["error_message"]) for r in bad.collect()] == [("Bare#address()#7", "PARTIAL", 1550, "HTTP 503 — busy")]
 
+    # What is written and logged is done: a second scan queues the rest only.
+    table, logs = str(tmp_path / "out"), str(tmp_path / "log")
+    outputs.write_outputs(good, table, options.output)
+    task_log.append_log(queued, logs)
+    task_log.append_log(good, logs)
+    task_log.append_log(jobs.requeue(bad, F.lit(2000).cast("bigint")), logs)
+    again = jobs.scan(t, outputs.list_output_table(spark, table).union(done), options, at)
+    assert {r["task_id"] for r in again.collect()} == ids - {f"{project.S}#get(String)#7"}
+    states = {r["task_id"]: r for r in tasks.latest(task_log.read_log(spark, logs)).collect()}
+    row = states[f"{project.S}#get(String)#7"]
+    assert (row["status"], row["progress"], row["message"]) == ("SUCCEEDED", 1.0, "Done")
+    assert {row["md_path"], row["doc_path"]} == {r["path"] for r in outputs.read_outputs(spark, table).collect()}
+    assert states["Bare#address()#7"]["status"] == "QUEUED" and states["Bare#address()#7"]["attempt"] == 1
+
 
 def test_task_ids_stay_the_same_when_computed_again(spark):
     queued = jobs.scan(project.tables(spark), spark.createDataFrame([], "path string"), Options(annotation="Rpc"))
