@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from scribeloom.llm.common import parts_for
 from scribeloom.llm.shingles import P, mix, power
-from scribeloom.scale import find_hot, materialize
+from scribeloom.scale import find_hot, materialize, release
 
 LENGTH = 100
 GRAM = 32
@@ -305,7 +305,9 @@ def spans(docs: DataFrame) -> DataFrame:
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = parts_for(docs.sparkSession, total, BUCKET_BYTES)
     samples = materialize(repeated_samples(keyed, buckets), "samples")
+    release(docs.sparkSession)
     ranges = materialize(earlier_ranges(keyed, samples, buckets), "ranges")
+    release(docs.sparkSession)
     return ranges.groupBy("d", "x").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("ranges"))
 
 
