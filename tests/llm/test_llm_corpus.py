@@ -11,20 +11,13 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from oracle import compare, duck
-from scribeloom.llm import bm25, jaccard_join, long_repeats, mixing, quality, queries, shingles, url_filter
+from scribeloom.llm import bm25, jaccard_join, long_repeats, mixing, quality, shingles, url_filter
 from scribeloom.llm.components import components
 from scribeloom.scale import materialize
 
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", [n for n, (_, sql) in queries.ALL.items() if sql])
-def test_queries_equal_sql(spark, name):
-    query, sql = queries.ALL[name]
-    assert compare(query(spark, SMALL).toPandas(), duck(SMALL).execute(sql).df()) is None
-
-
 def corpus(n=60, seed=5):
     """Texts with exact and near copies, shared passages, odd and empty ones."""
     rng = random.Random(seed)
