@@ -1,7 +1,8 @@
 """Secret scan: candidates found by shape, false positives removed by a forest.
 
-Candidates are long words with digits, or values after an assignment. Each is
-described by its length, its character classes and their transitions, the share
+Candidates are the values of long words, with digits, and all values after an
+assignment: a word of compact JSON, a call or a list gives as many as it holds.
+Each is described by its length, its character classes and their transitions, the share
 that dictionary words cover, the path of the document and the words around it.
 A random forest is trained from labelled findings and compiled into one column
 expression, so a scan is a projection without a shuffle. DataFrame functions
@@ -26,9 +27,25 @@ LONG, ASSIGNED = 16, 8     # least length of a candidate, alone and after an ass
 MAX_FINDINGS = 4_000       # labelled findings of the corpus that the forest is trained with, each class
 TREES, DEPTH, SEED = 25, 6, 7
 MARK = "[SECRET]"
-VALUE = r"""^(?:[A-Za-z_][A-Za-z0-9_.-]{0,63}(?:=>|:=|=|:))?["'`(<\[{]*([^"'`)>\]},;|]*)"""
-KEY_WORDS = r"(?i)(token|secret|passw|pwd|credential|api[_-]?key|apikey|auth|bearer|private|access[_-]?key|client[_-]?key)"
+_END = r"""\\"'`()<>\[\]{},;|"""  # what ends a bare value, for use in a class; a backslash stands before quotes
+_OPEN = r"""["'`(<\[{\\]{0,8}+"""
+_NAME = r"-{0,2}[A-Za-z_$][A-Za-z0-9_.$-]*+"
+_SIGN = r"[=:]++>?"
+# An assignment: its key, and after the sign the value between quotes, the bare
+# value, and the bare value up to a mark of URLs. The scan goes on at the value.
+ASSIGNMENT = (
+    rf"""(?:(?<![A-Za-z0-9_.$-])({_NAME})|(?<![A-Za-z0-9_.$-]))["'`)\]\\]{{0,8}}+[+?!|]?{_SIGN}{_OPEN}"""
+    r"""(?=((?<=")[^"]++(?=")|(?<=')[^']++(?=')|(?<=`)[^`]++(?=`))?)"""
+    rf"(?=([^{_END}]++)?)(?=([^{_END}&@#?:]++)?)"
+)
+# Values without an assignment before them in the word: bare ones, and those between quotes.
+BARE = rf"""(?<![^{_END}])(?<![=:]["'`(<\[{{\\]{{0,8}})(?!(?:{_NAME})?{_SIGN})([^{_END}]++)"""
+QUOTED = rf"""(?<![=:]["'`(<\[{{\\]{{0,8}})(["'`])(?!(?:{_NAME})?{_SIGN})([^"'`]++)\1"""
+FIRST = r"""^(?:[A-Za-z_][A-Za-z0-9_.-]{0,63}(?:=>|:=|=|:))?["'`(<\[{]*([^"'`)>\]},;|]*)"""  # the value at the front of a word
+KEY_WORDS = r"(?i)(token|secret|passw|pwd|credential|api[_-]?key|apikey|auth(?!or(?!i[sz]))|bearer|private|access[_-]?key|client[_-]?key)"
 OTHER_WORDS = r"(?i)^(commit|sha1?|sha256|md5|uuid|guid|isbn|doi|issue|revision|checksum|digest|phone|tel|fax|card|iban|order|version|build|example|sample)\W*$"
+SIGNED = r"[=:]$|=>$"  # a word that assigns to the next one
+VALUES = "array<struct<value:string,place:int,key:string,second:string,after:string,assigned:boolean,quoted:boolean>>"
 HOLDER = r"(?i)(example|sample|placeholder|your|dummy|changeme|redacted|x{4,}|\*{3,}|\.{3,}|<|0{6,}|123456)"
 TEST_PATH = r"(?i)(test|spec|example|sample|fixture|mock|docs?/|readme)"
 DICTIONARY = (
@@ -61,9 +78,9 @@ def _share(value: Column, pattern: str) -> Column:
     return F.when(n > 0, (n - F.length(F.regexp_replace(value, pattern, ""))) / n).otherwise(F.lit(0.0))
 
 
-def _described(word: Column, before: Column, second: Column, after: Column, path: Column, place: Column) -> Column:
+def _described(v: Column, path: Column) -> Column:
     """A candidate as a struct of its value, place and features."""
-    value = F.regexp_extract(word, VALUE, 1)
+    value = v["value"]
     n = F.length(value)
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
         value, "[^A-Za-z0-9]", "-"), "[0-9]", "0"), "[A-Z]", "A"), "[a-z]", "a")
@@ -72,37 +89,84 @@ def _described(word: Column, before: Column, second: Column, after: Column, path
     known = F.filter(runs, lambda r: r.isin(*DICTIONARY))
     chars = lambda list_: F.length(F.array_join(list_, ""))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    sign = lambda w: w.rlike(r"^(=|:|:=|=>)$") | w.rlike(r"[=:]$")
     features = {
         "length": n, "digits": _share(value, "[0-9]"), "capitals": _share(value, "[A-Z]"), "letters": _share(value, "[A-Za-z]"),
         "others": _share(value, "[^A-Za-z0-9]"), "changes": F.when(n > 1, changes / (n - 1)).otherwise(0.0),
         "distinct": F.size(F.array_distinct(F.split(value, ""))), "vowels": _share(value, "[aeiouAEIOU]"),
         "hex": flag(value.rlike("^[0-9a-fA-F]+$")), "covered": F.when(n > 0, chars(known) / n).otherwise(0.0),
         "holder": flag(value.rlike(HOLDER)), "path": flag(path.rlike(TEST_PATH)),
-        "assigned": flag(sign(before) | word.rlike("^[A-Za-z_][A-Za-z0-9_.-]{0,63}[=:]")), "quoted": flag(word.rlike("[\"'`]")),
-        "key_word": flag(before.rlike(KEY_WORDS)) + flag(second.rlike(KEY_WORDS)) + flag(word.rlike(KEY_WORDS)),
-        "other_word": flag(before.rlike(OTHER_WORDS)) + flag(after.rlike(OTHER_WORDS)),
+        "assigned": flag(v["assigned"]), "quoted": flag(v["quoted"]),
+        "key_word": flag(v["key"].rlike(KEY_WORDS)) + flag(v["second"].rlike(KEY_WORDS)) + flag(value.rlike(KEY_WORDS)),
+        "other_word": flag(v["key"].rlike(OTHER_WORDS)) + flag(v["after"].rlike(OTHER_WORDS)),
     }
-    return F.struct(value.alias("value"), place.cast("long").alias("place"), *[features[f].cast("double").alias(f) for f in FEATURES])
+    return F.struct(value.alias("value"), v["place"].cast("long").alias("place"), *[features[f].cast("double").alias(f) for f in FEATURES])
+
+
+def _values(word: Column, before: Column, second: Column, after: Column, place: Column) -> Column:
+    """All values of a word that are candidates, each with the words that say
+    what it is: its own key in the word, or else the words before."""
+    empty = F.lit("")
+    quoted = word.rlike("[\"'`]")
+    said = before.rlike(SIGNED)  # the word before assigns to the front of this one
+
+    def value(v: Column, key: Column, second: Column, assigned: Column) -> Column:
+        last = F.call_function("substring_index", word, v, F.lit(-1)).rlike("^[^A-Za-z0-9]*$")
+        return F.struct(
+            v.alias("value"), place.alias("place"), key.alias("key"), second.alias("second"),
+            F.when(last, after).otherwise(empty).alias("after"), assigned.alias("assigned"), quoted.alias("quoted"),
+        )
+
+    def plain(v: Column) -> Column:
+        left = F.call_function("substring_index", word, v, F.lit(1))
+        front = ~left.rlike("[A-Za-z0-9]")
+        own = F.regexp_extract(F.right(left, F.lit(80)), r"([A-Za-z0-9_.$-]+)[^A-Za-z0-9_.$-]*$", 1)
+        return value(v, F.when(front, before).otherwise(own), F.when(front, second).otherwise(empty), front & said)
+
+    part = lambda group: F.regexp_extract_all(word, F.lit(ASSIGNMENT), F.lit(group))
+    parts = F.array(F.struct(part(1).alias("k"), part(2).alias("q"), part(3).alias("b"), part(4).alias("c")))
+    assigned = F.flatten(F.flatten(F.transform(parts, lambda p: F.transform(p["k"], lambda k, i: F.transform(
+        F.array_distinct(F.array(F.get(p["q"], i), F.get(p["b"], i), F.get(p["c"], i))),
+        lambda v: value(v, F.when(k == "", before).otherwise(k), F.when(k == "", second).otherwise(empty), F.lit(True)),
+    )))))
+    none = F.array().cast("array<string>")
+    assigned = F.when(word.rlike("[=:]"), assigned).otherwise(F.array().cast(VALUES))
+    of_quotes = F.when(quoted, F.regexp_extract_all(word, F.lit(QUOTED), F.lit(2))).otherwise(none)
+    bare = F.concat(F.regexp_extract_all(word, F.lit(BARE), F.lit(1)), of_quotes)
+    long_ = (F.length(word) >= LONG) & word.rlike("[0-9]")
+    bare = F.filter(F.transform(F.array_distinct(bare), plain), lambda v: v["assigned"] | long_ & v["value"].rlike("[0-9]"))
+    found = F.filter(F.concat(assigned, bare), lambda v: F.length(v["value"]) >= ASSIGNED)
+    # The value at the front counts with digits anywhere in its word.
+    first = F.regexp_extract(word, FIRST, 1)
+
+    def with_first(found: Column) -> Column:
+        missed = long_ & (F.length(first) >= ASSIGNED) & ~F.exists(found, lambda v: v["value"] == first)
+        return F.concat(found, F.when(missed, F.array(plain(first))).otherwise(F.array().cast(VALUES)))
+
+    # In an array of one, what is found is computed once.
+    return F.array_distinct(F.flatten(F.transform(F.array(found), with_first)))
 
 
 def candidates(text: Column, path: Column) -> tuple[Column, Column]:
     """Two columns to add one after the other: the words `_words`, and from them the candidates."""
     near = lambda i: F.coalesce(F.get("_words", i), F.lit(""))
-    is_one = lambda i: (
-        (F.length(near(i)) >= LONG) & near(i).rlike("[0-9]")
-        | (F.length(near(i)) >= ASSIGNED) & near(i).rlike("[0-9]") & (near(i - 1).rlike("^(=|:|:=|=>)$") | near(i).rlike("^[A-Za-z_][A-Za-z0-9_.-]{0,63}[=:].{8,}"))
+    is_one = lambda i: (F.length(near(i)) >= ASSIGNED) & (
+        (F.length(near(i)) >= LONG) & near(i).rlike("[0-9]") | near(i - 1).rlike(SIGNED) | near(i).rlike("[=:].{8}")
     )
     n = F.size("_words")
     places = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), is_one)).otherwise(F.array().cast("array<int>"))
     # The second word back counts if the first is only a sign.
-    found = F.transform(places, lambda i: _described(near(i), near(i - 1), F.when(near(i - 1).rlike("^(=|:|:=|=>)$"), near(i - 2)).otherwise(F.lit("")), near(i + 1), path, i))
-    return words(text), F.filter(found, lambda c: F.length(c["value"]) >= ASSIGNED)
+    found = F.flatten(F.transform(places, lambda i: _values(
+        near(i), near(i - 1), F.when(near(i - 1).rlike("^(=|:|:=|=>)$"), near(i - 2)).otherwise(F.lit("")), near(i + 1), i
+    )))
+    return words(text), F.transform(found, lambda v: _described(v, path))
 
 
 def label(c: Column) -> Column:
     """What is sure of a candidate from its neighbours: 1, 0, or null for unsure."""
     secret = (c["key_word"] > 0) & ((c["assigned"] > 0) | (c["quoted"] > 0)) & (c["holder"] == 0) & (c["digits"] > 0) & (c["letters"] > 0) & (c["distinct"] >= 8)
+    # Without digits, the case has to change more than at the front.
+    letters = (c["key_word"] > 0) & (c["assigned"] > 0) & (c["quoted"] > 0) & (c["holder"] == 0) & (c["digits"] == 0) & (c["distinct"] >= 8) & (c["covered"] < 0.5)
+    secret = secret | letters & (c["capitals"] > 0) & (c["changes"] * (c["length"] - 1) >= 2) & (c["letters"] > 0.8)
     other = (c["letters"] == 0) | (c["holder"] > 0) | (c["other_word"] > 0) & (c["key_word"] == 0) | (c["covered"] > 0.5)
     return F.when(secret & ~(c["other_word"] > 0), 1.0).when(other & ~secret, 0.0)
 
