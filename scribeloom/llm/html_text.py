@@ -23,7 +23,8 @@ TOKEN = re.compile(
     r"""|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+|[^<>]*+)>""",
     re.S,
 )
-ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+# One attribute, name and value: the next match starts after it, so values are not searched for names.
+ATTR = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 

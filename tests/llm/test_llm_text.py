@@ -71,6 +71,24 @@ def test_html_survives_odd_pages(html):
     html_text.main_text(html)
 
 
+@pytest.mark.parametrize("tag", [
+    'a href="/the-hidden-valley"', 'a title="hidden gems"', 'a data-hidden="false"', 'a href="p.php?id=footer"', "a href=/x?class=ad",
+    'a data-class="ad"', 'a title="a style=display:none b" id=main', 'a title = "class=ad"',
+])
+def test_html_values_are_not_read_as_attributes(tag):
+    page = f"<article><p>A first sentence, with <{tag}>these words</a>, and some more of them.</p></article>"
+    assert html_text.main_text(page) == "A first sentence, with these words, and some more of them."
+
+
+@pytest.mark.parametrize("tag", [
+    "div hidden", "div HIDDEN=''", 'div title="x y" hidden', 'div title="a>b" class="ad"', "div id=footer/", 'div data-x="1"class="ad"',
+    "div aria-hidden='true'", 'div title="x" style = "display: none"', "div role=note",
+])
+def test_html_attributes_drop_clutter(tag):
+    page = f"<article><p>A first sentence, with some words.</p><{tag}>Gone, all of it.</div></article>"
+    assert html_text.main_text(page) == "A first sentence, with some words."
+
+
 def test_html_without_article_scores_containers():
     body = "".join(f"<p>Paragraph {i}, with some words, enough of them to count.</p>" for i in range(4))
     page = f"<body><div><a href=x>One link, two</a> <a href=y>more, links</a></div><div class=x><h2>Head</h2>{body}</div><p>tiny</p></body>"
