@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scribeloom.llm.common import parts_for
+from scribeloom.llm.common import NOT_SPACE, parts_for
 from scribeloom.llm.components import components
 from scribeloom.llm.shingles import mix, shingle_sets
 from scribeloom.scale import find_hot, materialize, release, skew_join
@@ -111,8 +111,13 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     return enumerate(shingle_sets(batch.column("text")))  # a batch at a time
 
 
+def _keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with `key`, 128 bits that name the text of a row; ids may be null or repeat."""
+    return docs.withColumn("key", F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))))
+
+
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node, sketch of every row with doc_id and text."""
+    """doc_id, key, n_shingles, node, sketch of every row with doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,12 +126,12 @@ def nodes_of(docs: DataFrame) -> DataFrame:
                 sizes.append(len(s))
                 nodes.append(node_of(s))
                 sketches.append(sketch_of(s))
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "sketch"])
+            columns = [batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n_shingles", "node", "sketch"])
 
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("key", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
+    return _keyed(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
@@ -209,7 +214,8 @@ def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
 def _with_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """node, shingles of the nodes of the pairs, from one document of each."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row")
+    chosen = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(row).select(F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,9 +223,10 @@ def _with_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame
             columns = [pa.array([row[k] for row in out], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
 
-    texts = docs.select("doc_id", "text").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
+    same = F.col("key").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    texts = _keyed(docs.select("doc_id", "text")).join(chosen, same, "left_semi")
     made = texts.select("text").mapInArrow(run, "node binary, shingles binary")
-    # Rows of one id may repeat, or give sets that were not asked for.
+    # Rows of one id and text may repeat.
     return made.dropDuplicates(["node"])
 
 
@@ -334,6 +341,12 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.union(_verified(docs, nodes, rest))
 
 
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes of docs with doc_id and text, and node, label of those that link."""
+    nodes = materialize(nodes_of(docs), "nodes")
+    return nodes, components(links(docs, nodes.where("n_shingles > 0")))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs`.
 
@@ -342,25 +355,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows of their own; a null id is never a component's name unless all its ids
     are null. An empty table gives no rows.
     """
-    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    nodes = materialize(nodes_of(docs), "nodes")
-    full = nodes.where("n_shingles > 0")
-    labels = components(links(docs, full))
-    least = full.groupBy("node").agg(F.min("doc_id").alias("least"))
+    nodes, labels = _labelled(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
+    least = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     least = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = least.join(least.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
-    joined = skew_join(nodes.drop("sketch"), materialize(named, "named"), ["node"], "left", hot_left=find_hot(nodes, ["node"]))
+    joined = skew_join(nodes.drop("sketch", "key"), materialize(named, "named"), ["node"], "left", hot_left=find_hot(nodes, ["node"]))
     return joined.select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the one of least id; all columns stay."""
-    found = near_duplicates(docs, doc_id, text).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    """One row of each component, the one of least id, nulls last, then of least
+    text hash; all columns stay. Rows without words are all kept."""
+    nodes, labels = _labelled(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
+    rows = nodes.where("n_shingles > 0").groupBy("node", "doc_id", "key").agg(F.count("*").alias("n"))
+    least = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")).alias("least"))
+    least = least.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("least").alias("least"))
+    # A row is named by id and text; n of them are the same.
+    chosen = materialize(least.select(F.col("least.doc_id").alias("_id"), F.col("least.key").alias("_key"), F.col("least.n").alias("_n")), "chosen")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    kept = docs.select(row, F.col(f"`{doc_id}`").alias("_id"))
-    return kept.join(found, kept["_id"].eqNullSafe(found["_id"]), "left_semi").select("_row.*")
+    wordless = F.coalesce(~F.col(f"`{text}`").rlike(NOT_SPACE), F.lit(True))
+    found = docs.select(
+        row, F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), wordless.alias("_wordless"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_h")
+    )
+    found = _keyed(found).drop("text")
+    same = F.col("key").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    one = found.join(chosen.where("_n = 1"), same, "left").where("_wordless or _n is not null").select("_row.*")
+    # Only rows that repeat are shuffled to be chosen from, combined before.
+    many = found.join(chosen.where("_n > 1"), same).groupBy("doc_id", "key").agg(F.min_by("_row", "_h").alias("_row"))
+    return one.union(many.select("_row.*"))
 
 
 def op10(docs: DataFrame) -> DataFrame:

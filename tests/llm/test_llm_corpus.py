@@ -83,6 +83,24 @@ def test_keep_one_keeps_columns(spark):
     assert jaccard_join.keep_one(docs.limit(0)).count() == 0
 
 
+def test_null_ids_and_repeated_rows_are_components_like_others(spark):
+    rng = random.Random(9)
+    words = [[f"{c}{rng.randrange(10**6)}" for _ in range(60)] for c in "abcd"]
+    text = lambda k, *cut: " ".join(w for i, w in enumerate(words[k]) if i not in cut)
+    chain = [text(0), text(0, *range(6)), text(0, *range(12))]  # neighbours link, the ends do not
+    rows = [
+        (1, chain[0], "x"), (None, chain[1], "x"), (2, chain[2], "x"), (None, text(1), "x"), (5, text(1, 0), "x"),
+        (None, text(2), "x"), (None, text(2), "y"), (None, text(2, 0), "x"), (7, text(3), "x"), (7, text(3), "y"), (7, text(3, 0), "x"),
+        (7, "alone", "x"), (None, None, "x"), (8, " ", "x"), (8, " ", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.op10(docs).collect())
+    assert got == Counter({(1, 1): 1, (None, 1): 1, (2, 1): 1, (None, 5): 1, (5, 5): 1, (None, None): 4, (7, 7): 4, (8, 8): 2})
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs).collect()]
+    groups = [{(1, chain[0])}, {(5, text(1, 0))}, {(None, text(2)), (None, text(2, 0))}, {(7, text(3)), (7, text(3, 0))}, {(7, "alone")}, {(None, None)}]
+    assert [sum(k in g for k in kept) for g in groups] == [1] * 6 and kept.count((8, " ")) == 2 and len(kept) == 8
+
+
 def test_signatures_meet_for_every_linked_pair():
     rng = np.random.default_rng(1)
     for size in [5, 6, 9, 14, 30, 77, 200, 900]:
