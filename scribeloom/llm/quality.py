@@ -55,6 +55,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     n_stop_words, n_capitals, n_shouts, n_echoes. A null text counts as empty. Windows
     within a text are compared by their 64-bit hashes. Columns of `docs` stay
     as they are, whatever their names; one of the name `quality` is replaced.
+    A filter on the result stays above it: no array is computed per element.
     """
     body = F.coalesce(F.col("_d")[text], F.lit(""))
     step = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
@@ -76,7 +77,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter("_w", lambda w, i: F.coalesce(w == F.get("_w", i - 1), F.lit(False)))).cast("long").alias("n_echoes"),
     )
     kept = [F.col("_d")[c].alias(c) for c in docs.columns if c != "quality"]
-    return step.select(*kept, found.alias("quality"))
+    return step.select(*kept, held(found).alias("quality"))
 
 
 def _lines(body: Column) -> Column:
@@ -137,7 +138,7 @@ def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES
     """
     struct = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     judged = counts(docs.select(struct, F.col(f"`{text}`").alias("_text")), "_text")
-    return judged.select("_row", held(F.col("quality")).alias("quality")).where(verdict(F.col("quality"), rules)).select("_row.*")
+    return judged.where(verdict(F.col("quality"), rules)).select("_row.*")
 
 
 def op3(docs: DataFrame) -> DataFrame:
