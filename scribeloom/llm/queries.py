@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from scribeloom.llm import bm25, html_text, jaccard_join, long_repeats, mixing, pieces, quality, secrets, token_files, url_filter
+from scribeloom.llm import (
+    bm25, html_text, jaccard_join, line_dedup, long_repeats, mixing, pieces, quality, secrets, token_files, url_filter,
+    vector_clusters, vector_codes,
+)
 from scribeloom.llm.common import table
 
 
@@ -52,6 +55,18 @@ def op10_jaccard_join(spark, folder):
     return jaccard_join.op10(table(spark, folder, "documents"))
 
 
+def op11_line_dedup(spark, folder):
+    return line_dedup.op11(table(spark, folder, "documents"))
+
+
+def op12_vector_codes(spark, folder):
+    return vector_codes.op12(table(spark, folder, "embeddings"))
+
+
+def op13_vector_clusters(spark, folder):
+    return vector_clusters.op13(table(spark, folder, "embeddings"))
+
+
 ALL = {
     "op1_html_extraction": (op1_html_extraction, None),
     "op2_run_length_dedup": (op2_run_length_dedup, None),
@@ -63,4 +78,7 @@ ALL = {
     "op8_url_filters": (op8_url_filters, url_filter.OP8_SQL),
     "op9_sentencepiece": (op9_sentencepiece, None),
     "op10_jaccard_join": (op10_jaccard_join, jaccard_join.OP10_SQL),
+    "op11_line_dedup": (op11_line_dedup, line_dedup.OP11_SQL),
+    "op12_vector_codes": (op12_vector_codes, vector_codes.OP12_SQL),
+    "op13_vector_clusters": (op13_vector_clusters, vector_clusters.OP13_SQL),
 }
