@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scribeloom.functions import fixed, text
 from scribeloom.options import Options, OutputOptions, RetryOptions
-from scribeloom.scale import materialize
 
-# A page that starts beyond this many rows is found by counting sorted pieces.
-DEEP_OFFSET = 100_000
+# A page is looked up among this many rows; more are narrowed first, by bounds
+# from a sample, in ranges.
+NARROW_TO = 20_000
+SAMPLE = 1024
+RANGES = 32
 
 
 def new_tasks(entries: DataFrame, created_at: Column | None = None) -> DataFrame:
@@ -131,50 +132,74 @@ def page_info(tasks: DataFrame, page_size: int, index: int) -> tuple[int, int, i
 
 def page(
     tasks: DataFrame, index: int, page_size: int = Options().page_size, by: str = "CREATED_AT",
-    ascending: bool = False, deep_offset: int = DEEP_OFFSET,
+    ascending: bool = False, narrow_to: int = NARROW_TO,
 ) -> DataFrame:
     """One page of the sorted tasks, with the number of each row in the whole.
 
-    Near either end the rows are found by a top-k. In between, the tasks are
-    sorted in ranges, and the sizes of the ranges tell which of them to read.
+    The page is found by rank: only sort keys and ids are read, bounds from a
+    sample cut them into ranges, the sizes of the ranges tell which one holds
+    the page, and that one is cut again, until few rows are left. Nothing is
+    sorted or written whole, and a page costs the same wherever it lies. Rows
+    of equal key and id stay together, and are told apart by their other columns
+    in no set order.
     """
     size = max(1, page_size)
     total, _, index = page_info(tasks, size, index)
     offset = index * size
     rows = min(size, total - offset)
-    order = order_columns(by, ascending)
-    if offset + rows <= deep_offset:
-        part = tasks.orderBy(*order).offset(offset).limit(rows)
-    elif total - offset <= deep_offset:
-        turned = order_columns(by, not ascending)
-        part = tasks.orderBy(*turned).offset(total - offset - rows).limit(rows)
-    else:
-        part = _deep_page(tasks, order, offset, rows, deep_offset)
-    number = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order))  # at most one page of rows
-    return part.withColumn("row_no", number.cast("bigint") + offset)
-
-
-def _deep_page(
-    tasks: DataFrame, order: Sequence[Column], offset: int, rows: int, deep_offset: int
-) -> DataFrame:
-    """Sort in ranges and keep those the page lies in, until few rows precede it."""
-    pieces = max(2, int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    while offset > deep_offset:
-        ranged = materialize(
-            tasks.repartitionByRange(pieces, *order).withColumn("_piece", F.spark_partition_id()), "pages"
-        )
-        sizes = ranged.groupBy("_piece").agg(F.count("*").alias("n")).collect()  # one row per range
-        before, skipped, wanted = 0, None, []
-        for piece, n in sorted((r["_piece"], r["n"]) for r in sizes):
-            if before < offset + rows and before + n > offset:
-                wanted.append(piece)
-                skipped = before if skipped is None else skipped
-            before += n
-        tasks = ranged.where(F.col("_piece").isin(wanted)).drop("_piece")
-        if not skipped:  # the ranges cannot be told apart any further
+    if rows <= 0:
+        return tasks.limit(0).withColumn("row_no", F.lit(None).cast("bigint"))
+    place = F.struct(sort_key(by).alias("key"), F.col("task_id").alias("id"))
+    least = offset if ascending else total - offset - rows  # rank of the page's least row
+    # A row each from the array, so that filters on places do not compute sort keys again.
+    keys, before = _narrow(tasks.select(text.rows_of(F.array(place)).alias("place")), least, rows, total, narrow_to)
+    wanted = keys.orderBy("place").offset(least - before).limit(rows)
+    first, last = wanted.agg(F.min("place"), F.max("place")).first()
+    before += keys.where(F.col("place") < _literal(first, keys)).count()
+    held = tasks.where((place >= _literal(first, keys)) & (place <= _literal(last, keys)))
+    # No more rows than the page has, but for rows that equal its ends.
+    number = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(place)).cast("bigint") + before
+    numbered = held.withColumn("row_no", number).where((F.col("row_no") > least) & (F.col("row_no") <= least + rows))
+    return numbered if ascending else numbered.withColumn("row_no", total + 1 - F.col("row_no"))
+
+
+def _literal(value: Row, keys: DataFrame) -> Column:
+    fields = keys.schema["place"].dataType.fields
+    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(value, fields, strict=True)])
+
+
+def _bounds(keys: DataFrame) -> list[Row]:
+    """Ascending places that cut the keys into ranges of about equal size, from
+    the rows of least hash, which are a sample that a rerun repeats."""
+    found = keys.orderBy(F.xxhash64("place.key", "place.id"), "place").limit(SAMPLE).agg(F.sort_array(F.collect_set("place"))).first()[0]
+    step = max(1, len(found) // RANGES)
+    return found[step // 2 :: step]
+
+
+def _narrow(keys: DataFrame, least: int, rows: int, total: int, narrow_to: int) -> tuple[DataFrame, int]:
+    """The keys around ranks least to least + rows, and the number of keys
+    before them."""
+    left, before = total, 0
+    while left > max(narrow_to, 2 * rows):
+        bounds = _bounds(keys)
+        ends = F.array(*[_literal(b, keys) for b in bounds])
+        range_ = F.size(F.filter(ends, lambda end: end <= F.col("place")))
+        sizes = {r["range"]: r["count"] for r in keys.groupBy(range_.alias("range")).count().collect()}  # one row a range
+        start, low, high, skipped, inside = before, None, None, before, 0
+        for n in range(len(bounds) + 1):
+            end = start + sizes.get(n, 0)
+            if start < least + rows and end > least:
+                low, skipped = (n, start) if low is None else (low, skipped)
+                high, inside = n, inside + sizes[n]
+            start = end
+        if inside == left:  # places that cannot be told apart any further
             break
-        offset -= skipped
-    return tasks.orderBy(*order).offset(offset).limit(rows)
+        if low > 0:
+            keys = keys.where(F.col("place") >= _literal(bounds[low - 1], keys))
+        if high < len(bounds):
+            keys = keys.where(F.col("place") < _literal(bounds[high], keys))
+        left, before = inside, skipped
+    return keys, before
 
 
 def shown_columns(tasks: DataFrame) -> DataFrame:

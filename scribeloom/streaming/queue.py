@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from scribeloom.operators.index import skip_done_methods
 from scribeloom.operators.tasks import new_tasks
-from scribeloom.scale import materialize
+from scribeloom.scale import is_written, materialize
+
+KEY = ["class_fqn", "method"]
 
 
 def read_queue(spark: SparkSession, path: str) -> DataFrame | None:
@@ -21,39 +25,54 @@ def read_queue(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def queue_batch(
-    entries: DataFrame, index: DataFrame, queued: DataFrame | None, created_at: Column | None = None
-) -> DataFrame:
-    """Tasks for the entries that have no document and are not queued yet; an
-    entry that comes twice in the batch is taken once."""
-    key = ["class_fqn", "method"]
-    rest = [c for c in entries.columns if c not in key]
-    first = F.min_by(F.struct(*rest), F.struct("file", "line"))  # the same one in a rerun
-    once = entries.groupBy(*key).agg(first.alias("e")).select(*key, "e.*")
-    todo = skip_done_methods(once, index)
-    if queued is not None:
-        todo = todo.join(queued.select(*key).distinct(), key, "left_anti")
-    return new_tasks(todo, created_at)
+def _known(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Keys that the queue held when the stream was started for the first time."""
+    if not is_written(spark, folder):
+        queued = read_queue(spark, path)
+        keys = spark.createDataFrame([], "class_fqn string, method string") if queued is None else queued.select(*KEY).distinct()
+        keys.write.mode("overwrite").parquet(folder)
+    return spark.read.schema("class_fqn string, method string").parquet(folder)
+
+
+def first_seen(entries: DataFrame) -> DataFrame:
+    """Streamed entries by key, with the time `at` of the first batch that had
+    the key and the time `last` of the last one.
+
+    State holds one row for each key, so a batch costs what its own entries
+    cost, however many were seen before. Of entries that share a key in one
+    batch the least by file and line is taken, in a rerun as well.
+    """
+    order = ["file", "line"]
+    rest = [c for c in entries.columns if c not in (*KEY, *order)]
+    row = F.struct(F.current_timestamp().alias("at"), *order, *rest)  # the time of the batch
+    seen = entries.select(*KEY, row.alias("e")).groupBy(*KEY)
+    return seen.agg(F.min("e").alias("e"), F.max("e.at").alias("last")).select(*KEY, "e.*", "last")
 
 
 def stream_queue(
     entries: DataFrame, index: DataFrame, path: str, checkpoint: str, created_at: Column | None = None
 ) -> StreamingQuery:
-    """Queue streamed entries into a table, one folder per batch.
+    """Queue streamed entries that have no document into a table, one folder
+    per batch.
 
-    The index is stored once, not computed again for each batch.
+    Keys that were seen are in the state of the stream; the queue itself is read
+    only when the stream is started for the first time. The index is stored
+    once, not computed again for each batch.
     """
+    spark = entries.sparkSession
     index = materialize(index, "index")
+    known = _known(spark, path, f"{checkpoint}/known")
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        queued = read_queue(batch.sparkSession, path)
-        if queued is not None:  # a batch that runs again must not see its own rows
-            queued = queued.where(F.col("batch_id") != batch_id)
-        tasks = queue_batch(batch, index, queued, created_at)
-        tasks.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        # A key of an earlier batch has two different times, even if the clock went back.
+        new = batch.where(F.col("at") == F.col("last")).drop("last")
+        todo = skip_done_methods(new, index).join(known, KEY, "left_anti")
+        new_tasks(todo.drop("at"), created_at).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        time.sleep(0.002)  # the next batch has a later time
 
     return (
-        entries.writeStream.foreachBatch(add)
+        first_seen(entries).writeStream.outputMode("update")
+        .foreachBatch(add)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from scribeloom.operators.tasks import latest
+from scribeloom.schemas import TASK_LOG
+from scribeloom.sources import segments
 
 
 def _write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -14,27 +17,36 @@ def _write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def stream_latest(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_latest(log: DataFrame, path: str, checkpoint: str, fanout: int = segments.FANOUT) -> StreamingQuery:
     """Keep the latest state of each task of a streamed log.
 
-    State holds one row per task. Each batch writes the tasks that changed;
-    `read_latest` merges the batches.
+    State holds one row per task. Each batch adds the tasks that changed as a
+    segment, under its number, so a batch that runs again adds nothing. Segments
+    are merged in levels to the latest rows; a reader meets fewer than `fanout`
+    folders a level, whatever the number of batches.
     """
     rest = [c for c in log.columns if c not in ("task_id", "seq")]
     states = log.groupBy("task_id").agg(
         F.max_by(F.struct(*rest), "seq").alias("s"), F.max("seq").alias("seq")
     ).select("task_id", "s.*", "seq")
+    schema = states.schema
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        segments.add(batch, path, batch_id)
+        segments.compact(batch.sparkSession, path, schema, latest, fanout)
+
     return (
         states.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, n: _write_batch(batch, n, path))
+        .foreachBatch(add)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    return latest(spark.read.parquet(path).drop("batch_id"))
+def read_latest(spark: SparkSession, path: str, schema: StructType = TASK_LOG) -> DataFrame:
+    """The latest states, from the segments that the manifest names."""
+    return latest(segments.read(spark, path, schema))
 
 
 def window_counts(log: DataFrame, width: str = "1 hour") -> DataFrame:

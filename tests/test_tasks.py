@@ -5,11 +5,11 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import project
-from scribeloom import scale
+from scribeloom import scale, schemas
 from scribeloom.operators import tasks
 from scribeloom.options import Options, OutputOptions, RetryOptions
 from scribeloom.plans import jobs
-from scribeloom.sources import outputs, symbols, task_log
+from scribeloom.sources import outputs, segments, symbols, task_log
 from scribeloom.streaming import queue, task_events
 
 
@@ -48,21 +48,41 @@ def test_descending_order_turns_ties_too(spark):
 
 
 @pytest.mark.parametrize("by,ascending", [("CREATED_AT", False), ("STATUS", True)])
-def test_pages_by_all_three_ways(spark, by, ascending):
+def test_pages_by_rank(spark, by, ascending):
     df = spark.range(5000).select(
-        F.format_string("t%05d", "id").alias("task_id"), (F.col("id") % 3).alias("created_at"),
+        F.format_string("t%05d", "id").alias("task_id"), F.when(F.col("id") % 4 > 0, F.col("id") % 3).alias("created_at"),
         F.when(F.col("id") % 3 > 0, "FAILED").otherwise("QUEUED").alias("status"),
     )
     order = [r["task_id"] for r in tasks.sort_tasks(df, by, ascending).collect()]
-    for index, deep in ((0, 10**5), (120, 50), (10**6, 50), (130, 500)):
-        rows = tasks.page(df, index, 20, by, ascending, deep_offset=deep).collect()
+    for index, narrow in ((0, 10**5), (120, 50), (10**6, 50)):
+        rows = tasks.page(df, index, 20, by, ascending, narrow_to=narrow).collect()
         index = min(index, 249)
-        assert [(r["row_no"], r["task_id"]) for r in rows] == [(index * 20 + i + 1, order[index * 20 + i]) for i in range(20)]
+        assert sorted((r["row_no"], r["task_id"]) for r in rows) == [(index * 20 + i + 1, order[index * 20 + i]) for i in range(20)]
     assert tasks.page_info(df, 300, -4) == (5000, 17, 0)
     assert tasks.page_info(df.limit(0), 300, 5) == (0, 0, 0)
     assert tasks.page(df.limit(0), 5, 20, by).count() == 0
 
 
+def test_pages_of_equal_rows_are_apart(spark):
+    df = spark.range(900).select(F.lit("t").alias("task_id"), F.lit(1).alias("created_at"), F.lit(0.5).alias("progress"))
+    for index in (0, 7, 44):
+        rows = tasks.page(df, index, 20, "PROGRESS", True, narrow_to=50).collect()
+        assert sorted(r["row_no"] for r in rows) == [index * 20 + i + 1 for i in range(20)]
+
+
+def test_pages_write_nothing_and_read_keys_only(spark, monkeypatch, tmp_path):
+    wide = spark.range(3000).select(
+        F.format_string("t%05d", "id").alias("task_id"), F.col("id").alias("created_at"), F.repeat(F.lit("x"), 100).alias("message")
+    )
+    wide.write.parquet(str(tmp_path / "wide"))
+    monkeypatch.setattr("pyspark.sql.DataFrameWriter.parquet", lambda *a, **k: pytest.fail("a page is written"))
+    plans = []
+    monkeypatch.setattr(tasks, "_bounds", lambda keys, real=tasks._bounds: plans.append(keys._jdf.queryExecution().toString()) or real(keys))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    assert tasks.page(df, 70, 20, narrow_to=100).count() == 20
+    assert plans and all("message" not in p.split("ReadSchema")[-1] for p in plans)
+
+
 def test_retry_and_recovery(spark):
     df = log(spark, [
         ("a", "FAILED", 1, {"attempt": 0, "error_type": "HttpTimeoutException"}), ("b", "FAILED", 2, {"attempt": 2, "error_message": "Request TIMED OUT"}),
@@ -197,21 +217,104 @@ def test_known_module_without_entries_queues_nothing(spark):
     assert jobs.scan(t, none, Options(annotation="Rpc", module="nowhere")).count() == every
 
 
+ENTRIES = "class_fqn string, method string, file string, line int, annotation string"
+NO_INDEX = "class_fqn string, method_key string, base_name string, kind string"
+
+
 def test_streamed_entries_are_queued_once(spark, tmp_path):
-    entries = "class_fqn string, method string, file string, line int, annotation string"
-    rows = [("c.A", "done(int)", "f", 1, "@R"), ("c.A", "x()", "f", 2, "@R"), ("c.A", "x()", "f", 2, "@R")]
+    rows = [("c.A", "done(int)", "f", 1, "@R"), ("c.A", "x()", "g", 2, "@R"), ("c.A", "x()", "f", 3, "@R"), ("c.A", "x()", "f", 2, "@R")]
     src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
-    done = spark.createDataFrame([("c.A", "done_int", "done", "METHOD")], "class_fqn string, method_key string, base_name string, kind string")
+    done = spark.createDataFrame([("c.A", "done_int", "done", "METHOD")], NO_INDEX)
 
     def run():
-        stream = spark.readStream.schema(entries).parquet(src)
+        stream = spark.readStream.schema(ENTRIES).parquet(src)
         queue.stream_queue(stream, done, out, state, F.lit(1).cast("bigint")).awaitTermination()
-        return sorted(r["task_id"] for r in spark.read.parquet(out).collect())
+        return sorted((r["task_id"], r["file"], r["line"]) for r in spark.read.parquet(out).collect())
+
+    spark.createDataFrame(rows, ENTRIES).write.parquet(src)
+    assert run() == [("c.A#x()#1", "f", 2)]
+    spark.createDataFrame([rows[1], ("c.B", "y()", "g", 1, "@R")], ENTRIES).write.mode("append").parquet(src)
+    assert run() == [("c.A#x()#1", "f", 2), ("c.B#y()#1", "g", 1)]
+
 
-    spark.createDataFrame(rows, entries).write.parquet(src)
-    assert run() == ["c.A#x()#1"]
-    spark.createDataFrame([rows[1], ("c.B", "y()", "g", 1, "@R")], entries).write.mode("append").parquet(src)
-    assert run() == ["c.A#x()#1", "c.B#y()#1"]
+def test_a_batch_costs_its_own_entries_not_the_queue(spark, tmp_path, monkeypatch):
+    """The queue is never read again, and state is written for keys of the batch only."""
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    for n in range(4):
+        made = spark.range(n * 100, n * 100 + 120).select(
+            F.lit("c.A").alias("class_fqn"), F.concat(F.lit("m"), "id", F.lit("()")).alias("method"), F.lit("f").alias("file"),
+            F.col("id").cast("int").alias("line"), F.lit("@R").alias("annotation"),
+        )
+        made.coalesce(1).write.mode("append").parquet(src)
+    reads = []
+    monkeypatch.setattr(queue, "read_queue", lambda s, p, real=queue.read_queue: reads.append(p) or real(s, p))
+    stream = spark.readStream.schema(ENTRIES).option("maxFilesPerTrigger", 1).parquet(src)
+    query = queue.stream_queue(stream, spark.createDataFrame([], NO_INDEX), out, state, F.lit(1).cast("bigint"))
+    query.awaitTermination()
+    assert reads == [out]  # before the first batch
+    progress = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [p["stateOperators"][0]["numRowsUpdated"] for p in progress] == [120] * 4
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 420
+    assert spark.read.parquet(out).count() == 420 and spark.read.parquet(out).select("task_id").distinct().count() == 420
+
+
+def test_a_new_stream_leaves_what_is_queued(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    spark.createDataFrame([("c.A", "x()", "f", 1, "@R"), ("c.A", "y()", "f", 2, "@R")], ENTRIES).write.parquet(src)
+    old = spark.createDataFrame([("c.A", "x()", "f", 1, "@R")], ENTRIES)
+    tasks.new_tasks(old, F.lit(0).cast("bigint")).write.parquet(f"{out}/batch_id=-1")
+    stream = spark.readStream.schema(ENTRIES).parquet(src)
+    queue.stream_queue(stream, spark.createDataFrame([], NO_INDEX), out, str(tmp_path / "state"), F.lit(1).cast("bigint")).awaitTermination()
+    assert sorted(r["task_id"] for r in spark.read.parquet(out).collect()) == ["c.A#x()#0", "c.A#y()#1"]
+
+
+def test_states_of_many_batches_lie_in_few_segments(spark, tmp_path):
+    """A merge that dies half-way loses nothing, and a batch that comes twice adds nothing."""
+    path, schema = str(tmp_path / "t"), schemas.TASK_LOG
+    rows = [log(spark, [(f"t{i % 5}", "RUNNING", i, {}), (f"u{i}", "QUEUED", i, {})]) for i in range(14)]
+
+    def die(df):
+        raise RuntimeError("lost")
+
+    for i, df in enumerate(rows):
+        assert segments.add(df, path, i)
+        assert not segments.add(df, path, i)
+        if i == 8:
+            with pytest.raises(RuntimeError):
+                segments.compact(spark, path, schema, die, fanout=3)
+        segments.compact(spark, path, schema, tasks.latest, fanout=3)
+        found = segments.manifest(spark, path).segments
+        assert len(found) <= 2 * 3 and sorted(n for s in found for n in range(s.first, s.last + 1)) == list(range(i + 1))
+    assert not segments.add(rows[0], path, 0)  # merged long ago
+    every = rows[0]
+    for df in rows[1:]:
+        every = every.unionByName(df)
+    want = sorted((r["task_id"], r["seq"]) for r in tasks.latest(every).collect())
+    assert sorted((r["task_id"], r["seq"]) for r in task_events.read_latest(spark, path).collect()) == want
+    assert len(segments.unnamed(spark, path)) >= 9
+    assert segments.read(spark, str(tmp_path / "none"), schema).count() == 0
+
+
+def test_writers_of_one_version_do_not_lose_each_other(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(1,)], "n int")
+    other = []
+
+    def step(m):
+        if not other:  # another writer comes first
+            other.append(1)
+            segments.add(df, path, 7)
+        return m._replace(taken=m.taken + 1)
+
+    segments.change(spark, path, step)
+    now = segments.manifest(spark, path)
+    assert [s.first for s in now.segments] == [7] and now.taken == 9
+    assert [segments.take_number(spark, path) for _ in range(3)] == [9, 10, 11]
+    with pytest.raises(ValueError):
+        for i in range(3):
+            segments.add(df, path, 20 + i)
+        segments.compact(spark, path, "n int", fanout=4)
+        segments.add(df, path, 21, replace=True)
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])

@@ -26,7 +26,7 @@ def _name(line):
     return F.coalesce(F.nullif(F.regexp_extract(line, "[A-Za-z]+", 0), F.lit("")), F.lit("m"))
 
 
-def _class(doc_id):
+def class_of(doc_id):
     return F.concat(F.lit("com.acme.D"), doc_id.cast("string"))
 
 
@@ -52,7 +52,7 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "lang", "file", "n", rows_of(F.col("r")).alias("r")).select("doc_id", "lang", "file", "n", "r.*")
 
 
-def _sig(line, lang, k):
+def signature(line, lang, k):
     return F.concat(_name(line), F.lit("("), lang, F.lit(",L"), k.cast("string"), F.lit(")"))
 
 
@@ -60,8 +60,8 @@ def method_rows(spark: SparkSession, folder: str) -> DataFrame:
     """One row per line with all that the tables below need."""
     return lines(spark, folder).select(
         "doc_id", "lang", "file", "ln", "next_ln", "k", "n",
-        _class(F.col("doc_id")).alias("class_fqn"), _name(F.col("ln")).alias("name"),
-        _sig(F.col("ln"), F.col("lang"), F.col("k")).alias("method_sig"),
+        class_of(F.col("doc_id")).alias("class_fqn"), _name(F.col("ln")).alias("name"),
+        signature(F.col("ln"), F.col("lang"), F.col("k")).alias("method_sig"),
     )
 
 
@@ -79,7 +79,7 @@ def classes(spark: SparkSession, folder: str) -> DataFrame:
     flag = lambda name: F.coalesce(F.col(name) == 1, F.lit(False))
     return docs.select(
         F.col("lang").alias("module"), "file", F.lit(0).alias("class_ord"),
-        _class(F.col("doc_id")).alias("class_fqn"),
+        class_of(F.col("doc_id")).alias("class_fqn"),
         F.concat(F.lit("D"), F.col("doc_id").cast("string"), F.when(flag("quality"), "Vo").otherwise("")).alias("simple_name"),
         F.concat(F.lit("com.acme."), F.col("lang"), F.when(flag("toxic"), ".entity").otherwise("")).alias("package"),
         (F.col("n_chars") < 300).alias("is_enum"), F.lit(1).alias("start_line"),
@@ -94,7 +94,7 @@ def annotations(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("org.lib."), word).alias("qualified_name"), word.alias("simple_name"),
     ).where("simple_name <> ''")
     on_classes = documents(spark, folder).select(
-        F.lit("CLASS").alias("owner_kind"), _class(F.col("doc_id")).alias("class_fqn"),
+        F.lit("CLASS").alias("owner_kind"), class_of(F.col("doc_id")).alias("class_fqn"),
         F.lit(None).cast("string").alias("method_sig"),
         F.concat(F.lit("org.lang."), F.col("lang")).alias("qualified_name"), F.col("lang").alias("simple_name"),
     )
@@ -104,12 +104,12 @@ def annotations(spark: SparkSession, folder: str) -> DataFrame:
 def type_refs(spark: SparkSession, folder: str) -> DataFrame:
     params = method_rows(spark, folder).select(
         F.lit("param").alias("from_kind"), "class_fqn", "method_sig", F.lit(0).alias("ref_ord"),
-        _class(F.length("ln")).alias("to_class"),
+        class_of(F.length("ln")).alias("to_class"),
     )
     docs = documents(spark, folder).withColumn("l", split_lines(F.col("text")))
-    ref = lambda kind, number: F.struct(F.lit(kind).alias("from_kind"), _class(number).alias("to_class"))
+    ref = lambda kind, number: F.struct(F.lit(kind).alias("from_kind"), class_of(number).alias("to_class"))
     refs = docs.select(
-        _class(F.col("doc_id")).alias("class_fqn"), F.lit(None).cast("string").alias("method_sig"),
+        class_of(F.col("doc_id")).alias("class_fqn"), F.lit(None).cast("string").alias("method_sig"),
         F.lit(0).alias("ref_ord"),
         rows_of(F.array(
             ref("super", F.length(F.get("l", F.lit(0)))), ref("interface", F.size("l")),
@@ -124,13 +124,13 @@ def calls(spark: SparkSession, folder: str) -> DataFrame:
     here = rows.select(F.col("class_fqn").alias("caller_class"), F.col("method_sig").alias("caller_sig"), "class_fqn", "lang", "k", "next_ln", "ln")
     to_next = here.where(F.col("next_ln").isNotNull()).select(
         "caller_class", "caller_sig", F.lit(0).alias("call_ord"), F.col("class_fqn").alias("callee_class"),
-        _sig(F.col("next_ln"), F.col("lang"), F.col("k") + 1).alias("callee_sig"), F.lit(True).alias("callee_in_project"),
+        signature(F.col("next_ln"), F.col("lang"), F.col("k") + 1).alias("callee_sig"), F.lit(True).alias("callee_in_project"),
     )
     first = documents(spark, folder).select(
-        _class(F.col("doc_id")).alias("callee_class"),
-        _sig(F.get(split_lines(F.col("text")), F.lit(0)), F.col("lang"), F.lit(1)).alias("first_sig"),
+        class_of(F.col("doc_id")).alias("callee_class"),
+        signature(F.get(split_lines(F.col("text")), F.lit(0)), F.col("lang"), F.lit(1)).alias("first_sig"),
     )
-    to_other = here.withColumn("callee_class", _class(F.length("ln"))).join(first, "callee_class", "left").select(
+    to_other = here.withColumn("callee_class", class_of(F.length("ln"))).join(first, "callee_class", "left").select(
         "caller_class", "caller_sig", F.lit(1).alias("call_ord"), "callee_class",
         F.coalesce("first_sig", F.lit("outside()")).alias("callee_sig"), F.col("first_sig").isNotNull().alias("callee_in_project"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scribeloom import schemas
+from scribeloom.functions import text
 from scribeloom.operators import generate, index, tasks
 from scribeloom.options import Options, OutputOptions, RetryOptions
 from scribeloom.scale import scratch_path
@@ -68,8 +68,8 @@ def last_task_page(spark, folder):
 
 
 def deep_task_page(spark, folder):
-    """A page in the middle, found by counting sorted ranges."""
-    return tasks.page(_orders(spark, folder), 37, 20, "ENTRY", False, deep_offset=100).select("row_no", "task_id", "class_fqn")
+    """A page in the middle, narrowed down by ranges."""
+    return tasks.page(_orders(spark, folder), 37, 20, "ENTRY", False, narrow_to=10_000).select("row_no", "task_id", "class_fqn")
 
 
 def retry_decisions(spark, folder):
@@ -116,6 +116,16 @@ def stream_latest(spark, folder):
     return task_events.read_latest(spark, out).select(*SHORT)
 
 
+def stream_latest_batches(spark, folder):
+    """The same from twelve batches, merged in levels of three."""
+    split, out, state = (scratch_path(spark, name) for name in ("events", "latest", "latest-state"))
+    events = data.table(spark, folder, "events")
+    events.repartition(12, F.xxhash64("event_id")).write.parquet(split)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(split)
+    task_events.stream_latest(data.task_log_of(stream), out, state, fanout=3).awaitTermination()
+    return task_events.read_latest(spark, out).select(*SHORT)
+
+
 def _windows(spark, out):
     return task_events.read_window_counts(spark, out).select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"),
@@ -140,17 +150,39 @@ def stream_windows_batches(spark, folder):
     return _windows(spark, out)
 
 
-def stream_queue(spark, folder):
-    out, state = scratch_path(spark, "queue"), scratch_path(spark, "queue-state")
-    docs = _stream(spark, folder, "documents")
-    entries = docs.select(
-        F.concat(F.lit("com.acme.D"), F.col("doc_id").cast("string")).alias("class_fqn"),
-        F.concat(F.coalesce(F.nullif(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("")), F.lit("m")), F.lit("("), "lang", F.lit(",L1)")).alias("method"),
-        F.col("source").alias("file"), F.lit(1).alias("line"), F.lit("@RpcService").alias("annotation"),
+def _streamed_entries(docs):
+    """Every line of streamed documents as an entry. The lines carry no arrays."""
+    lines = docs.select(
+        data.class_of(F.col("doc_id")).alias("class_fqn"), "lang", F.col("source").alias("file"),
+        text.rows_of(F.transform(text.split_lines(F.col("text")), lambda x, i: F.struct((i + 1).alias("line"), x.alias("ln")))).alias("r"),
     )
+    return lines.select(
+        "class_fqn", data.signature(F.col("r.ln"), F.col("lang"), F.col("r.line")).alias("method"), "file", "r.line",
+        F.lit("@RpcService").alias("annotation"),
+    )
+
+
+def _queue_of(spark, folder, docs):
+    out, state = scratch_path(spark, "queue"), scratch_path(spark, "queue-state")
     done = data.done_index(spark, folder)
-    queue.stream_queue(entries, done, out, state, F.lit(5).cast("bigint")).awaitTermination()
-    return spark.read.parquet(out).select("task_id", "class_fqn", "method", "status", "scope")
+    queue.stream_queue(_streamed_entries(docs), done, out, state, F.lit(5).cast("bigint")).awaitTermination()
+    return spark.read.parquet(out).select("task_id", "class_fqn", "method", "file", "line", "status", "scope")
+
+
+def stream_queue(spark, folder):
+    return _queue_of(spark, folder, _stream(spark, folder, "documents"))
+
+
+def stream_queue_batches(spark, folder):
+    """The same from four batches, each of which brings half of the documents
+    of the one before again."""
+    split = scratch_path(spark, "documents")
+    docs = data.table(spark, folder, "documents")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int")
+    again = F.when(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0, F.least(part + 1, F.lit(3)))
+    rows = docs.withColumn("batch", F.explode(F.array_compact(F.array(part, again))))
+    rows.repartitionByRange(4, "batch").drop("batch").write.parquet(split)
+    return _queue_of(spark, folder, spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(split))
 
 
 def _documents(spark, folder):
@@ -207,6 +239,13 @@ WINDOWS_SQL = sql(LOG, """
         SELECT window_start, window_start + INTERVAL '1 hour' AS window_end, status, events,
                window_start + INTERVAL '1 hour' <= (SELECT max(updated_at) FROM log) - INTERVAL '1 hour' AS closed FROM w""")
 
+QUEUE_SQL = sql(SRC, body="""
+        SELECT id || '#5' AS task_id, class_fqn, sig AS method, source AS file, k AS line, 'QUEUED' AS status, 'METHOD' AS scope
+        FROM m JOIN (SELECT doc_id, source FROM src) USING (doc_id)
+        WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+LATEST_SQL = sql(LOG, body="""
+        SELECT task_id, class_fqn, method, status, progress, message, scope, error_type, error_message, attempt, seq FROM last""")
+
 QUERIES = {
     "latest_tasks": (latest_tasks, sql(LOG, body="""
         SELECT task_id, class_fqn, method, status, progress, message, scope, error_type, error_message, attempt, seq,
@@ -262,15 +301,12 @@ QUERIES = {
     "queued_tasks": (queued_tasks, sql(SRC, body="""
         SELECT id || '#' || (k * 1000) AS task_id, class_fqn, sig AS method, 'METHOD' AS scope, 'QUEUED' AS status,
                (k * 1000)::BIGINT AS created_at FROM m""")),
-    "stream_latest": (stream_latest, sql(LOG, body="""
-        SELECT task_id, class_fqn, method, status, progress, message, scope, error_type, error_message, attempt, seq FROM last""")),
+    "stream_latest": (stream_latest, LATEST_SQL),
+    "stream_latest_batches": (stream_latest_batches, LATEST_SQL),
     "stream_windows": (stream_windows, WINDOWS_SQL),
     "stream_windows_batches": (stream_windows_batches, WINDOWS_SQL),
-    "stream_queue": (stream_queue, sql(SRC, body="""
-        SELECT class_fqn || '#' || method || '#5' AS task_id, class_fqn, method, 'QUEUED' AS status, 'METHOD' AS scope
-        FROM (SELECT doc_id, class_fqn, coalesce(nullif(regexp_extract(text, '[A-Za-z]+'), ''), 'm') || '(' || lang || ',L1)' AS method FROM src) e
-        WHERE NOT EXISTS (SELECT 1 FROM m JOIN labels b ON b.doc_id = m.doc_id AND b.quality = 1
-                          WHERE m.doc_id = e.doc_id AND m.sig = e.method)""")),
+    "stream_queue": (stream_queue, QUEUE_SQL),
+    "stream_queue_batches": (stream_queue_batches, QUEUE_SQL),
     "written_documents": (written_documents, sql(SRC, f"""
         d AS (SELECT id || '#' || k AS task_id, lang AS module, k, regexp_replace(id || '#' || k, '[^a-zA-Z0-9._-]', '_', 'g') AS safe,
                      replace(class_fqn, '.', '/') AS folder, {STUB_SQL} AS content FROM m)""", body="""
