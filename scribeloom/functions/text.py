@@ -146,14 +146,21 @@ def clean_entities(text: Column) -> Column:
     return text
 
 
-def numbered(lines: Column, start: Column, end: Column, first: Column | int = 1) -> Column:
-    """Lines start to end with their numbers; numbers past the end get empty
-    lines. `first` is the number of the first line in the array."""
-    first = F.lit(first) if isinstance(first, int) else first
-    rows = F.transform(
+def numbered_each(lines: Column, start: Column, end: Column) -> Column:
+    """Lines start to end with their numbers, an element each; numbers past the
+    end get empty lines."""
+    return F.transform(
         F.sequence(start, end),
-        lambda n: F.format_string(
-            fixed.NUMBERED_LINE, n, F.coalesce(F.get(lines, n - first), F.lit(""))
-        ),
+        lambda n: F.format_string(fixed.NUMBERED_LINE, n, F.coalesce(F.get(lines, n - 1), F.lit(""))),
     )
-    return F.when(start <= end, F.array_join(rows, "")).otherwise("")
+
+
+def numbered(lines: Column, start: Column, end: Column) -> Column:
+    """Lines start to end with their numbers, as one text."""
+    return F.when(start <= end, F.array_join(numbered_each(lines, start, end), "")).otherwise("")
+
+
+def joined(numbered_lines: Column, first: Column, start: Column, end: Column) -> Column:
+    """Lines start to end of numbered lines that begin with the line `first`."""
+    part = F.slice(numbered_lines, start - first + 1, F.greatest(end - start + 1, F.lit(0)))
+    return F.when(start <= end, F.array_join(part, "")).otherwise("")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from scribeloom import schemas
@@ -13,6 +15,8 @@ from workload.data import CALL_EDGES, CLASSES, SRC, TAGGED, TYPE_EDGES, literal,
 from workload.selection import CATEGORY, WANTED, WORDS
 
 LIMIT = 2000
+LARGE = 20_000
+WHOLE = 1 << 30  # no text is as long
 CONTEXT = ContextOptions(type_depth=2, called_depth=3, max_chars=LIMIT)
 CUSTOM = "Method ${ENTRY_METHOD} (${ENTRY_METHOD_BASE}) of ${ENTRY_CLASS_FQN}: ${HTTP_METHOD}\n${CONTEXT}\n-- ${ENTRY_METHOD}"
 REVIEW_OWN = "Review ${ENTRY_CLASS_FQN}:\n${CONTEXT}"
@@ -72,37 +76,42 @@ def graph_size(spark, folder):
     return graph.graph_summary(graph.graph_size(edges), 2)
 
 
-def numbered_documents(spark, folder):
-    return bundle.numbered_files(data.source_files(spark, folder), LIMIT)
+def numbered_documents(spark, folder, limit=LIMIT):
+    return bundle.numbered_files(data.source_files(spark, folder), limit)
 
 
-def source_bundles(spark, folder):
+def source_bundles(spark, folder, limit=LIMIT):
     """All documents of a source in one text: a key with any number of parts."""
     docs = data.documents(spark, folder).select("source", "doc_id", F.concat("text", F.lit("\n")).alias("text"))
-    return bundle.cut_parts(docs, LIMIT, key="source", order=("doc_id",), many=True)
+    return bundle.cut_parts(docs, limit, key="source", order=("doc_id",), many=True)
 
 
-def method_bundles(spark, folder):
+def method_bundles(spark, folder, context=CONTEXT):
     t = data.stored(spark, folder, "classes", "methods", "annotations", "type_refs", "calls")
     entries = select.select_entries(t["classes"], t["methods"], t["annotations"], data.SETTING).withColumn(
         "entry_id", F.concat_ws("#", "class_fqn", "method")
     )
     found = bundle.method_bundles(
         entries, t["classes"], t["methods"], _marked(t), t["type_refs"], t["calls"],
-        data.source_files(spark, folder), CONTEXT,
+        data.source_files(spark, folder), context,
     )
     return found.select("entry_id", "text")
 
 
-def class_bundles(spark, folder):
+def class_bundles(spark, folder, context=CONTEXT):
     t = data.stored(spark, folder, "classes", "methods", "annotations", "type_refs")
     entries = t["classes"].select(F.col("class_fqn").alias("entry_id"), "class_fqn")
     found = bundle.class_bundles(
-        entries, t["classes"], t["methods"], _marked(t), t["type_refs"], data.source_files(spark, folder), CONTEXT
+        entries, t["classes"], t["methods"], _marked(t), t["type_refs"], data.source_files(spark, folder), context
     )
     return found.select("entry_id", "text")
 
 
+def at_limit(query, limit):
+    """A query on context texts at another limit."""
+    return lambda spark, folder: query(spark, folder, replace(CONTEXT, max_chars=limit))
+
+
 def _doc_entries(spark, folder):
     """A document as an entry: named by its first word, with its text as context.
 
@@ -215,14 +224,21 @@ type_found AS (
 NUMBERED = ("list_aggregate(list_transform(generate_series({a}, {b}), "
             "lambda i: CASE WHEN i < 100000 THEN lpad(i::VARCHAR, 6, ' ') ELSE i::VARCHAR END || ' | ' || coalesce(l[i], '') || chr(10)), 'string_agg', '')")
 
-CUT = """
+
+
+def cut(limit: int) -> str:
+    return f"""
 placed AS (
   SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY id ORDER BY s, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre FROM parts),
 whole AS (
   SELECT id, string_agg(t, '' ORDER BY s, o) AS t,
-         bool_or(chk IS NOT NULL AND {n} - pre > 0 AND {n} - pre <= length(t) AND {n} - pre >= chk
-                 AND substr(t, ({n} - pre)::BIGINT, 1) = chr(10)) AS stops FROM placed GROUP BY id)""".replace("{n}", str(LIMIT))
-CUT_SELECT = f"""CASE WHEN length(t) > {LIMIT} THEN left(t, {LIMIT}) || CASE WHEN stops THEN '' ELSE chr(10) || '... [truncated]' || chr(10) END ELSE t END"""
+         bool_or(chk IS NOT NULL AND {limit} - pre > 0 AND {limit} - pre <= length(t) AND {limit} - pre >= chk
+                 AND substr(t, ({limit} - pre)::BIGINT, 1) = chr(10)) AS stops FROM placed GROUP BY id)"""
+
+
+def cut_select(limit: int, stops: str = "stops") -> str:
+    return f"""CASE WHEN length(t) > {limit} THEN left(t, {limit}) || CASE WHEN {stops} THEN '' ELSE chr(10) || '... [truncated]' || chr(10) END ELSE t END"""
+
 
 METHOD_PARTS = rf"""
 found AS (
@@ -321,6 +337,28 @@ STUB_SQL = f"""{literal(fixed.STUB_NAME)} || class_fqn || '.' || name || {litera
 BLANK = r"[\p{Z}\t\n\x0B\f\r\x1C-\x1F]+"
 CLEAN = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\u003c', '<'), '\\u003e', '>')"
 
+def numbered_sql(limit: int) -> str:
+    return sql(SRC, f"""
+        t AS (SELECT file, {NUMBERED.format(a=1, b='len(l)')} AS t FROM src)""", body=f"""
+        SELECT file, {cut_select(limit, 'false')} AS text FROM t""")
+
+
+def source_sql(limit: int) -> str:
+    return sql("""
+        t AS (SELECT source, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY source)""", body=f"""
+        SELECT source, {cut_select(limit, 'false')} AS text FROM t""")
+
+
+def method_sql(limit: int) -> str:
+    return sql(SRC, CLASSES, TAGGED, TYPE_EDGES, CALL_EDGES, METHOD_PARTS, cut(limit), body=f"""
+        SELECT id AS entry_id, {cut_select(limit)} AS text FROM whole""", recursive=True)
+
+
+def class_sql(limit: int) -> str:
+    return sql(SRC, CLASSES, TYPE_EDGES, CLASS_PARTS, cut(limit), body=f"""
+        SELECT id AS entry_id, {cut_select(limit)} AS text FROM whole""", recursive=True)
+
+
 QUERIES = {
     "request_rows": (request_rows, sql(SRC, DOC_ENTRIES, f"""
         p AS (SELECT doc_id, {CATEGORY} AS category, {CUSTOM_PROMPT} AS prompt FROM ent
@@ -357,16 +395,16 @@ QUERIES = {
     "graph_size": (graph_size, """
         SELECT '[graph] nodes=' || count(*) || ', classpath=2' AS summary
         FROM (SELECT 'o' || l_orderkey AS x FROM lineitem UNION SELECT 'p' || l_partkey FROM lineitem)"""),
-    "numbered_documents": (numbered_documents, sql(SRC, f"""
-        t AS (SELECT file, {NUMBERED.format(a=1, b='len(l)')} AS t FROM src)""", body=f"""
-        SELECT file, CASE WHEN length(t) > {LIMIT} THEN left(t, {LIMIT}) || chr(10) || '... [truncated]' || chr(10) ELSE t END AS text FROM t""")),
-    "source_bundles": (source_bundles, sql("""
-        t AS (SELECT source, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY source)""", body=f"""
-        SELECT source, CASE WHEN length(t) > {LIMIT} THEN left(t, {LIMIT}) || chr(10) || '... [truncated]' || chr(10) ELSE t END AS text FROM t""")),
-    "method_bundles": (method_bundles, sql(SRC, CLASSES, TAGGED, TYPE_EDGES, CALL_EDGES, METHOD_PARTS, CUT, body=f"""
-        SELECT id AS entry_id, {CUT_SELECT} AS text FROM whole""", recursive=True)),
-    "class_bundles": (class_bundles, sql(SRC, CLASSES, TYPE_EDGES, CLASS_PARTS, CUT, body=f"""
-        SELECT id AS entry_id, {CUT_SELECT} AS text FROM whole""", recursive=True)),
+    "numbered_documents": (numbered_documents, numbered_sql(LIMIT)),
+    "numbered_documents_whole": (lambda spark, folder: numbered_documents(spark, folder, WHOLE), numbered_sql(WHOLE)),
+    "source_bundles": (source_bundles, source_sql(LIMIT)),
+    "source_bundles_20k": (lambda spark, folder: source_bundles(spark, folder, LARGE), source_sql(LARGE)),
+    "method_bundles": (method_bundles, method_sql(LIMIT)),
+    "method_bundles_20k": (at_limit(method_bundles, LARGE), method_sql(LARGE)),
+    "method_bundles_whole": (at_limit(method_bundles, WHOLE), method_sql(WHOLE)),
+    "class_bundles": (class_bundles, class_sql(LIMIT)),
+    "class_bundles_20k": (at_limit(class_bundles, LARGE), class_sql(LARGE)),
+    "class_bundles_whole": (at_limit(class_bundles, WHOLE), class_sql(WHOLE)),
     "prompts_default": (prompts_default, f"SELECT doc_id, {DEFAULT_PROMPT} AS prompt FROM documents"),
     "prompts_custom": (prompts_custom, sql(DOC_ENTRIES, body=f"SELECT doc_id, {CUSTOM_PROMPT} AS prompt FROM ent")),
     "prompts_by_name": (prompts_by_name, sql(DOC_ENTRIES, body=f"""
