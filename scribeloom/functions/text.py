@@ -87,6 +87,13 @@ def task_id(class_fqn: Column, method: Column, created_at: Column) -> Column:
     return F.concat_ws("#", class_fqn, method, created_at.cast("string"))
 
 
+def entry_id(class_fqn: Column, method: Column, file: Column, module: Column) -> Column:
+    """What an entry is, whatever its tasks are called: a class that is declared
+    in two modules has two entries for a method."""
+    named = (class_fqn.alias("class_fqn"), method.alias("method"), file.alias("file"), module.alias("module"))
+    return F.sha2(F.to_json(F.struct(*named)), 256)
+
+
 def class_folder(class_fqn: Column) -> Column:
     """Folder of a class: one level per package and class name."""
     parts = F.filter(F.split(class_fqn, r"[.$]", -1), lambda p: ~is_blank(p))

@@ -39,6 +39,31 @@ def new_tasks(entries: DataFrame, created_at: Column | None = None) -> DataFrame
     )
 
 
+def entry_of(tasks: DataFrame) -> Column:
+    module = F.col("module") if "module" in tasks.columns else F.lit(None).cast("string")
+    return text.entry_id(F.col("class_fqn"), F.col("method"), F.col("file"), module)
+
+
+def name_collisions(tasks: DataFrame) -> DataFrame:
+    """Task ids that several entries share, a row each: task_id, entry_id, and
+    the place among them, by module and file."""
+    module = F.col("module") if "module" in tasks.columns else F.lit(None).cast("string")
+    each = tasks.select("task_id", entry_of(tasks).alias("entry_id"), module.alias("module"), "file")
+    # Counted before the shuffle; a name that one entry has goes no further.
+    shared = each.groupBy("task_id").agg(F.min("entry_id").alias("a"), F.max("entry_id").alias("b")).where("a < b").select("task_id")
+    place = F.row_number().over(W.partitionBy("task_id").orderBy("module", "file", "entry_id")) - 1
+    return each.join(shared, "task_id", "left_semi").distinct().select("task_id", "entry_id", place.alias("place"))
+
+
+def name_apart(tasks: DataFrame) -> DataFrame:
+    """Tasks whose ids no other entry has: entries that share one are created a
+    millisecond after each other, so that neither documents nor replies meet."""
+    places = name_collisions(tasks)
+    created = F.col("created_at") + F.coalesce("place", F.lit(0))
+    moved = tasks.withColumn("entry_id", entry_of(tasks)).join(places, ["task_id", "entry_id"], "left").withColumn("created_at", created)
+    return moved.withColumn("task_id", text.task_id(F.col("class_fqn"), F.col("method"), F.col("created_at"))).select(*tasks.columns)
+
+
 def latest(log: DataFrame) -> DataFrame:
     """Last row of each task by `seq`; combined before the shuffle. A row
     without `seq` comes before all others of its task."""

@@ -28,13 +28,18 @@ def scan(
         todo = index.skip_done_classes(select.class_entries(entries), done)
     else:
         todo = index.skip_done_methods(entries, done)
-    return tasks.new_tasks(todo, created_at)
+    return tasks.name_apart(tasks.new_tasks(todo, created_at))
 
 
 def requests(symbols: dict[str, DataFrame], queued: DataFrame, options: Options = Options()) -> DataFrame:
-    """Request rows of queued tasks: task_id, context, prompt, provider, model, body."""
+    """Request rows of queued tasks: task_id, context, prompt, provider, model, body.
+
+    A context text belongs to an entry: two tasks of one entry share it, and
+    entries of equal names in two modules have one each.
+    """
+    queued = queued.withColumn("entry_id", tasks.entry_of(queued))
     marked = select.mark_targets(symbols["classes"], symbols["annotations"], options.context)
-    entries = queued.withColumnRenamed("task_id", "entry_id")
+    entries = queued.drop("task_id").dropDuplicates(["entry_id"])
     by_method = bundle.method_bundles(
         entries.where("scope = 'METHOD'"), symbols["classes"], symbols["methods"], marked,
         symbols["type_refs"], symbols["calls"], symbols["source_files"], options.context,
@@ -43,10 +48,8 @@ def requests(symbols: dict[str, DataFrame], queued: DataFrame, options: Options
         entries.where("scope = 'CLASS'"), symbols["classes"], symbols["methods"], marked,
         symbols["type_refs"], symbols["source_files"], options.context,
     )
-    contexts = by_method.unionByName(by_class).select(
-        F.col("entry_id").alias("task_id"), F.col("text").alias("context")
-    )
-    prompts = prompt.render_prompts(queued.join(contexts, "task_id"), options.prompt, options.prefixes)
+    contexts = by_method.unionByName(by_class).select("entry_id", F.col("text").alias("context"))
+    prompts = prompt.render_prompts(queued.join(contexts, "entry_id").drop("entry_id"), options.prompt, options.prefixes)
     return request.request_rows(prompts, options.request)
 
 
@@ -83,4 +86,4 @@ def resume_list(
     found = resume.resolve(resume.parse_lines(lines), entries)
     if skip_succeeded:
         found = resume.skip_succeeded(found, history)
-    return tasks.new_tasks(found, created_at)
+    return tasks.name_apart(tasks.new_tasks(found, created_at))

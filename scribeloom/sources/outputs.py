@@ -11,13 +11,16 @@ from scribeloom import schemas
 from scribeloom.functions import text
 from scribeloom.operators.index import OUTPUT_FOLDERS, counts_as_output
 from scribeloom.options import OutputOptions
+from scribeloom.scale import materialize
+from scribeloom.sources import segments
 
 
 def list_output_files(spark: SparkSession, base: str) -> DataFrame:
     """Document files below a project folder, as paths from that folder on.
 
-    Only paths are read; contents stay where they are. For outputs in the
-    millions keep documents in a table and use `list_output_table`.
+    Only paths are read; contents stay where they are. This lists folders on
+    the driver: it is for documents that other tools left as single files. Documents
+    written here are found by `list_output_table`, from the manifest.
     """
     found = None
     for folder in OUTPUT_FOLDERS:
@@ -37,9 +40,19 @@ def list_output_files(spark: SparkSession, base: str) -> DataFrame:
     return spark.createDataFrame([], schemas.OUTPUT_FILES) if found is None else found
 
 
+PATHS = "path string, kind string, module string, size bigint, run bigint, part string"
+
+
+def written_paths(spark: SparkSession, table: str) -> DataFrame:
+    """Every path of every committed run, with its size and the folder that
+    holds it, from the manifest of the table."""
+    return segments.read(spark, f"{table}/_paths", PATHS)
+
+
 def list_output_table(spark: SparkSession, table: str) -> DataFrame:
-    """Paths of the documents in an output table that count as done."""
-    rows = spark.read.parquet(table).select("path")
+    """Paths of the documents in an output table that count as done. Neither
+    folders nor documents are looked at."""
+    rows = written_paths(spark, table).select("path")
     return rows.where(counts_as_output(F.col("path"))).distinct()
 
 
@@ -47,8 +60,10 @@ def output_rows(documents: DataFrame, options: OutputOptions = OutputOptions())
     """One row per file to write: Markdown, document, JSON if there is any, and
     the context text if there is one.
 
-    documents: task_id, class_fqn, scope, module, markdown [, json, context].
+    documents: task_id, class_fqn, scope, module, markdown [, json, context,
+    created_at, which is kept].
     """
+    kept = ["created_at"] if "created_at" in documents.columns else []
     task, cls, scope, module = (F.col(c) for c in ("task_id", "class_fqn", "scope", "module"))
 
     def rel(root: str, ext: str):
@@ -70,72 +85,67 @@ def output_rows(documents: DataFrame, options: OutputOptions = OutputOptions())
     if not files:
         files = [F.lit(None).cast("struct<kind:string,path:string,content:string>")]
     return (
-        documents.select("task_id", "module", text.rows_of(F.array(*files)).alias("f"))
+        documents.select("task_id", "module", *kept, text.rows_of(F.array(*files)).alias("f"))
         .where(F.col("f").isNotNull() & F.col("f.content").isNotNull())
-        .select("task_id", F.coalesce("module", F.lit("none")).alias("module"), "f.*")
+        .select("task_id", F.coalesce("module", F.lit("none")).alias("module"), "f.*", *kept)
     )
 
 
-OUTPUT_TABLE = "task_id string, path string, content string, kind string, module string, run bigint"
+OUTPUT_TABLE = "task_id string, path string, content string, run bigint, part string, kind string, module string"
 # Characters of content that one file should hold about.
 FILE_CHARS = 256 << 20
 
 
 def runs(spark: SparkSession, table: str) -> list[int]:
-    """The runs that a table holds, ascending, from its folder names."""
-    try:
-        rows = spark.read.schema(OUTPUT_TABLE).parquet(table).select("run").distinct().collect()  # one row a run
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return []
-    return sorted(r["run"] for r in rows)
+    """The runs that a table holds, ascending, from its manifest."""
+    return sorted(s.first for s in segments.manifest(spark, f"{table}/_paths").segments)
 
 
 def write_outputs(
     documents: DataFrame, table: str, options: OutputOptions = OutputOptions(), run: int | None = None,
     repeat: bool = False,
 ) -> int:
-    """Write documents as rows of path and content, in folders by kind, module
-    and run, and return the run.
-
-    Runs are numbered upwards: a path written again by a later run replaces the
-    older one for readers. Without a number the next free one is taken; a run
-    that exists is refused, unless the caller asks to repeat it, which replaces
-    its own rows. Names that become the same path give one row, that of the
-    task created last.
+    """Write documents as rows of path and content, in folders by kind and
+    module, and return the run.
+
+    The documents are computed once. A run can be seen when its paths are in the
+    manifest, whole or not at all. Runs are numbered upwards: a path written
+    again by a later run replaces the older one for readers. Without a number
+    the next free one is taken; a run that exists is refused, unless the caller
+    asks to repeat it, which replaces its own rows. Names that become the same
+    path give one row, that of the task created last.
     """
     spark = documents.sparkSession
-    known = runs(spark, table)
+    manifest = segments.manifest(spark, f"{table}/_paths")
+    known = [s.first for s in manifest.segments]
     run = run if run is not None else max(known, default=-1) + 1
     if run in known and not repeat:
         raise ValueError(f"run {run} exists; say repeat=True to replace it")
-    created = "created_at" if "created_at" in documents.columns else None
     rows = output_rows(documents, options)
-    order = [F.col("task_id")]
-    if created:
-        rows = rows.join(documents.select("task_id", F.col(created).alias("_created")), "task_id")
-        order = [F.col("_created"), *order]
+    order = [F.col("created_at"), F.col("task_id")] if "created_at" in rows.columns else [F.col("task_id")]
     kept = ("task_id", "module", "kind", "content")
     rows = rows.groupBy("path").agg(F.max_by(F.struct(*kept), F.struct(*order)).alias("r")).select("path", "r.*")
-    rows = rows.withColumn("run", F.lit(run).cast("bigint"))
+    rows = materialize(rows.withColumn("run", F.lit(run).cast("bigint")), "outputs")
     # Files by kind and module, in pieces of a bounded size, not one per task.
     sizes = rows.groupBy("kind", "module").agg(F.sum(F.length("content")).alias("n"))
     pieces = F.ceil(F.col("n") / FILE_CHARS).cast("int")
-    rows = rows.join(sizes.select("kind", "module", pieces.alias("_pieces")), ["kind", "module"])
-    rows = rows.repartition("kind", "module", F.pmod(F.xxhash64("path"), F.greatest("_pieces", F.lit(1)))).drop("_pieces")
-    (
-        rows.select("task_id", "path", "content", "kind", "module", "run")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("kind", "module", "run").parquet(table)
-    )
+    dealt = rows.join(sizes.select("kind", "module", pieces.alias("_pieces")), ["kind", "module"])
+    dealt = dealt.repartition("kind", "module", F.pmod(F.xxhash64("path"), F.greatest("_pieces", F.lit(1)))).drop("_pieces")
+    columns = ("task_id", "path", "content", "run", "kind", "module")
+    part = segments.write_segment(dealt.select(*columns), table, ("kind", "module"), "part=")
+    paths = rows.select("path", "kind", "module", F.length("content").cast("bigint").alias("size"), "run", F.lit(part).alias("part"))
+    if not segments.add(paths, f"{table}/_paths", run, part, replace=repeat):
+        raise ValueError(f"run {run} was written by another writer meanwhile")
     return run
 
 
 def read_outputs(spark: SparkSession, table: str) -> DataFrame:
     """The last content written to each path. Which rows are superseded comes
-    from the paths alone; contents are not shuffled unless many are."""
-    rows = spark.read.schema(OUTPUT_TABLE).parquet(table)
+    from the manifest; contents are not shuffled unless many are."""
+    parts = [s.key for s in segments.manifest(spark, f"{table}/_paths").segments]
+    if not parts:
+        return spark.createDataFrame([], OUTPUT_TABLE)
+    rows = spark.read.schema(OUTPUT_TABLE).option("basePath", table).parquet(*[f"{table}/{p}" for p in parts])
     last = F.max("run").over(W.partitionBy("path"))
-    old = rows.select("path", "run").withColumn("last", last).where("run < last").select("path", "run")
+    old = written_paths(spark, table).select("path", "run").withColumn("last", last).where("run < last").select("path", "run")
     return rows.join(old, ["path", "run"], "left_anti")

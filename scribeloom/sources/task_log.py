@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scribeloom import schemas
 from scribeloom.functions import fixed
+from scribeloom.operators.tasks import status_rank
+from scribeloom.sources import segments
 
 
 def complete(rows: DataFrame) -> DataFrame:
@@ -19,20 +20,27 @@ def complete(rows: DataFrame) -> DataFrame:
     ])
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Append rows. Rows without `updated_at` get the time of the call, rows
-    without `seq` a number that is greater than those of earlier calls: the
-    time in milliseconds, shifted, plus a number of the row."""
-    now = time.time_ns()
-    stamped = complete(rows).withColumns({
-        "updated_at": F.coalesce("updated_at", F.timestamp_micros(F.lit(now // 1000))),
-        "seq": F.coalesce("seq", F.lit((now // 1_000_000) << 20) + F.pmod(F.xxhash64("task_id", "status", "attempt"), F.lit(1 << 20))),
-    })
-    stamped.write.mode("append").parquet(path)
+def append_log(rows: DataFrame, path: str, key: str | None = None) -> bool:
+    """Append rows as one segment of the log. A key that was appended before is
+    left alone, and False is given, so an append that may have come through can
+    be tried again.
+
+    Rows without `seq` are numbered by the log itself: by the number of the
+    append, which the manifest counts up, then by their place among the rows of
+    their task: by time, attempt and state. Neither a clock nor a hash decides
+    between two states of a task. Rows without `updated_at` get the time of the call.
+    """
+    if key is not None and any(s.key == key for s in segments.manifest(rows.sparkSession, path).segments):
+        return False
+    number = segments.take_number(rows.sparkSession, path)
+    stamped = complete(rows).withColumn("updated_at", F.coalesce("updated_at", F.current_timestamp()))
+    order = W.partitionBy("task_id").orderBy(F.asc_nulls_first("updated_at"), F.asc_nulls_first("attempt"), status_rank(F.col("status")))
+    place = F.lit(number << 32) + F.row_number().over(order)
+    return segments.add(stamped.withColumn("seq", F.coalesce("seq", place)), path, number, key)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.TASK_LOG).parquet(path)
+    return segments.read(spark, path, schemas.TASK_LOG)
 
 
 def _known(column: str, allowed: tuple[str, ...]):

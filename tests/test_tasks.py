@@ -403,3 +403,70 @@ def test_resume_job(spark):
     assert {r["task_id"] for r in got.collect()} == {f"{project.S}#get(String)#1", f"{project.S}#CLASS#1"}
     every = jobs.resume_list(lines, t, history, Options(annotation="Rpc"), skip_succeeded=False, created_at=F.lit(1).cast("bigint"))
     assert every.count() == 3
+
+
+def test_a_log_orders_its_own_rows(spark, tmp_path, monkeypatch):
+    """Two states of a task in one append, appends within a millisecond, a clock
+    that steps back, and an append that is tried again."""
+    path = str(tmp_path / "log")
+    both = log(spark, [("a", "SUCCEEDED", 1, {}), ("a", "RUNNING", 2, {}), ("b", "RUNNING", 3, {})]).drop("seq", "updated_at")
+    assert task_log.append_log(both, path, "one")
+    assert not task_log.append_log(both, path, "one")
+    assert task_log.read_log(spark, path).count() == 3
+    state = lambda: {r["task_id"]: r["status"] for r in tasks.latest(task_log.read_log(spark, path)).collect()}
+    assert state() == {"a": "SUCCEEDED", "b": "RUNNING"}
+    early = log(spark, [("b", "FAILED", 1, {}), ("a", "QUEUED", 1, {"attempt": 1})]).drop("seq").withColumn("updated_at", F.timestamp_seconds(F.lit(1)))
+    task_log.append_log(early, path)
+    assert state() == {"a": "QUEUED", "b": "FAILED"}
+    timed = log(spark, [("b", "PARTIAL", 1, {}), ("b", "QUEUED", 2, {})]).withColumn("updated_at", F.timestamp_seconds(F.when(F.col("status") == "QUEUED", 9).otherwise(8)))
+    task_log.append_log(timed.drop("seq"), path)
+    assert state()["b"] == "QUEUED"
+    numbers = [r["seq"] for r in task_log.read_log(spark, path).where("task_id = 'b'").collect()]
+    assert len(set(numbers)) == 4
+
+
+def test_documents_are_computed_once_and_seen_whole(spark, tmp_path, monkeypatch):
+    table, calls = str(tmp_path / "out"), spark.sparkContext.accumulator(0)
+
+    def count(text):
+        calls.add(1)
+        return text
+
+    counted = F.udf(count, "string").asNondeterministic()
+    docs = spark.createDataFrame(
+        [(f"c.A#f{i}()#5", "c.A", "METHOD", None, "x", i) for i in range(6)],
+        "task_id string, class_fqn string, scope string, module string, markdown string, created_at bigint",
+    ).withColumn("markdown", counted("markdown"))
+    outputs.write_outputs(docs, table)
+    assert calls.value == 6
+    sizes = {r["path"]: r["size"] for r in outputs.written_paths(spark, table).collect()}
+    assert len(sizes) == 12 and set(sizes.values()) == {1}
+    # A run that dies before its paths are in the manifest is not there.
+    with monkeypatch.context() as m:
+        m.setattr(segments, "add", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            outputs.write_outputs(docs.limit(1), table)
+    assert outputs.runs(spark, table) == [0] and outputs.read_outputs(spark, table).count() == 12
+    assert outputs.write_outputs(docs.limit(1), table) == 1
+    assert outputs.list_output_table(spark, str(tmp_path / "none")).count() == 0
+    assert outputs.read_outputs(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_entries_of_one_name_in_two_modules_are_apart(spark):
+    t = project.tables(spark)
+    copy = lambda df, c: df.withColumn(c, F.concat(F.lit("/copy"), c))
+    t["classes"] = t["classes"].unionByName(copy(t["classes"], "file").withColumn("module", F.lit("zz")))
+    t["methods"] = t["methods"].unionByName(copy(t["methods"], "file"))
+    t["source_files"] = t["source_files"].unionByName(copy(t["source_files"], "path").withColumn("module", F.lit("zz")))
+    none, options = spark.createDataFrame([], "path string"), Options(annotation="@Rpc")
+    queued = jobs.scan(t, none, options, F.lit(7).cast("bigint"))
+    rows = queued.collect()
+    assert len({r["task_id"] for r in rows}) == len(rows) and {r["created_at"] for r in rows} == {7, 8}
+    assert tasks.name_collisions(queued).count() == 0
+    asked = {r["task_id"]: r for r in jobs.requests(t, queued, options).collect()}
+    for n, file in ((7, "/p/app/OrderService.java"), (8, "/copy/p/app/OrderService.java")):
+        context = asked[f"{project.S}#get(String)#{n}"]["context"]
+        assert context.count("# Entry Method") == context.count("# Method Source") == 1 and f"## File: {file} [" in context
+    first = queued.where("created_at = 7")
+    twice = first.unionByName(first.withColumn("task_id", F.concat("task_id", F.lit("1"))))
+    assert jobs.requests(t, twice, options).count() == 2 * first.count()  # two tasks of an entry share its text

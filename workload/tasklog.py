@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from scribeloom.functions import text
 from scribeloom.operators import generate, index, tasks
 from scribeloom.options import Options, OutputOptions, RetryOptions
-from scribeloom.scale import scratch_path
+from scribeloom.plans import jobs
+from scribeloom.scale import materialize, scratch_path
 from scribeloom.sources import outputs, symbols, task_log
 from scribeloom.streaming import queue, task_events
 from workload import data
-from workload.context import STUB_SQL
-from workload.data import LOG, SRC, sql
+from workload.context import CONTEXT, STUB_SQL
+from workload.data import LOG, SRC, TAGGED, sql
 from workload.selection import WORDS
 
 SHORT = ("task_id", "class_fqn", "method", "status", "progress", "message", "scope", "error_type", "error_message", "attempt", "seq")
@@ -217,8 +218,100 @@ def written_log(spark, folder):
     return back.select("task_id", "class_fqn", "method", "created_at", "status", "progress", "message", "scope", "error_type", "error_message", "attempt")
 
 
+def written_runs(spark, folder):
+    """Three runs: the second writes some paths again, the third has names in
+    pairs that become the same path."""
+    out = scratch_path(spark, "outputs")
+    docs, options = _documents(spark, folder), OutputOptions(write_doc=False)
+    outputs.write_outputs(docs, out, options)
+    again = docs.where("json = '{}'").withColumn("markdown", F.concat(F.lit("again "), "class_fqn")).drop("json")
+    outputs.write_outputs(again, out, options)
+    twins = docs.where("json = '{}'").drop("json").withColumn("created_at", F.explode(F.array(F.lit(1), F.lit(2))))
+    name = F.concat("class_fqn", F.when(F.col("created_at") == 1, "#f()").otherwise("#f[]"), F.lit("#9"))
+    twins = twins.withColumn("task_id", name).withColumn("markdown", F.concat(F.lit("twin "), F.col("created_at").cast("string")))
+    outputs.write_outputs(twins, out, options)
+    return outputs.read_outputs(spark, out).select("task_id", "kind", "path", "content", "run")
+
+
+def written_paths(spark, folder):
+    """What the manifest says of the runs: paths that count as done, with sizes."""
+    out = scratch_path(spark, "outputs")
+    outputs.write_outputs(_documents(spark, folder), out, OutputOptions(group_by_module=True))
+    done = outputs.list_output_table(spark, out)
+    return outputs.written_paths(spark, out).join(done, "path", "left_semi").select("path", "kind", "module", "size", "run")
+
+
+def appended_log(spark, folder):
+    """The log in two appends, the second of which comes twice: the log itself
+    numbers its rows, by append, time, attempt and state."""
+    out = scratch_path(spark, "log")
+    log = data.task_log(spark, folder)
+    odd = F.col("seq") % 2 == 1
+    for part, key in ((log.where(~odd), "even"), (log.where(odd), "odd"), (log.where(odd), "odd")):
+        task_log.append_log(part.drop("seq"), out, key)
+    found = task_log.read_log(spark, out)
+    rows = found.groupBy("task_id").agg(F.count("*").alias("updates"), F.count_distinct("seq").alias("numbers"))
+    return tasks.latest(found).join(rows, "task_id").select("task_id", "status", "message", "attempt", "updates", "numbers")
+
+
+def named_apart(spark, folder):
+    """Every line as an entry of two modules: each has a task of its own name."""
+    one = data.entries(spark, folder)
+    two = one.withColumn("module", F.lit("copy")).withColumn("file", F.concat(F.lit("copy/"), "file"))
+    made = tasks.new_tasks(one.unionByName(two), F.lit(5).cast("bigint"))
+    return tasks.name_apart(made).select("task_id", "class_fqn", "method", "module", "file", "created_at")
+
+
+def twin_contexts(spark, folder):
+    """Entries of classes that two modules declare: each has a text of its own,
+    with one method named and shown. Texts are given up to their source."""
+    t = data.stored(spark, folder, "classes", "methods", "annotations", "type_refs", "calls", "source_files")
+    copy = lambda df, column: df.withColumn(column, F.concat(F.lit("copy/"), column))
+    in_copy = lambda df, column: df.unionByName(copy(df, column).withColumn("module", F.lit("copy")))
+    t["classes"], t["source_files"] = in_copy(t["classes"], "file"), in_copy(t["source_files"], "path")
+    t["methods"] = t["methods"].unionByName(copy(t["methods"], "file"))
+    options = Options(annotation=data.SETTING, context=CONTEXT)
+    queued = materialize(jobs.scan(t, data.done_files(spark, folder), options, F.lit(5).cast("bigint")), "queued")
+    asked = jobs.requests(t, queued, options).select("task_id", "module", "file", "context")
+    named = F.regexp_count("context", F.lit("# Entry Method"))
+    shown = F.regexp_count("context", F.lit("# Method Source"))
+    head = F.substring_index("context", "# Method Source", 1)
+    return asked.select("task_id", "module", "file", named.alias("named"), shown.alias("shown"), head.alias("head"))
+
+
+def whole_job(spark, folder):
+    """From scan to documents: requests, replies of which some fail, documents,
+    log, a second try of what failed, and a second scan that finds nothing."""
+    t = data.stored(spark, folder, "classes", "methods", "annotations", "type_refs", "calls", "source_files")
+    options = Options(annotation=data.SETTING, context=CONTEXT, output=OutputOptions(write_doc=False))
+    done, table, log = data.done_files(spark, folder), scratch_path(spark, "outputs"), scratch_path(spark, "log")
+    todo = materialize(jobs.scan(t, done, options, F.lit(5).cast("bigint")), "queued")
+    task_log.append_log(todo, log, "scan")
+    for attempt in range(2):
+        asked = jobs.requests(t, todo, options)
+        fails = F.lit(attempt == 0) & (F.length("task_id") % 5 == 0)
+        content = F.concat(F.lit("```md\n# "), "task_id", F.lit("\n```"))
+        body = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
+        replies = asked.select(
+            "task_id", F.when(fails, 503).otherwise(200).alias("http_status"), F.when(fails, "busy").otherwise(body).alias("body"),
+            F.lit(100).cast("bigint").alias("failed_at"),
+        )
+        good, bad = jobs.documents(materialize(replies, "replies"), todo, options)
+        outputs.write_outputs(good, table, options.output)
+        task_log.append_log(good, log, f"good {attempt}")
+        task_log.append_log(bad, log, f"bad {attempt}")
+        todo = materialize(jobs.requeue(bad, F.lit(1600)), "queued")
+        task_log.append_log(todo, log, f"again {attempt}")
+    left = jobs.scan(t, outputs.list_output_table(spark, table).union(done), options).count()
+    states = tasks.latest(task_log.read_log(spark, log))
+    written = outputs.read_outputs(spark, table).select("task_id", "path", "content")
+    return states.join(written, "task_id", "left").select(
+        "task_id", "status", "attempt", "message", F.col("md_path"), "path", "content", F.lit(left).alias("left_to_do")
+    )
+
+
 def written_symbols(spark, folder):
-    """Symbol tables written and read, by number of rows."""
+    """Symbol tables written and read: rows, and rows that came back the same."""
     out = scratch_path(spark, "symbols")
     made = {
         "classes": data.classes(spark, folder), "methods": data.methods(spark, folder),
@@ -227,7 +320,13 @@ def written_symbols(spark, folder):
     }
     symbols.write_symbols(made, out)
     found = symbols.read_symbols(spark, out)
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in found.items()]
+    counts = []
+    for name, df in found.items():
+        columns = [F.col(f.name).cast(f.dataType) for f in symbols.TABLES[name]]
+        hashed = lambda rows, side: rows.select(F.xxhash64(*columns).alias("h"), F.lit(side).alias("side"))
+        both = hashed(made[name], 1).unionByName(hashed(df, -1)).groupBy("h").agg(F.sum("side").alias("d"), F.count_if(F.col("side") < 0).alias("n"))
+        same = F.sum(F.when(F.col("d") == 0, F.col("n")).otherwise(0)).cast("bigint").alias("same")
+        counts.append(both.agg(F.sum("n").cast("bigint").alias("n"), same).select(F.lit(name).alias("name"), "n", "same"))
     whole = counts[0]
     for c in counts[1:]:
         whole = whole.unionByName(c)
@@ -239,10 +338,12 @@ WINDOWS_SQL = sql(LOG, """
         SELECT window_start, window_start + INTERVAL '1 hour' AS window_end, status, events,
                window_start + INTERVAL '1 hour' <= (SELECT max(updated_at) FROM log) - INTERVAL '1 hour' AS closed FROM w""")
 
-QUEUE_SQL = sql(SRC, body="""
+# Documents whose methods have no document yet.
+NOT_DONE = "doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"
+QUEUE_SQL = sql(SRC, body=f"""
         SELECT id || '#5' AS task_id, class_fqn, sig AS method, source AS file, k AS line, 'QUEUED' AS status, 'METHOD' AS scope
         FROM m JOIN (SELECT doc_id, source FROM src) USING (doc_id)
-        WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+        WHERE {NOT_DONE}""")
 LATEST_SQL = sql(LOG, body="""
         SELECT task_id, class_fqn, method, status, progress, message, scope, error_type, error_message, attempt, seq FROM last""")
 
@@ -317,9 +418,41 @@ QUERIES = {
     "written_log": (written_log, sql(LOG, body="""
         SELECT task_id, class_fqn, method, created_at, status, progress, message, scope, error_type, error_message, attempt FROM log""")),
     "written_symbols": (written_symbols, sql(SRC, body="""
+        SELECT name, n, n AS same FROM (
         SELECT 'classes' AS name, count(*) AS n FROM src UNION ALL SELECT 'methods', count(*) FROM m
         UNION ALL SELECT 'annotations', (SELECT count(*) FROM m WHERE word <> '') + (SELECT count(*) FROM src)
         UNION ALL SELECT 'type_refs', (SELECT count(*) FROM m) + 3 * (SELECT count(*) FROM src)
         UNION ALL SELECT 'calls', (SELECT count(*) FROM m WHERE k < n) + (SELECT count(*) FROM m)
-        UNION ALL SELECT 'source_files', count(*) FROM src""")),
+        UNION ALL SELECT 'source_files', count(*) FROM src)""")),
+    "written_runs": (written_runs, sql(SRC, f"""
+        d AS (SELECT id || '#' || k AS task_id, k, class_fqn, regexp_replace(id || '#' || k, '[^a-zA-Z0-9._-]', '_', 'g') AS safe,
+                     replace(class_fqn, '.', '/') AS folder, {STUB_SQL} AS content FROM m)""", body="""
+        SELECT task_id, 'md' AS kind, 'md/' || folder || '/' || safe || '.md' AS path,
+               CASE WHEN k = 1 THEN 'again ' || class_fqn ELSE content END AS content, (k = 1)::BIGINT AS run FROM d
+        UNION ALL SELECT task_id, 'json', 'method-docs/' || safe || '.json', '{}', 0 FROM d WHERE k = 1
+        UNION ALL SELECT class_fqn || '#f[]#9', 'md', 'md/' || folder || '/' || class_fqn || '_f___9.md', 'twin 2', 2 FROM d WHERE k = 1""")),
+    "written_paths": (written_paths, sql(SRC, f"""
+        d AS (SELECT lang, regexp_replace(id || '#' || k, '[^a-zA-Z0-9._-]', '_', 'g') AS safe,
+                     replace(class_fqn, '.', '/') AS folder, length({STUB_SQL}) AS size FROM m)""", body="""
+        SELECT 'md/' || lang || '/' || folder || '/' || safe || '.md' AS path, 'md' AS kind, lang AS module, size, 0::BIGINT AS run FROM d
+        UNION ALL SELECT 'docs/' || lang || '/' || folder || '/' || safe || '.doc', 'docs', lang, size, 0 FROM d""")),
+    "appended_log": (appended_log, sql(LOG, body="""
+        SELECT task_id, status, message, attempt, updates, updates AS numbers FROM (
+          SELECT *, count(*) OVER (PARTITION BY task_id) AS updates, row_number() OVER (PARTITION BY task_id ORDER BY seq % 2 DESC, updated_at DESC,
+            attempt DESC, CASE status WHEN 'QUEUED' THEN 1 WHEN 'RUNNING' THEN 2 WHEN 'PARTIAL' THEN 3 WHEN 'SUCCEEDED' THEN 4 ELSE 5 END DESC) AS r FROM log)
+        WHERE r = 1""")),
+    "named_apart": (named_apart, sql(SRC, body="""
+        SELECT id || '#' || ms AS task_id, class_fqn, sig AS method, module, file, ms AS created_at FROM (
+          SELECT id, class_fqn, sig, lang AS module, file, 6::BIGINT AS ms FROM m
+          UNION ALL SELECT id, class_fqn, sig, 'copy', 'copy/' || file, 5 FROM m)""")),
+    "twin_contexts": (twin_contexts, sql(SRC, TAGGED, body=f"""
+        SELECT id || '#' || ms AS task_id, module, file, 1 AS named, 1 AS shown, '# Entry Method' || chr(10) || id || chr(10) || chr(10) AS head FROM (
+          SELECT id, doc_id, lang AS module, file, 6::BIGINT AS ms FROM tagged
+          UNION ALL SELECT id, doc_id, 'copy', 'copy/' || file, 5 FROM tagged)
+        WHERE {NOT_DONE}""")),
+    "whole_job": (whole_job, sql(SRC, TAGGED, body=f"""
+        SELECT id || '#5' AS task_id, 'SUCCEEDED' AS status, (length(id || '#5') % 5 = 0)::INTEGER AS attempt, 'Done' AS message,
+               path AS md_path, path, '# ' || id || '#5' AS content, 0::BIGINT AS left_to_do FROM (
+          SELECT *, 'md/' || replace(class_fqn, '.', '/') || '/' || regexp_replace(id || '#5', '[^a-zA-Z0-9._-]', '_', 'g') || '.md' AS path FROM tagged)
+        WHERE {NOT_DONE}""")),
 }
