@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -82,10 +82,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def is_written(spark: SparkSession, path: str) -> bool:
     """Whether a write to the folder has been finished."""
-    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def counted(df: DataFrame, label: str = "step") -> tuple[DataFrame, int]:
+    """As `materialize`, with the number of rows, which the write itself counts."""
+    seen = Observation()
+    stored = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return stored, seen.get["rows"]
 
 
 def at_once(spark: SparkSession, *steps: Callable[[], T]) -> list[T]:

@@ -132,3 +132,30 @@ def test_rounds_go_on_where_they_stopped(spark, tmp_path):
     again = generate.generate_in_rounds(df, answer, out, 4).collect()
     assert sorted(int(r["reply"]) for r in again) == list(range(200))
     assert len(calls.read_text().split()) == 200
+
+
+def test_equal_requests_are_asked_once_and_rounds_read_their_own(spark, tmp_path, monkeypatch):
+    rows = [(i, None if i % 10 == 0 else f"q{i % 7}") for i in range(60)]
+    df = spark.createDataFrame(rows, "task_id long, body string")
+    out, calls, read = str(tmp_path / "replies"), tmp_path / "calls", []
+    calls.write_text("")
+    log = str(calls)
+
+    def answer(body):
+        with open(log, "a") as f:
+            f.write(f"{body}\n")
+        if body == "q3":
+            raise TimeoutError("late")
+        return f"<{body}>"
+
+    real = generate.generate
+    monkeypatch.setattr(generate, "generate", lambda part, *a, **k: read.append(part.inputFiles()) or real(part, *a, **k))
+    got = {r["task_id"]: r for r in generate.generate_in_rounds(df, answer, out, 3).collect()}
+    assert len(got) == 60 and all(got[i]["reply"] == (None if b == "q3" else f"<{b}>") for i, b in rows)
+    assert sorted(calls.read_text().split()) == sorted(["None", *(f"q{i}" for i in range(7))])
+    assert read and all(len({f.split("round=")[1][0] for f in files}) == 1 for files in read)
+    more = df.unionByName(spark.createDataFrame([(100, "new")], df.schema))
+    assert generate.generate_in_rounds(more, answer, out, 3).count() == 61
+    assert calls.read_text().split()[8:] == ["new"]
+    again = generate.generate_in_rounds(df, answer, out, 3, ask_failed=True)
+    assert calls.read_text().split()[9:] == ["q3"] and again.where("status = 'FAILED'").count() == sum(b == "q3" for _, b in rows)

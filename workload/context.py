@@ -10,6 +10,8 @@ from scribeloom import schemas
 from scribeloom.functions import fixed, templates, text
 from scribeloom.operators import bundle, generate, graph, index, locate, prompt, reply, request, select
 from scribeloom.options import ContextOptions, PromptOptions
+from scribeloom.scale import scratch_path
+from scribeloom.sources import segments
 from workload import data
 from workload.data import CALL_EDGES, CLASSES, SRC, TAGGED, TYPE_EDGES, literal, sql
 from workload.selection import CATEGORY, WANTED, WORDS
@@ -210,6 +212,22 @@ def generated_documents(spark, folder):
     return generate.generate(rows, answer, max_concurrent=8)
 
 
+def generated_in_rounds(spark, folder):
+    """Documents as requests in three rounds, then all of them again: equal
+    texts are asked once, and the second run asks nothing."""
+    def answer(body: str) -> str:
+        if "%%%" in body:
+            raise ValueError("odd text")
+        return f"{len(body)} {body.count(' ')}"
+
+    rows = data.documents(spark, folder).select(F.col("doc_id").alias("task_id"), F.col("text").alias("body"))
+    path = scratch_path(spark, "replies")
+    generate.generate_in_rounds(rows, answer, path, 3, max_concurrent=8)
+    found = generate.generate_in_rounds(rows, answer, path, 3, max_concurrent=8)
+    asked = segments.read(spark, path, generate.REPLY_TABLE).count()
+    return found.withColumn("asked", F.lit(asked))
+
+
 TYPE_WALK = r"""
 type_walk(root, node, level, path) AS (
   SELECT class_fqn || '#' || sig_of, 'com.acme.D' || length(ln), 0, [1] FROM type_roots
@@ -431,6 +449,12 @@ QUERIES = {
           WHEN 2 THEN regexp_replace(text, '{BLANK}$', '')
           ELSE '```java' || chr(10) || text || chr(10) || '```' END AS markdown FROM documents"""),
     "stub_documents": (stub_documents, sql(SRC, body=f"SELECT id AS entry_id, {STUB_SQL} AS markdown FROM m")),
+    "generated_in_rounds": (generated_in_rounds, """
+        SELECT doc_id AS task_id, CASE WHEN contains(text, '%%%') THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,
+               CASE WHEN NOT contains(text, '%%%') THEN length(text) || ' ' || (len(string_split(text, ' ')) - 1) END AS reply,
+               CASE WHEN contains(text, '%%%') THEN 'ValueError' END AS error_type,
+               CASE WHEN contains(text, '%%%') THEN 'odd text' END AS error_message,
+               (SELECT count(DISTINCT text) FROM documents) AS asked FROM documents"""),
     "generated_documents": (generated_documents, """
         SELECT doc_id AS task_id, CASE WHEN contains(text, '%%%') THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,
                CASE WHEN NOT contains(text, '%%%') THEN length(text) || ' ' || (len(string_split(text, ' ')) - 1) END AS reply,
