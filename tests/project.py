@@ -1,5 +1,8 @@
-"""A small hand-made project, its symbol tables, and plain Python models of
-what the jobs on it should give."""
+"""A small hand-made project, its symbol tables, and what the jobs on it should
+give, as written down in expected.json."""
+
+import json
+from pathlib import Path
 
 from scribeloom import schemas
 
@@ -91,168 +94,31 @@ def sig(m):
     return f"{m[2]}({','.join(m[3])})"
 
 
-def lines_of(path):
-    return FILES[path].replace("\r\n", "\n").replace("\r", "\n").split("\n") if path in FILES else None
-
-
-def walk_types(seeds, depth):
-    """Breadth-first walk over the references of one method."""
-    refs = {}
-    for kinds in (("super",), ("interface",), ("field",), ("inner",)):
-        for kind, cls, msig, at, to in sorted(TYPE_REFS, key=lambda r: r[3]):
-            if kind in kinds and msig is None:
-                refs.setdefault(cls, []).append((kind, to))
-    seen, queue, picked = [], [], []
-    for s in seeds:
-        if s not in seen:
-            seen.append(s)
-            queue.append(s)
-    for _ in range(depth + 1):
-        ahead = []
-        for c in queue:
-            if c in TARGETS:
-                picked.append(c)
-            for kind, to in refs.get(c, []):
-                if (kind in ("super", "interface") or c in TARGETS) and to not in seen:
-                    seen.append(to)
-                    ahead.append(to)
-        queue = ahead
-    return picked
-
-
-def seeds_of(cls, msig):
-    found = [r for r in TYPE_REFS if r[1] == cls and r[2] == msig]
-    return [r[4] for r in sorted(found, key=lambda r: (r[0] != "param", r[3]))]
-
-
-def walk_calls(cls, msig, depth):
-    """Callees in the order of shortest walks, as (class, signature)."""
-    out = {}
-    level = {(cls, msig): ()}
-    seen = {(cls, msig)}
-    for _ in range(depth - 1):
-        ahead = {}
-        for node, path in level.items():
-            for c in CALLS:
-                if (c[0], c[1]) == node and c[5] and (c[3], c[4]) not in seen:
-                    to, p = (c[3], c[4]), path + (c[2],)
-                    ahead[to] = min(ahead.get(to, p), p)
-        seen |= set(ahead)
-        out.update(ahead)
-        level = ahead
-    return [n for n, _ in sorted(out.items(), key=lambda x: x[1])]
-
-
-class Text:
-    """Grows a text line by line and cuts it like the jobs should."""
-
-    def __init__(self, limit):
-        self.s, self.limit = "", limit
+# What the jobs should give for this project, written down: the types and called
+# methods of each method by depth, whole context texts by entry, and which texts
+# end without a mark when they are cut at a length.
+EXPECTED = json.loads((Path(__file__).parent / "expected.json").read_text())
+MARK = "\n... [truncated]\n"
 
-    def add(self, line=""):
-        self.s += line + "\n"
 
-    def full(self):
-        return len(self.s) >= self.limit
+def types_of(m, depth):
+    return EXPECTED["types"][str(depth)][f"{m[0]}#{sig(m)}"]
 
-    def numbered(self, path, a, b, stop=False):
-        lines = lines_of(path)
-        for n in range(a, b + 1):
-            self.add(f"{n:6d} | {lines[n - 1] if n <= len(lines) else ''}")
-            if stop and self.full():
-                return
 
-    def done(self):
-        return self.s[: self.limit] + "\n... [truncated]\n" if len(self.s) > self.limit else self.s
+def called_by(m, depth):
+    return EXPECTED["called"][str(depth)][f"{m[0]}#{sig(m)}"]
 
 
-def find_method(path, line, name):
-    classes = sorted((c for c in CLASSES if c[1] == path and c[9]), key=lambda c: c[2])
-    for c in classes:
-        for m in sorted((m for m in METHODS if m[0] == c[3]), key=lambda m: m[1]):
-            if m[7] <= max(line, 1) <= m[8] or m[2] == name:
-                return m
-    return None
+def _cut(kind, name, context):
+    text = EXPECTED[kind][f"{context.type_depth} {context.called_depth}"][name]
+    if len(text) <= context.max_chars:
+        return text
+    return text[: context.max_chars] + ("" if [name, context.max_chars] in EXPECTED["unmarked"] else MARK)
 
 
-def method_text(cls, msig, path, line, context):
-    t = Text(context.max_chars)
-    t.add("# Entry Method")
-    t.add(f"{cls}#{msig}")
-    t.add()
-    m = find_method(path, line, msig.split("(")[0])
-    known = m is not None and path in FILES
-    if known:
-        t.add("# Method Source")
-        t.numbered(path, m[7], m[8])
-    t.add()
-    t.add("# Callgraph Summary")
-    t.add(f"[stub] CG+Slice for {cls}#{msig}")
-    t.add()
-    t.add("# Slices")
-    if path in FILES:
-        a, b = max(1, line - 2), line + 2
-        t.add(f"## File: {path} [{a}-{b}]")
-        t.numbered(path, a, min(b, len(lines_of(path))))
-        t.add()
-    types = walk_types(seeds_of(m[0], sig(m)), context.type_depth) if m else []
-    by_name = {c[3]: c for c in CLASSES}
-    if types:
-        t.add()
-        t.add("# Related Types (DTO/VO/Entity/Enum)")
-        for name in types:
-            c = by_name[name]
-            t.add(f"## {name}")
-            if c[1] in FILES:
-                t.add(f"// File: {c[1]} [{c[7]}-{c[8]}]")
-                t.numbered(c[1], c[7], c[8])
-            t.add()
-    if m and context.collect_called and context.called_depth > 0:
-        called = walk_calls(m[0], sig(m), context.called_depth)
-        by_sig = {(x[0], sig(x)): x for x in METHODS}
-        called = [by_sig[c] for c in called if c in by_sig and by_sig[c][9] in FILES]
-        if called:
-            t.add()
-            t.add("# Called Methods / 被调方法")
-            for x in called:
-                t.add(f"## {x[0]}#{x[2]}")
-                t.add(f"// File: {x[9]} [{x[7]}-{x[8]}]")
-                t.numbered(x[9], x[7], x[8])
-                if t.full():
-                    break
-    return t.done()
+def method_text(cls, msig, context):
+    return _cut("methods", f"{cls}#{msig}", context)
 
 
 def class_text(cls, context):
-    t = Text(context.max_chars)
-    t.add("# Entry Class")
-    t.add(cls)
-    t.add()
-    by_name = {c[3]: c for c in CLASSES}
-    c = by_name.get(cls)
-    if c is None:
-        return t.done()
-    public = sorted((m for m in METHODS if m[0] == cls and m[5]), key=lambda m: m[1])
-    if c[1] in FILES:
-        t.add("# Class Source")
-        t.add(f"// File: {c[1]} [{c[7]}-{c[8]}]")
-        t.numbered(c[1], c[7], c[8], stop=True)
-        t.add()
-        t.add("# Public Methods")
-        for m in public:
-            t.add(f"- {sig(m)}")
-    types = []
-    for m in public:
-        types += [x for x in walk_types(seeds_of(cls, sig(m)), context.type_depth) if x not in types]
-    if types:
-        t.add()
-        t.add("# Related Types (DTO/VO/Entity/Enum)")
-        for name in types:
-            x = by_name[name]
-            t.add(f"## {name}")
-            if x[1] in FILES:
-                t.add(f"// File: {x[1]} [{x[7]}-{x[8]}]")
-                t.numbered(x[1], x[7], x[8], stop=True)
-            if t.full():
-                break
-    return t.done()
+    return _cut("classes", cls, context)

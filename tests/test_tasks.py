@@ -364,8 +364,7 @@ def test_from_scan_to_documents(spark, tmp_path):
     asked = {r["task_id"]: r for r in jobs.requests(t, both, options).collect()}
     assert set(asked) == ids | {f"{project.S}#CLASS#7"}
     assert asked[f"{project.S}#CLASS#7"]["context"] == project.class_text(project.S, options.context)
-    entry = (project.S, "get(String)", "/p/app/OrderService.java", 9)
-    assert asked[f"{project.S}#get(String)#7"]["context"] == project.method_text(*entry, options.context)
+    assert asked[f"{project.S}#get(String)#7"]["context"] == project.method_text(project.S, "get(String)", options.context)
     replies = spark.createDataFrame(
         [(f"{project.S}#get(String)#7", 200, "```md\nfine\n```", 50), ("Bare#address()#7", 503, "busy", 50)],
         "task_id string, http_status int, body string, failed_at bigint",
