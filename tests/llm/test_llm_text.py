@@ -225,3 +225,12 @@ def test_secrets_inside_words_are_masked(spark):
     assert {clean[300 + i] for i in range(30)} == {f'password = "{secrets.MARK}"'}
     assert {clean[330 + i] for i in range(7)} == {f'x {{"user":"robert","token":"{secrets.MARK}"}} y'}
     assert {clean[337 + i] for i in range(7)} == {f"run(--token='{secrets.MARK}',7) y"}
+
+
+def test_quality_rows_can_be_filtered(spark):
+    """A filter on the digest keeps what it says, and repeats do not slow it down."""
+    docs = frame(spark, [*TEXTS, "a b c d e f g h " * 500])
+    every = [tuple(r) for r in quality.op3(docs).collect()]
+    for condition, holds in (("kept", lambda r: r[7]), ("n_repeat_words > 100 AND base_failed", lambda r: r[5] > 100 and r[6])):
+        got = sorted(tuple(r) for r in quality.op3(docs).where(condition).collect())
+        assert got == sorted(r for r in every if holds(r)) and got
