@@ -2,17 +2,21 @@
 
 Sets are put in bands of size; a set takes part in its own band and the next,
 so any two sets that can be similar meet in one band. There the domain of
-shingles is cut into partitions by a hash. Two sets of the band that link
-differ in at most `k` shingles, hence in at most `k` partitions, and a set
-occupies more than `k`: one of its partitions holds the same shingles in both,
-and the hash of that partition is their common signature. A set that occupies
-`k` or fewer signs its empty partitions as well.
-
-Sets that share a signature are candidates. Each is first compared with the
-first set of its signature, which joins groups of near copies without their
-pairs; then only sets of different components that still share a signature are
-compared, in blocks, first by a sketch that bounds their difference, then by
-all shingles. So no link between different sets is lost.
+shingles is cut into groups of partitions by a hash. Two sets of the band that
+link differ in at most `k` shingles. With groups of three partitions, at most
+k / 2 groups hold two differences; any other group has two partitions with the
+same shingles in both sets. So a set signs every two partitions of each group,
+and linked sets share a signature. Bands of small sets, where this costs much
+more, have groups of one partition. A group is weak if a subset to sign is
+empty; a set with so many weak groups that a linked set might agree in these
+alone signs its empty subsets as well.
+
+Sets that share a signature are candidates. A signature has a few leaders, the
+first of its sets in several orders. In two rounds each set is compared with the
+leader of each order that it shares most signatures with, which joins groups of
+near copies by few pairs; then only sets of different components that still
+share a signature are compared, in blocks, first by a sketch that bounds their
+difference, then by all shingles. So no link between different sets is lost.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ SKETCH_BITS = 512
 BLOCK = 256  # sets of a signature compared with as many others at once
 MEMBERS = 200_000  # rows of signatures in a task
 PAIRS = 500_000  # pairs of sets in memory at once
+ROUNDS = ((0, 3), (3, 3))  # orders of leaders (first, number) by round
+TWO_OF_THREE = np.array([[0, 1], [0, 2], [1, 2]])
 _INSTANCE, _PART = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -58,39 +64,56 @@ def band_of(size: int) -> int:
     return band
 
 
-@lru_cache(maxsize=None)
-def partitions(band: int) -> tuple[int, int]:
-    """(k, n): the most shingles two linked sets of the band and the one below
-    differ in, and partitions enough for the smallest to occupy more than k,
-    but for one set in about a thousand."""
+def _groups(band: int, size: int) -> tuple[int, int]:
+    """(most, n) for groups of `size` partitions: the most groups that two
+    linked sets of the band and the one below may disagree in, and groups enough
+    for the smallest set to have more than that many which are not weak, but for
+    one set in about a thousand."""
     smallest, largest = band_ends(max(band - 1, 0))[0], band_ends(band)[1]
     k = 2 * largest * (100 - PERCENT) // (100 + PERCENT)
-    n = k + 1
-    while n < 4 * largest:
-        empty = math.exp(-smallest / n)
-        spread = math.sqrt(max(0.0, n * empty * (1 - (1 + smallest / n) * empty)))
-        if n * (1 - empty) - 3 * spread >= k + 1:
+    most = k if size == 1 else k // 2
+    n = most + 1
+    while n * size < 4 * largest:
+        empty = math.exp(-smallest / (n * size))
+        if size == 1:
+            weak, spread = empty, math.sqrt(max(0.0, n * empty * (1 - (1 + smallest / n) * empty)))
+        else:  # two of three are empty
+            weak = empty * empty * (3 - 2 * empty)
+            spread = math.sqrt(n * weak * (1 - weak))
+        if n * (1 - weak) - 3 * spread >= most + 1:
             break
         n += max(1, n // 64)
-    return k, n
+    return most, n
+
+
+@lru_cache(maxsize=None)
+def partitions(band: int) -> tuple[int, int, int]:
+    """(most, n, size) of the band: two partitions of three are signed unless
+    one of one costs less than half as many signatures."""
+    one, three = _groups(band, 1), _groups(band, 3)
+    return (*three, 3) if 3 * three[1] <= 2 * one[1] else (*one, 1)
 
 
 def signatures(shingles: np.ndarray) -> np.ndarray:
     """The signatures of one set in its band and the next."""
     found, band = [], band_of(len(shingles))
     for b in (band, band + 1):
-        k, n = partitions(b)
-        if k == 0:
+        most, n, size = partitions(b)
+        if most == 0 and size == 1:
             continue  # only equal sets link, and those are one node
         salt = np.full(1, b, np.uint64) * _INSTANCE
         spread = mix(shingles + salt)
-        part = (spread % np.uint64(n)).astype(np.int64)
-        sums = np.zeros(n, np.uint64)
+        part = (spread % np.uint64(n * size)).astype(np.int64)
+        sums = np.zeros(n * size, np.uint64)
         np.add.at(sums, part, mix(spread))
-        used = np.flatnonzero(np.bincount(part, minlength=n))
-        if len(used) <= k:
-            used = np.arange(n)
-        found.append(mix(sums[used] + mix(used.astype(np.uint64) * _PART + salt)))
+        filled = np.bincount(part, minlength=n * size).reshape(n, size) > 0
+        cells = mix(sums + mix(np.arange(n * size, dtype=np.uint64) * _PART + salt)).reshape(n, size)
+        if size == 3:
+            first, second = TWO_OF_THREE.T
+            cells = mix(cells[:, first] + mix(cells[:, second]))
+            filled = filled[:, first] | filled[:, second]
+        weak = n - int(filled.all(axis=1).sum())
+        found.append(cells[filled] if weak < n - most else cells.ravel())
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
@@ -135,12 +158,13 @@ def nodes_of(docs: DataFrame) -> DataFrame:
 
 
 def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
-    """signature, node, leader for signatures of two sets or more; the leader is
-    the least node of the signature.
+    """signature, node, leaders, times for signatures of two sets or more. Each
+    of the leaders is a set of the signature, the first one in an order by hash.
 
     Signatures travel in packed rows, one per bucket and chunk of documents;
     equal sets of one task are signed once. Signatures that the very same sets
-    share say the same, so each such group is given once, under its hash.
+    share say the same, so each such group is given once, under its hash, with
+    the number of times.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,13 +178,13 @@ def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             values, owner, bucket = values[order], owner[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
-            rows = {"bucket": [], "signatures": [], "owners": [], "nodes": []}
+            rows = {"bucket": [], "signatures": [], "counts": [], "nodes": []}
             table = np.frombuffer(b"".join(nodes), "V16")
             for part, who, at in zip(np.split(values, cuts), np.split(owner, cuts), [0, *cuts], strict=True):
-                mine, place = np.unique(who, return_inverse=True)
+                mine, counts = np.unique(who, return_counts=True)  # `who` ascends
                 rows["bucket"].append(int(bucket[at]))
                 rows["signatures"].append(part.tobytes())
-                rows["owners"].append(place.astype(np.uint32).tobytes())
+                rows["counts"].append(counts.astype(np.uint32).tobytes())
                 rows["nodes"].append(table[mine].tobytes())
             types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
@@ -183,11 +207,10 @@ def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         values = np.frombuffer(b"".join(rows["signatures"]), np.uint64)
-        base = np.cumsum([0, *(len(x) // 16 for x in rows["nodes"])])
-        owner = np.concatenate([np.frombuffer(x, np.uint32) + np.uint32(b) for x, b in zip(rows["owners"], base, strict=False)])
+        counts = np.frombuffer(b"".join(rows["counts"]), np.uint32)
         table = b"".join(rows["nodes"])
         names, place = np.unique(np.frombuffer(table, ">u8").reshape(-1, 2), axis=0, return_inverse=True)
-        owner = place.reshape(-1)[owner]
+        owner = np.repeat(place.reshape(-1), counts)
         order = np.lexsort((owner, values))
         values, owner = values[order], owner[order]
         fresh = np.ones(len(values), bool)
@@ -197,18 +220,27 @@ def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
         sizes = np.diff(np.append(starts, len(values)))
         marks = mix(names[:, 0].astype(np.uint64) ^ mix(names[:, 1].astype(np.uint64)))
         group = mix(np.add.reduceat(marks[owner], starts) + sizes.astype(np.uint64))
-        once = np.zeros(len(starts), bool)
-        once[np.unique(group, return_index=True)[1]] = True
-        shared = np.repeat((sizes > 1) & once, sizes)
-        leader = np.repeat(owner[starts], sizes)[shared]
-        values, owner = np.repeat(group, sizes)[shared], owner[shared]
+        times = np.zeros(len(starts), np.int64)
+        _, at, n = np.unique(group, return_index=True, return_counts=True)
+        times[at] = n
+        shared = np.repeat((sizes > 1) & (times > 0), sizes)
+        leaders = []
+        for order in range(sum(n for _, n in ROUNDS)):
+            by_hash = mix(marks + np.uint64(order) * _PART)
+            rank = np.empty(len(names), np.int64)
+            rank[np.argsort(by_hash)] = np.arange(len(names))
+            ranked = np.argsort(rank)  # the set of each rank
+            leaders.append(np.repeat(ranked[np.minimum.reduceat(rank[owner], starts)], sizes)[shared])
+        values, owner, times = np.repeat(group, sizes)[shared], owner[shared], np.repeat(times, sizes)[shared]
         raw = [names[i].tobytes() for i in range(len(names))]
         return pd.DataFrame({
-            "signature": values.view(np.int64), "node": [raw[i] for i in owner], "leader": [raw[i] for i in leader],
+            "signature": values.view(np.int64), "node": [raw[i] for i in owner], "leaders": [[raw[i] for i in row] for row in np.column_stack(leaders)], "times": times,
         })
 
-    packed = docs.select("text").mapInArrow(sign, "bucket long, signatures binary, owners binary, nodes binary")
-    return packed.groupBy("bucket").applyInPandas(match, "signature long, node binary, leader binary").distinct()
+    packed = docs.select("text").mapInArrow(sign, "bucket long, signatures binary, counts binary, nodes binary")
+    return packed.groupBy("bucket").applyInPandas(match, "signature long, node binary, leaders array<binary>, times long").groupBy("signature", "node").agg(
+        F.first("leaders").alias("leaders"), F.sum("times").alias("times")
+    )
 
 
 def _with_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -273,7 +305,9 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def _across(members: DataFrame, facts: DataFrame, rows: int) -> DataFrame:
     """Distinct pairs a < b of members of one signature in different components
     that may link. Members of a signature are cut into blocks, and a task holds
-    two of them."""
+    two of them. Members of the component with most of them, the major ones, are
+    in blocks of their own, which meet the others' blocks only: m major members
+    and one other make about m rows."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["signature", "low", "high"], kind="stable", ignore_index=True)
@@ -300,13 +334,19 @@ def _across(members: DataFrame, facts: DataFrame, rows: int) -> DataFrame:
         pairs = [(names[i], names[j]) for i, j in np.unique(np.concatenate(found), axis=0)]
         return pd.DataFrame([(min(p), max(p)) for p in pairs], columns=["a", "b"])
 
-    sizes = members.groupBy("signature").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y"))
-    open_ = members.join(sizes.where("x <> y").select("signature", "m"), "signature").join(facts, "node")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    by_label = members.groupBy("signature", "label").agg(F.count("*").alias("c"))
+    sizes = by_label.groupBy("signature").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("major")).where("m > major.c")
+    sizes = sizes.select(
+        "signature", F.col("major.label").alias("major"),
+        F.ceil((F.col("m") - F.col("major.c")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("major.c") / BLOCK).cast("int").alias("majors"),
+    )
+    open_ = members.join(sizes, "signature").join(facts, "node").withColumn("is_major", F.col("label") == F.col("major"))
     # Blocks by hash: no window over a whole signature is needed.
-    open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    place = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    open_ = open_.withColumn("block", F.when(F.col("is_major"), F.col("others") + place("majors")).otherwise(place("others")))
+    last = F.when(F.col("is_major"), F.col("others")).otherwise(F.col("others") + F.col("majors")) - 1
     pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
+        F.sequence(F.lit(0), last),
         lambda other: F.struct(F.least("block", other).alias("low"), F.greatest("block", other).alias("high")),
     )
     dealt = open_.withColumn("p", F.explode(pairs)).select("signature", "node", "label", "n", "sketch", "block", "p.*")
@@ -329,13 +369,24 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
     facts = materialize(facts, "facts")
-    first = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    first = first.join(facts.toDF("b", "n_b", "sketch_b"), "b").join(facts.toDF("a", "n_a", "sketch_a"), "a")
-    first = materialize(first.where(_near("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b"), "first")
-    found = _verified(docs, nodes, first)
-    labels = components(found)
+    found = tried = labels = None
+    for first, count in ROUNDS:
+        led = shared.select("node", "times", F.posexplode(F.slice("leaders", first + 1, count)).alias("order", "leader")).where("node <> leader")
+        led = materialize(led.groupBy("node", "order", "leader").agg(F.sum("times").alias("times")), "led")
+        if labels is not None:
+            led = skew_join(led, labels.toDF("leader", "at"), ["leader"], "left", hot_left=find_hot(led, ["leader"])).join(labels, "node", "left")
+            led = led.where(F.coalesce("at", "leader") != F.coalesce("label", "node"))
+        best = led.groupBy("node", "order").agg(F.max(F.struct("times", "leader")).alias("best"))
+        best = best.select(F.least("best.leader", "node").alias("a"), F.greatest("best.leader", "node").alias("b")).distinct()
+        best = materialize(best, "best")
+        near = skew_join(best, facts.toDF("b", "n_b", "sketch_b"), ["b"], hot_left=find_hot(best, ["b"]), spread_by=["a"])
+        near = skew_join(near, facts.toDF("a", "n_a", "sketch_a"), ["a"], hot_left=find_hot(best, ["a"]), spread_by=["b"])
+        near = materialize(near.where(_near("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b"), "near")
+        more = _verified(docs, nodes, near)
+        found, tried = (more, best) if found is None else (found.union(more), tried.union(best))
+        labels = components(found)
     members = shared.select("signature", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = _across(members, facts, shared.count()).join(first, ["a", "b"], "left_anti")
+    rest = _across(members, facts, shared.count()).join(tried, ["a", "b"], "left_anti")
     rest = materialize(rest, "rest")
     release(spark)
     return found.union(_verified(docs, nodes, rest))
