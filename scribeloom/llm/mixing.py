@@ -30,6 +30,11 @@ def _shuffled(doc_id: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def _key(source: str) -> Column:
+    """The source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit("n"))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """One row per source key: source_size, n, target.
 
@@ -57,16 +62,16 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def queues(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, sent.
+    """One row per document: doc_id, key (of its source), text_hash, size,
+    source_size, target, sent.
 
     `sent` counts the words of its source up to and with the document in one
     pass. A source is summed in buckets of the shuffled order first, so a
     source with any share of all rows is spread over many tasks.
     """
-    name = F.col(f"`{source}`").cast("string")
     sizes = materialize(docs.select(
-        F.col(f"`{doc_id}`").alias("doc_id"), name.alias("source"),
-        F.coalesce(F.concat(F.lit("s"), name), F.lit("n")).alias("key"),
+        F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"),
+        _key(source).alias("key"), F.xxhash64(f"`{text}`").alias("text_hash"),
         F.size(words(F.col(f"`{text}`"))).cast("long").alias("size"),
         _shuffled(F.col(f"`{doc_id}`")).alias("order"),
     ), "sizes")
@@ -77,9 +82,9 @@ def queues(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("in_bucket"))
     ahead = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("key", "bucket", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0)).alias("ahead"))
-    within = W.partitionBy("key", "bucket").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("key", "bucket").orderBy("order", "doc_id", "size", "text_hash").rowsBetween(W.unboundedPreceding, 0)
     return rows.join(sums, ["key", "bucket"]).select(
-        "doc_id", "size", "source_size", "target", (F.col("ahead") + F.sum("size").over(within)).alias("sent"),
+        "doc_id", "key", "text_hash", "size", "source_size", "target", (F.col("ahead") + F.sum("size").over(within)).alias("sent"),
     )
 
 
@@ -128,7 +133,8 @@ def budget_cut(queued: DataFrame) -> tuple[float, int]:
 
 
 def taken(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, sent, passes.
+    """One row per document: doc_id, key, text_hash, size, source_size, target,
+    sent, passes.
 
     `passes` says how often the mix takes the whole document, 0 to MAX_PASSES.
     The order depends on ids alone, so reruns agree. Rows of one id stand side
@@ -143,17 +149,33 @@ def taken(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix: rows of `docs`, each as often as it is taken, in the order of
-    their virtual finish times over all sources. Rows of one id are each taken
-    as often as the first of them."""
-    rows = taken(docs, doc_id, text, source).where("passes > 0").withColumn(
-        "_pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))
+    their virtual finish times over all sources.
+
+    A row is found by id, source and hash of its text. Rows that have all three
+    in common are numbered, here and in the queue, so each is taken by itself;
+    only such rows are shuffled to be numbered. The two joins are merges at any
+    size of the table.
+    """
+    same = ["doc_id", "key", "text_hash"]
+    rows = taken(docs, doc_id, text, source).select(*same, "passes", "source_size", "target", "sent")
+    rows = rows.withColumn("n", F.count("*").over(W.partitionBy(*same)))
+    rows = rows.withColumn("number", F.row_number().over(W.partitionBy(*same).orderBy("sent"))).where("passes > 0")
+    rows = materialize(rows, "taken").select(*[F.col(c).alias(f"_{c}") for c in rows.columns])
+    found = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_place"),
+        F.col(f"`{doc_id}`").alias("doc_id"), _key(source).alias("key"), F.xxhash64(f"`{text}`").alias("text_hash"),
     )
-    finish = ((F.col("sent") + F.col("_pass") * F.col("source_size")) / F.col("target")).alias("_finish")
-    rows = rows.select(F.col("doc_id").alias("_id"), "_pass", finish).groupBy("_id", "_pass").agg(F.min("_finish").alias("_finish"))
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{doc_id}`").alias("_id"))
+    met = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("key") == F.col("_key")) & (F.col("text_hash") == F.col("_text_hash"))
+    one = found.join(rows.where("_n = 1").hint("merge"), met)
+    again = rows.where("_n > 1")
+    many = found.join(again.select("_doc_id", "_key", "_text_hash").distinct(), met, "left_semi")
+    many = many.withColumn("number", F.row_number().over(W.partitionBy(*same).orderBy("_place")))
+    many = many.join(again.hint("merge"), met & (F.col("number") == F.col("_number"))).drop("number")
+    sent = one.unionByName(many).select("_row", "_place", "_sent", "_source_size", "_target", F.explode(F.sequence(F.lit(0), F.col("_passes") - 1)).alias("_pass"))
+    finish = (F.col("_sent") + F.col("_pass") * F.col("_source_size")) / F.col("_target")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = kept.join(rows, kept["_id"].eqNullSafe(rows["_id"])).select("_row", rows["_id"], "_finish").repartitionByRange(parts, "_finish", "_id").sortWithinPartitions("_finish", "_id")
-    return joined.select("_row.*")
+    ordered = sent.select("_row", "_place", finish.alias("_finish")).repartitionByRange(parts, "_finish", "_place").sortWithinPartitions("_finish", "_place")
+    return ordered.select("_row.*")
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -216,6 +216,23 @@ def test_mix_cut_in_rounds_is_the_same(spark, monkeypatch):
     assert mixing.op5(docs.limit(0)).count() == 0 and mixing.mix(docs.where("text is null")).count() == 0
 
 
+def test_mix_takes_each_row_of_one_id_by_itself(spark):
+    """Rows of one id, equal or not, null and empty texts: the mix holds what op5 says."""
+    rows = [(1, "a b c", "s", 0), (1, None, "s", 1), (1, "", "s", 2), (2, "d e", "s", 3), (2, "d e", "s", 4), (2, "d e", "t", 5),
+            (None, "f g", "s", 6), (None, "f g", "s", 6), (None, "h i j k", None, 7), (3, "d e", "t", 8), (4, "l", "t", 9)]
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string, source string, number int")
+    size = lambda t: len((t or "").split())
+    want = Counter()
+    for r in mixing.op5(docs).collect():
+        if r["taken"]:
+            want[(r["doc_id"], r["size"], r["target"])] += r["taken"] // r["size"]
+    target = {r["key"]: r["target"] for r in mixing.taken(docs).collect()}
+    mixed = mixing.mix(docs)
+    got = Counter((r["doc_id"], size(r["text"]), target[f"s{r['source']}" if r["source"] else "n"]) for r in mixed.collect())
+    assert mixed.columns == docs.columns and got == want
+    assert sum(size(r["text"]) for r in mixed.collect()) <= sum(size(t) for _, t, _, _ in rows) * 3
+
+
 @pytest.mark.parametrize("pruned", [False, True])
 def test_search_equals_brute_force(spark, monkeypatch, pruned):
     if pruned:
