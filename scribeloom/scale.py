@@ -23,6 +23,8 @@ T = TypeVar("T")
 HOT_TIMES = 2
 # Below this many rows a key is no burden for one task.
 HOT_FLOOR = 20_000
+# Whether Spark removes the shuffle files of a query once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def session_conf(cores: int | None = None) -> dict[str, str]:
@@ -68,11 +70,17 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage in storage that outlives executors, computes the frame
-    once, and gives the next plan real file sizes to choose joins by.
+    once, and gives the next plan real file sizes to choose joins by. Shuffle
+    files of the write go when it has ended: the table takes their place.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark, label), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
