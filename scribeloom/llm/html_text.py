@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
+    r"<!--.*?(?:-->|(?P<cut>\Z))|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|(?P<short>\Z))|<[!?][^>]*>|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
     r"""|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+|[^<>]*+)>""",
     re.S,
 )
 # One attribute, name and value: the next match starts after it, so values are not searched for names.
 ATTR = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
+# Letters with a number or a size after them; what mixes them otherwise is made by a tool and says nothing.
+CHUNK = re.compile(r"([A-Za-z]+)\d*(?:x\d+)?")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noframes"}
@@ -53,15 +55,31 @@ ROLES = {
     "navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu",
     "menubar", "toolbar", "note", "status",
 }
+# Words in class names and ids. A strong word names clutter whatever stands beside it.
+STRONG = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "sponsor", "sponsored", "sponsors",
+    "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "navbar", "breadcrumb", "breadcrumbs", "comment", "comments",
+    "commentlist", "disqus", "respond", "replies", "newsletter", "signup", "pagination", "outbrain", "taboola", "paywall",
+}
 UNLIKELY = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "banner", "sponsor",
-    "sponsored", "sponsors", "promo", "promos", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification",
-    "alert", "popup", "modal", "overlay", "sidebar", "sidebars", "side", "rail", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb",
-    "breadcrumbs", "footer", "foot", "header", "masthead", "comment", "comments", "commentlist", "disqus", "respond", "replies",
-    "discussion", "share", "sharing", "social", "related", "recommended", "recommendations", "newsletter", "subscribe", "subscription",
-    "signup", "login", "pagination", "pager", "widget", "widgets", "toolbar", "skip", "tags", "outbrain", "taboola", "paywall",
+    "banner", "promo", "promos", "promotion", "notice", "notices", "notification", "alert", "sidebar", "sidebars", "side", "rail", "nav",
+    "navigation", "menu", "menus", "footer", "foot", "header", "masthead", "discussion", "share", "sharing", "social", "related",
+    "recommended", "recommendations", "subscribe", "subscription", "login", "pager", "widget", "widgets", "toolbar", "skip", "tags",
 }
-LIKELY = {"article", "content", "main", "body", "post", "entry", "text", "story", "page", "wrapper", "container", "layout", "with", "has", "no"}
+# Strong words glued to others.
+GLUED = re.compile(
+    r"(?:ad|ads)(?:box|slot|unit|wrap|wrapper|container|block|banner|bar|space|zone|area|frame|holder|label|panel)"
+    r"|(?:top|side|bottom|left|right|google|page|text|inline|header|footer)ads?"
+    r"|(?:user|reader|site|post|article|page|blog)?comments?(?:list|box|form|area|section|thread|block|container|wrapper|body|text|s)?"
+    r"|cookie(?:s|bar|banner|box|notice|consent|popup|info|law|message|wall|layer)+"
+    r"|(?:site|page|main|global|blog|top|bottom)(?:footer|header|nav|navigation|menu|sidebar|banner)"
+    r"|(?:left|right)(?:sidebar|nav|menu|rail)|(?:nav|menu|footer)(?:bar|menu|links|box|wrapper|container)|side(?:menu|links|box|nav)"
+)
+LIKELY = {"article", "content", "main", "body", "post", "entry", "text", "story"}
+# A name with one of these tells of a state or the layout around it, as in has-sidebar and comments-closed.
+STATES = {"with", "without", "has", "no", "is", "open", "opened", "closed", "enabled", "disabled", "layout"}
+# What a footer without a name begins with.
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)|.*\ball rights reserved\b", re.I)
 REACH = 5  # ancestors that get points
 SIBLING_SHARE, SIBLING_LEAST = 0.2, 10.0
 
@@ -72,7 +90,7 @@ def _is_clutter(tag: str, attrs: str) -> bool:
         return True
     if tag in ("html", "body", "article", "main") or not attrs:
         return False
-    names = set()
+    names = []
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -84,8 +102,24 @@ def _is_clutter(tag: str, attrs: str) -> bool:
             if value.strip().lower() in ROLES:
                 return True
         elif key in ("class", "id"):
-            names.update(x.lower() for x in NAME.findall(value))
-    return bool(names & UNLIKELY) and not names & LIKELY
+            names.extend(value.split())
+    return bool(names) and _names_clutter(names)
+
+
+def _names_clutter(names: list[str]) -> bool:
+    """Whether class names and ids say clutter: one strong word is enough; other
+    words count unless another name is of the article's words alone."""
+    weak = likely = False
+    for name in names:
+        chunks = [m[1] for x in re.split(r"[^A-Za-z0-9]+", name) if (m := CHUNK.fullmatch(x))]
+        words = {x.lower() for chunk in chunks for x in NAME.findall(chunk)} | {chunk.lower() for chunk in chunks}
+        if not words or words & STATES:
+            continue
+        if words & STRONG or any(GLUED.fullmatch(w) for w in words):
+            return True
+        weak = weak or bool(words & UNLIKELY)
+        likely = likely or words <= LIKELY
+    return weak and not likely
 
 
 class _Page:
@@ -95,6 +129,7 @@ class _Page:
         self.parent, self.tags = [-1], ["#page"]
         self.blocks: list[tuple[int, str, int]] = []  # holder, text, length in links
         self._stack, self._open = [0], Counter()
+        self._holders = [0]  # the blocks of the stack
         self._dead = 0  # place in the stack of the outermost clutter, or 0
         self._links = 0
         self._text: list[str] = []
@@ -105,8 +140,7 @@ class _Page:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                holder = next(n for n in reversed(self._stack) if self.tags[n] in BLOCKS or n == 0)
-                self.blocks.append((holder, text, self._link_chars))
+                self.blocks.append((self._holders[-1], text, self._link_chars))
             self._text, self._link_chars = [], 0
 
     def _add(self, raw: str) -> None:
@@ -121,6 +155,8 @@ class _Page:
         for n in self._stack[place:]:
             self._open[self.tags[n]] -= 1
             self._links -= self.tags[n] == "a"
+            if self.tags[n] in BLOCKS:
+                self._holders.pop()
         del self._stack[place:]
         if self._dead >= len(self._stack):
             self._dead = 0
@@ -155,6 +191,8 @@ class _Page:
         self._stack.append(len(self.tags) - 1)
         self._open[tag] += 1
         self._links += tag == "a"
+        if tag in BLOCKS:
+            self._holders.append(self._stack[-1])
         if not self._dead and _is_clutter(tag, attrs):
             self._dead = len(self._stack) - 1
 
@@ -165,24 +203,35 @@ class _Page:
             self._pop_to(next(i for i in range(len(self._stack) - 1, 0, -1) if self.tags[self._stack[i]] == tag))
 
     def _read(self, html: str) -> None:
-        at = 0
-        while m := TOKEN.search(html, at):
+        # Behind the last > no tag ends, so none is looked for: the pass stays linear.
+        at, close = 0, html.rfind(">") + 1
+        while m := TOKEN.search(html, at, close):
             if m.start() > at:
                 self._add(html[at : m.start()])
             at = m.end()
             if m["tag"]:
                 tag = m["tag"].lower()
                 if tag in RAW:
-                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at, close)
                     at = end.end() if end else len(html)
                 else:
                     self._start(tag, m["attrs"])
             elif m["end"]:
                 self._end(m["end"].lower())
-            elif m["data"]:
-                self._add(m["data"].replace("&", "&amp;"))
-        if at < len(html):
-            self._add(html[at:])
+            elif m["cut"] is not None:
+                at = len(html)
+            elif m["data"] is not None:
+                if m["short"] is not None:
+                    at = len(html)
+                end = m.end("data") if m["short"] is None else at
+                self._add(html[m.start("data") : end].replace("&", "&amp;"))
+        rest = html[at:]
+        if m := re.search(r"<!--|<!\[CDATA\[", rest):
+            self._add(rest[: m.start()])
+            if m[0] != "<!--":
+                self._add(rest[m.end() :].replace("&", "&amp;"))
+        elif rest:
+            self._add(rest)
         self._flush()
 
 
@@ -190,6 +239,11 @@ def main_text(html: str | None) -> str:
     """The blocks of the article, one a line; empty if there is none.
 
     A null or empty page has no text. Of equally good nodes the first one wins.
+    The article is the `article` or else the `main` that the best node lies in,
+    or else the node itself, with its good siblings: those with points and, beside
+    a node that is neither, those with a paragraph, list item or cell of two words
+    or more that isn't links or a line of rights. A heading behind the node goes with the sibling after it.
+    A `header` goes with all it holds, in an article as well.
     """
     if not html:
         return ""
@@ -215,21 +269,32 @@ def main_text(html: str | None) -> str:
     best = max(range(size), key=final.__getitem__)
     if not page.blocks or final[best] <= 0:
         return ""
-    node = best
-    while node > 0 and page.tags[node] != "article":
-        node = page.parent[node]
-    best = node if node > 0 else best
+    home = False
+    for tag in ("article", "main"):
+        node = best
+        while node > 0 and page.tags[node] != tag:
+            node = page.parent[node]
+        if node > 0:
+            best, home = node, True
+            break
+    told = [False] * size  # some paragraph below says something
+    for holder, text, in_links in page.blocks:
+        if page.tags[holder] in PARAGRAPHS and " " in text and 2 * in_links < len(text) and not RIGHTS.match(text):
+            told[holder] = True
+    for n in range(size - 1, 0, -1):
+        told[page.parent[n]] |= told[n]
     kept = [False] * size
     kept[best] = True
     least = max(SIBLING_LEAST, SIBLING_SHARE * final[best])
-    own = [0.0] * size
-    for holder, text, in_links in page.blocks:
-        own[holder] += text.count(",") + min(len(text) / 100, 3.0) + (len(text) >= 25)
+    after = False  # whether the next sibling with text is kept
+    for n in range(size - 1, 0, -1):
+        if page.parent[n] == page.parent[best] and chars[n]:
+            if n != best:
+                plain = density[n] < 0.25
+                heading = page.tags[n] in HEADINGS
+                kept[n] = plain and (n < best or after) if heading else final[n] >= least or plain and told[n] and not home
+            after = kept[n]
     for n in range(1, size):
-        if page.parent[n] == page.parent[best] and n != best and chars[n]:
-            paragraph = page.tags[n] == "p" and density[n] < 0.25 and own[n] >= 1
-            heading = page.tags[n] in HEADINGS and n < best and density[n] < 0.25
-            kept[n] = final[n] >= least or paragraph or heading
         kept[n] = kept[n] or kept[page.parent[n]]
     return "\n".join(text for holder, text, _ in page.blocks if kept[holder])
 

@@ -234,3 +234,48 @@ def test_quality_rows_can_be_filtered(spark):
     for condition, holds in (("kept", lambda r: r[7]), ("n_repeat_words > 100 AND base_failed", lambda r: r[5] > 100 and r[6])):
         got = sorted(tuple(r) for r in quality.op3(docs).where(condition).collect())
         assert got == sorted(r for r in every if holds(r)) and got
+
+
+LEAD = "".join(f"<p>Paragraph {i}, with some words, enough of them to count.</p>" for i in range(4))
+LEAD_LINES = [f"Paragraph {i}, with some words, enough of them to count." for i in range(4)]
+
+
+@pytest.mark.parametrize("name", [
+    "ad-container", "comment-body", "comments-content", "sidebar-content", "main-nav", "page-header", "entry-footer", "post-comments",
+    "article-comments", "related-post", "cookie-text", "adbox", "topads", "cookiebar", "cookiebanner", "sitefooter", "usercomments",
+    "content comment", "AdSlot", "banner300x250", "ad_2", "adContainer",
+])
+def test_html_class_names_of_clutter(name):
+    page = f"<article>{LEAD}<div class='{name}'><p>Gone, all of it, with commas, and words.</p></div><p>Last words</p></article>"
+    assert html_text.main_text(page).split("\n") == [*LEAD_LINES, "Last words"]
+
+
+@pytest.mark.parametrize("name", [
+    "has-sidebar", "content with-ads", "no-comments", "css-1ad2x", "commentary", "post comments-closed", "main sidebar", "article-body",
+    "shadow", "load-more-text", "adventure", "headerless", "layout-sidebar-right",
+])
+def test_html_class_names_of_articles(name):
+    assert html_text.main_text(f"<body><div class='{name}'>{LEAD}</div></body>").split("\n") == LEAD_LINES
+
+
+def test_html_keeps_all_sections_of_main():
+    page = f"<main><section>{LEAD}</section><section><p>Short one.</p></section><section><ul><li>One<li>Two</ul></section></main><p>Not here, no.</p>"
+    assert html_text.main_text(page).split("\n") == [*LEAD_LINES, "Short one.", "One", "Two"]
+
+
+def test_html_keeps_short_tails():
+    page = f"""<body><ul><li><a href=a>Home page</a></ul><h1>Title</h1><div>{LEAD}</div><div><p>Tiny tail.</p></div><h2>Part</h2><p>Last words</p>
+    <h3>More stories</h3><ul><li><a href=b>Other story</a></ul><div><p>&copy; 2020 Some Site</p></div></body>"""
+    assert html_text.main_text(page).split("\n") == ["Title", *LEAD_LINES, "Tiny tail.", "Part", "Last words"]
+
+
+@pytest.mark.parametrize("part", ["</a ", "<!x ", "<?x ", "<a ", "<a '", "</script ", "<script></script ", "<b>x</p>", "<!--", "<![CDATA[x"])
+def test_html_reads_broken_markup_in_linear_time(part):
+    html_text.main_text(f"<article>{LEAD}</article>" + part * (1_000_000 // len(part)))
+
+
+def test_html_cut_comments_and_data():
+    assert html_text.main_text(f"<div>{LEAD}</div><!-- > cut").split("\n") == LEAD_LINES
+    assert html_text.main_text(f"<div>{LEAD}</div><!-- cut").split("\n") == LEAD_LINES
+    assert html_text.main_text("<article><p>One, two, three, four.<![CDATA[ a > & b").endswith("a > & b")
+    assert html_text.main_text("<article><p>One, two, three, four.</p><p><![CDATA[a & b").endswith("a & b")
