@@ -13,7 +13,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +30,7 @@ MAGIC = b"WVM1"
 BLOCK = 4096  # bits a rank entry covers
 SHARD_TOKENS = 1 << 22
 CACHED_WORDS = 1_000_000
+GROUP_CHARS = 1 << 20  # characters whose new words are learned together
 END = 1  # appended to each document
 WORD = re.compile(r"[^ \t\n\r]+")
 STEM = re.compile(r"([^\W\d_]+)([.,;:!?#*%$&()|-]*)")
@@ -140,6 +141,8 @@ class WaveletMatrix:
 
 def _stem(word: str) -> tuple[str, str]:
     """Letters and the marks after them; all of another word, and no marks."""
+    if word.isascii() and word.isalpha():
+        return word.lower(), ""
     m = STEM.fullmatch(word)
     if not m or not m[1].isalpha() or not m[1].lower().isalpha():
         return word, ""
@@ -164,8 +167,30 @@ class Words:
         self._known: dict[str, bytes] = {}
         self._stems: dict[str, bytes] = {}
         self._end = np.array([END], self.dtype).tobytes()
+        vocabulary = self._tokenizer.get_vocab()
+        self._closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self._closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _ask(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Words of letters are asked as one text: each has a
+        closing id or more, so if there are as many of these, each has one."""
+        letters = [w for w in words if w.isalpha()]
+        parts = self._split(letters) if letters else []
+        if len(parts) < len(letters):
+            return self._ask_each(words)
+        others = iter(self._ask_each([w for w in words if not w.isalpha()]))
+        mine = iter(parts)
+        return [next(mine) if w.isalpha() else next(others) for w in words]
+
+    def _split(self, letters: list[str]) -> list[bytes]:
+        ids = np.array(self._tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = (np.flatnonzero(self._closes[ids]) + 1) * self.dtype.itemsize
+        if len(ends) != len(letters) or ends[-1] != ids.nbytes:
+            return []
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
+    def _ask_each(self, words: list[str]) -> list[bytes]:
         kind = "H" if self.dtype.itemsize == 2 else "I"
         return [array(kind, e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -178,16 +203,30 @@ class Words:
         self._known.update((w, stems[a] + stems[b] if b else stems[a]) for w, (a, b) in zip(words, parts, strict=True))
 
     def encode(self, text: str | None) -> bytes:
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text, new words of about GROUP_CHARS characters at a time."""
+        group, held = [], 0
+        for text in texts:
+            group.append(WORD.findall(text or ""))
+            held += len(text or "")
+            if held >= GROUP_CHARS:
+                yield from self._group(group)
+                group, held = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[list[str]]) -> Iterator[bytes]:
         known = self._known
         if len(known) > CACHED_WORDS:
             known.clear()
         if len(self._stems) > CACHED_WORDS:
             self._stems.clear()
-        words = WORD.findall(text or "")
-        new = {w for w in words if w not in known}
+        new = {w for words in texts for w in words if w not in known}
         if new:
             self._learn(list(new))
-        return b"".join(map(known.__getitem__, words)) + self._end
+        for words in texts:
+            yield b"".join(map(known.__getitem__, words)) + self._end
 
 
 @lru_cache(maxsize=4)
@@ -216,8 +255,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_
             return pd.DataFrame([row], columns=["shard", "n_tokens", "doc_ids", "doc_tokens", "matrix"])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                held.append(words.encode(text))
+            for doc_id, found in zip(batch["doc_id"], words.encode_all(batch["text"]), strict=True):
+                held.append(found)
                 ids.append(None if pd.isna(doc_id) else int(doc_id))
                 sizes.append(len(held[-1]) // words.dtype.itemsize)
                 total += sizes[-1]
