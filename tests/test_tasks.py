@@ -469,3 +469,15 @@ def test_entries_of_one_name_in_two_modules_are_apart(spark):
     first = queued.where("created_at = 7")
     twice = first.unionByName(first.withColumn("task_id", F.concat("task_id", F.lit("1"))))
     assert jobs.requests(t, twice, options).count() == 2 * first.count()  # two tasks of an entry share its text
+
+
+def test_batches_of_the_queue_may_have_many_files(spark, tmp_path, monkeypatch):
+    from workload import tasklog
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(tasklog, "scratch_path", lambda _, label: f"{tmp_path}/made-{label}")
+    found = tasklog.stream_queue_batches(spark, str(tmp_path))
+    assert found.count() == found.select("class_fqn", "method").distinct().count() > 0
+    # No task holds a whole batch.
+    assert len(list((tmp_path / "made-documents").glob("part-*"))) > 4

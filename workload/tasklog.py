@@ -163,27 +163,29 @@ def _streamed_entries(docs):
     )
 
 
-def _queue_of(spark, folder, docs):
-    out, state = scratch_path(spark, "queue"), scratch_path(spark, "queue-state")
-    done = data.done_index(spark, folder)
+def _run_queue(spark, docs, done, out, state):
     queue.stream_queue(_streamed_entries(docs), done, out, state, F.lit(5).cast("bigint")).awaitTermination()
     return spark.read.parquet(out).select("task_id", "class_fqn", "method", "file", "line", "status", "scope")
 
 
 def stream_queue(spark, folder):
-    return _queue_of(spark, folder, _stream(spark, folder, "documents"))
+    done = data.done_index(spark, folder)
+    return _run_queue(spark, _stream(spark, folder, "documents"), done, scratch_path(spark, "queue"), scratch_path(spark, "queue-state"))
 
 
 def stream_queue_batches(spark, folder):
     """The same from four batches, each of which brings half of the documents
-    of the one before again."""
-    split = scratch_path(spark, "documents")
-    docs = data.table(spark, folder, "documents")
+    of the one before again. A batch is all that came since the run before, so
+    it has any number of files."""
+    split, out, state = (scratch_path(spark, label) for label in ("documents", "queue", "queue-state"))
+    docs, done = data.table(spark, folder, "documents"), data.done_index(spark, folder)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int")
     again = F.when(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0, F.least(part + 1, F.lit(3)))
-    rows = docs.withColumn("batch", F.explode(F.array_compact(F.array(part, again))))
-    rows.repartitionByRange(4, "batch").drop("batch").write.parquet(split)
-    return _queue_of(spark, folder, spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(split))
+    for batch in range(4):
+        come = docs.where((part == batch) | F.coalesce(again == batch, F.lit(False)))
+        come.write.mode("append").parquet(split)
+        found = _run_queue(spark, spark.readStream.schema(docs.schema).parquet(split), done, out, state)
+    return found
 
 
 def _documents(spark, folder):
