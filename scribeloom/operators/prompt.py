@@ -9,6 +9,7 @@ from scribeloom import schemas
 from scribeloom.functions import templates as built_in
 from scribeloom.functions import text
 from scribeloom.options import PrefixLists, PromptOptions
+from scribeloom.scale import materialize
 
 
 def placeholders(prefixes: PrefixLists = PrefixLists()) -> list[tuple[str, Column]]:
@@ -60,9 +61,11 @@ def render_by_name(
     """Prompt of each entry by the template its `template_name` names; entries
     whose template is unknown or blank get the default.
 
-    The template side is not hinted: Spark broadcasts it if its size allows.
+    Many entries share a template. Templates are stored first, so that their
+    size is known and entries are not shuffled by name while they are small.
     """
-    chosen = entries.join(templates.withColumnRenamed("name", "template_name"), "template_name", "left")
+    stored = materialize(templates, "templates").withColumnRenamed("name", "template_name")
+    chosen = entries.join(stored, "template_name", "left")
     prompt = F.when(text.is_blank(F.col("template")), fill_default()).otherwise(
         fill(F.col("template"), prefixes)
     )

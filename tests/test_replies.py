@@ -159,3 +159,15 @@ def test_equal_requests_are_asked_once_and_rounds_read_their_own(spark, tmp_path
     assert calls.read_text().split()[8:] == ["new"]
     again = generate.generate_in_rounds(df, answer, out, 3, ask_failed=True)
     assert calls.read_text().split()[9:] == ["q3"] and again.where("status = 'FAILED'").count() == sum(b == "q3" for _, b in rows)
+
+
+def test_entries_are_not_shuffled_by_template_name(spark):
+    from scribeloom import schemas
+    from scribeloom.operators import prompt
+
+    own = spark.createDataFrame([("mine", "a ${CONTEXT}"), ("mine", "b")], schemas.TEMPLATES)
+    entries = spark.range(100).selectExpr("CASE WHEN id < 90 THEN 'mine' ELSE 'other' END AS template_name", "'C' AS class_fqn", "'f()' AS method", "string(id) AS context")
+    found = prompt.render_by_name(entries, prompt.all_templates(spark, own))
+    assert {r["prompt"] for r in found.where("template_name = 'mine'").collect()} == {f"a {i}" for i in range(90)}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
