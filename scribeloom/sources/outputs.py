@@ -93,7 +93,7 @@ def output_rows(documents: DataFrame, options: OutputOptions = OutputOptions())
 
 OUTPUT_TABLE = "task_id string, path string, content string, run bigint, part string, kind string, module string"
 # Characters of content that one file should hold about.
-FILE_CHARS = 256 << 20
+FILE_CHARS = 64 << 20
 
 
 def runs(spark: SparkSession, table: str) -> list[int]:
@@ -127,10 +127,13 @@ def write_outputs(
     rows = rows.groupBy("path").agg(F.max_by(F.struct(*kept), F.struct(*order)).alias("r")).select("path", "r.*")
     rows = materialize(rows.withColumn("run", F.lit(run).cast("bigint")), "outputs")
     # Files by kind and module, in pieces of a bounded size, not one per task.
+    # A task sorts the pieces it gets, so there are two tasks for each piece.
+    n_pieces = F.greatest(F.ceil(F.col("n") / FILE_CHARS), F.lit(1)).cast("int").alias("_pieces")
     sizes = rows.groupBy("kind", "module").agg(F.sum(F.length("content")).alias("n"))
-    pieces = F.ceil(F.col("n") / FILE_CHARS).cast("int")
-    dealt = rows.join(sizes.select("kind", "module", pieces.alias("_pieces")), ["kind", "module"])
-    dealt = dealt.repartition("kind", "module", F.pmod(F.xxhash64("path"), F.greatest("_pieces", F.lit(1)))).drop("_pieces")
+    sizes = materialize(sizes.select("kind", "module", n_pieces), "sizes")
+    tasks = 2 * (sizes.agg(F.sum("_pieces")).first()[0] or 1)
+    dealt = rows.join(sizes, ["kind", "module"])
+    dealt = dealt.repartition(tasks, "kind", "module", F.pmod(F.xxhash64("path"), "_pieces")).drop("_pieces")
     columns = ("task_id", "path", "content", "run", "kind", "module")
     part = segments.write_segment(dealt.select(*columns), table, ("kind", "module"), "part=")
     paths = rows.select("path", "kind", "module", F.length("content").cast("bigint").alias("size"), "run", F.lit(part).alias("part"))

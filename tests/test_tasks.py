@@ -481,3 +481,15 @@ def test_batches_of_the_queue_may_have_many_files(spark, tmp_path, monkeypatch):
     assert found.count() == found.select("class_fqn", "method").distinct().count() > 0
     # No task holds a whole batch.
     assert len(list((tmp_path / "made-documents").glob("part-*"))) > 4
+
+
+def test_a_task_writes_few_pieces_at_any_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(outputs, "FILE_CHARS", 1000)
+    docs = spark.range(400).selectExpr(
+        "concat('C', id, '#f()') AS task_id", "concat('C', id) AS class_fqn", "'METHOD' AS scope", "'a' AS module", "repeat('x', 100) AS markdown"
+    )
+    outputs.write_outputs(docs, str(tmp_path), OutputOptions(write_doc=False))
+    assert outputs.read_outputs(spark, str(tmp_path)).count() == 400
+    rows = [spark.read.parquet(str(f)).count() for f in tmp_path.glob("part=*/kind=*/module=*/part-*")]
+    # 40 pieces of about ten rows, in tasks of their own: not eight tasks for all.
+    assert len(rows) > 16 and max(rows) <= 80
