@@ -12,11 +12,15 @@ empty; a set with so many weak groups that a linked set might agree in these
 alone signs its empty subsets as well.
 
 Sets that share a signature are candidates. A signature has a few leaders, the
-first of its sets in several orders. In two rounds each set is compared with the
-leader of each order that it shares most signatures with, which joins groups of
-near copies by few pairs; then only sets of different components that still
-share a signature are compared, in blocks, first by a sketch that bounds their
-difference, then by all shingles. So no link between different sets is lost.
+first of its sets in several orders. Each set is compared with the leader of
+each order that it shares most signatures with. In a few turns, each set of a
+large group is held against one block of it by a sketch that bounds their
+difference, and compared with the nearest set. This joins groups of near copies
+by few pairs. Then all sets of different components that still share a signature
+are held against each other by the sketch, in blocks, and each is compared with
+its nearest ones by all shingles; sets with more than these go on, until none is
+left that may link and was not compared. So no link between different sets is
+lost.
 """
 
 from __future__ import annotations
@@ -40,11 +44,14 @@ from scribeloom.scale import find_hot, materialize, release, skew_join
 PERCENT = 80
 CHUNK_SIGNATURES = 1_000_000
 BUCKET_SIGNATURES = 1_500_000
-SKETCH_BITS = 512
-BLOCK = 256  # sets of a signature compared with as many others at once
-MEMBERS = 200_000  # rows of signatures in a task
+SKETCH_BITS = 1024, 16384  # of the smallest and the largest sets
+BLOCK = 256  # sets of a key compared with as many others at once
+MEMBERS = 100_000  # rows of sets in a task
 PAIRS = 500_000  # pairs of sets in memory at once
-ROUNDS = ((0, 3), (3, 3))  # orders of leaders (first, number) by round
+PAIR_BYTES = 64 << 20  # of sketches compared at once
+LEADERS = 3  # of a signature
+TURNS = 2  # at most, in which sets of large keys are compared with one block
+NEAREST = 4  # sets that each set is compared with by all shingles, at first
 TWO_OF_THREE = np.array([[0, 1], [0, 2], [1, 2]])
 _INSTANCE, _PART = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -125,11 +132,18 @@ def node_of(shingles: np.ndarray) -> bytes:
 
 
 def sketch_of(shingles: np.ndarray) -> bytes:
-    """Parities of the shingles by bit: two sets differ in as many shingles as bits, or more."""
-    odd = np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """Parities of the shingles by bit: two sets differ in as many shingles as
+    bits, or more. Larger sets have more bits."""
+    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], 1 << int(2 * len(shingles)).bit_length()))
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _folded(sketch: bytes, width: int) -> np.ndarray:
+    """The sketch of the same set in `width` bytes, as words."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, width // 8), axis=0)
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     return enumerate(shingle_sets(batch.column("text")))  # a batch at a time
 
@@ -225,7 +239,7 @@ def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
         times[at] = n
         shared = np.repeat((sizes > 1) & (times > 0), sizes)
         leaders = []
-        for order in range(sum(n for _, n in ROUNDS)):
+        for order in range(LEADERS):
             by_hash = mix(marks + np.uint64(order) * _PART)
             rank = np.empty(len(names), np.int64)
             rank[np.argsort(by_hash)] = np.arange(len(names))
@@ -267,9 +281,7 @@ def _near(n_a: pd.Series, n_b: pd.Series, a: pd.Series, b: pd.Series) -> pd.Seri
     """Whether sizes and sketches let two sets link."""
     if not len(n_a):
         return pd.Series([], dtype=bool)
-    x = np.frombuffer(b"".join(a), np.uint64).reshape(len(a), -1)
-    y = np.frombuffer(b"".join(b), np.uint64).reshape(len(b), -1)
-    differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    differ = _differences([*a, *b], np.arange(len(a)), np.arange(len(a)) + len(a))
     return pd.Series(_may_link(n_a.to_numpy(), n_b.to_numpy(), differ))
 
 
@@ -302,23 +314,83 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
-def _across(members: DataFrame, facts: DataFrame, rows: int) -> DataFrame:
-    """Distinct pairs a < b of members of one signature in different components
-    that may link. Members of a signature are cut into blocks, and a task holds
-    two of them. Members of the component with most of them, the major ones, are
-    in blocks of their own, which meet the others' blocks only: m major members
-    and one other make about m rows."""
+def _differences(sketches: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of places in `sketches`, a number their sets differ in at least."""
+    width = np.array([len(s) for s in sketches])
+    least = np.minimum(width[a], width[b])
+    found = np.empty(len(a), np.int64)
+    for w in np.unique(least):
+        here = np.flatnonzero(least == w)
+        used = np.unique(np.concatenate([a[here], b[here]]))
+        folded = np.stack([_folded(sketches[i], w) for i in used])
+        step = max(1, PAIR_BYTES // int(w))
+        for some in (here[i : i + step] for i in range(0, len(here), step)):
+            x, y = np.searchsorted(used, a[some]), np.searchsorted(used, b[some])
+            found[some] = np.bitwise_count(folded[x] ^ folded[y]).sum(axis=1, dtype=np.int64)
+    return found
+
+
+def _nearest(pairs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b, difference) less those beyond the k nearest of both sets,
+    and the sets that had more than k."""
+    pairs = np.unique(pairs, axis=0)
+    ends = np.concatenate([pairs[:, 0], pairs[:, 1]])
+    order = np.lexsort((np.tile(pairs[:, 2], 2), ends))
+    starts = np.flatnonzero(np.diff(ends[order], prepend=-1))
+    sizes = np.diff(np.append(starts, len(ends)))
+    place = np.empty(len(ends), np.int64)
+    place[order] = np.arange(len(ends)) - np.repeat(starts, sizes)
+    keep = (place[: len(pairs)] < k) | (place[len(pairs) :] < k)
+    return pairs[keep], ends[order][starts[sizes > k]]
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """key, node, label, others, majors for sets to compare: those of one key are.
+
+    A key is a signature shared by several components, or, where this makes
+    fewer pairs, the largest component of signatures, the major one, with all
+    sets that share them: near copies meet in many signatures. `majors` counts
+    the sets of the key in the major component, `others` all others.
+    """
+    by_label = members.groupBy("signature", "label").agg(F.count("*").alias("c"))
+    sizes = by_label.groupBy("signature").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("major")).where("m > major.c")
+    sizes = materialize(sizes.select("signature", F.col("major.label").alias("major"), (F.col("m") - F.col("major.c")).alias("others"), F.col("major.c").alias("majors")), "sizes")
+    cost = F.col("others").cast("double") * (F.col("others") / 2 + F.col("majors"))
+    open_ = members.join(sizes, "signature")
+    whole = open_.groupBy("major", "node").agg(F.first("label").alias("label"))
+    is_major = (F.col("label") == F.col("major")).cast("long")
+    counts = whole.groupBy("major").agg(F.sum(1 - is_major).alias("others"), F.sum(is_major).alias("majors"))
+    fewer = counts.join(sizes.groupBy("major").agg(F.sum(cost).alias("apart")), "major").where(cost <= F.col("apart")).drop("apart")
+    fewer = materialize(fewer, "fewer")
+    hot = find_hot(whole, ["major"])
+    together = skew_join(whole, fewer, ["major"], hot_left=hot).select(F.col("major").alias("key"), "major", "node", "label", "others", "majors")
+    signature = F.unhex(F.lpad(F.hex("signature"), 16, "0"))  # eight bytes; a component has sixteen
+    apart = open_.join(fewer.select("major"), "major", "left_anti").select(signature.alias("key"), "major", "node", "label", "others", "majors")
+    return materialize(together.union(apart).withColumn("is_major", F.col("label") == F.col("major")).drop("major"), "open")
+
+
+def _compared(dealt: DataFrame, rows: int, k: int) -> DataFrame:
+    """a, b, cut_a, cut_b: pairs of sets of one key in different components that
+    may link. A task holds blocks low and high of a key and gives the k nearest
+    of each set; a pair it leaves out has two sets that are marked as cut."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["signature", "low", "high"], kind="stable", ignore_index=True)
-        key = rows[["signature", "low", "high"]].to_numpy()
+        rows = rows.sort_values(["key", "low", "high"], kind="stable", ignore_index=True)
+        key = np.column_stack([pd.factorize(rows["key"])[0], rows["low"], rows["high"]])
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
         sizes = np.diff(np.append(starts, len(rows)))
-        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
         node, names = pd.factorize(rows["node"])
+        sketches = [rows["sketch"].iloc[i] for i in np.unique(node, return_index=True)[1]]
         label = pd.factorize(rows["label"])[0]
         n, block, low, high = (rows[c].to_numpy() for c in ("n", "block", "low", "high"))
-        found = [np.empty((0, 2), np.int64)]
+        found, held, cut = [np.empty((0, 3), np.int64)], 0, [np.empty(0, np.int64)]
+
+        def thin() -> None:
+            nonlocal found, held
+            pairs, more = _nearest(np.concatenate(found), k)
+            found, held = [pairs], 0
+            cut.append(more)
+
         for m in np.unique(sizes):  # all groups of one size at once
             x, y = np.triu_indices(m, 1)
             groups = starts[sizes == m]
@@ -328,31 +400,52 @@ def _across(members: DataFrame, facts: DataFrame, rows: int) -> DataFrame:
                 here = np.minimum(block[a], block[b]) == low[a]
                 here &= (np.maximum(block[a], block[b]) == high[a]) & (label[a] != label[b]) & _may_link(n[a], n[b], 0)
                 a, b = a[here], b[here]
-                differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+                differ = _differences(sketches, node[a], node[b])
                 here = _may_link(n[a], n[b], differ)
-                found.append(np.unique(np.column_stack([node[a[here]], node[b[here]]]), axis=0))
-        pairs = [(names[i], names[j]) for i, j in np.unique(np.concatenate(found), axis=0)]
-        return pd.DataFrame([(min(p), max(p)) for p in pairs], columns=["a", "b"])
-
-    by_label = members.groupBy("signature", "label").agg(F.count("*").alias("c"))
-    sizes = by_label.groupBy("signature").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("major")).where("m > major.c")
-    sizes = sizes.select(
-        "signature", F.col("major.label").alias("major"),
-        F.ceil((F.col("m") - F.col("major.c")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("major.c") / BLOCK).cast("int").alias("majors"),
+                a, b = node[a[here]], node[b[here]]
+                found.append(np.column_stack([np.minimum(a, b), np.maximum(a, b), differ[here]]))
+                held += len(a)
+                if held > PAIRS:
+                    thin()
+        thin()
+        more = np.zeros(len(names), bool)
+        more[np.concatenate(cut)] = True
+        out = [(names[i], names[j], bool(more[i]), bool(more[j])) for i, j in found[0][:, :2]]
+        return pd.DataFrame([r if r[0] < r[1] else (r[1], r[0], r[3], r[2]) for r in out], columns=["a", "b", "cut_a", "cut_b"])
+
+    tasks = parts_for(dealt.sparkSession, rows, MEMBERS)
+    spread = F.pmod(F.xxhash64("key", "low", "high"), F.lit(tasks))
+    return dealt.withColumn("task", spread).groupBy("task").applyInPandas(compare, "a binary, b binary, cut_a boolean, cut_b boolean").groupBy("a", "b").agg(
+        F.max("cut_a").alias("cut_a"), F.max("cut_b").alias("cut_b")
     )
-    open_ = members.join(sizes, "signature").join(facts, "node").withColumn("is_major", F.col("label") == F.col("major"))
-    # Blocks by hash: no window over a whole signature is needed.
+
+
+def _probed(open_: DataFrame, facts: DataFrame, turn: int) -> DataFrame:
+    """As `_compared`, but only sets of large keys, each with one block of its
+    largest key, another one each turn, and the nearest set only."""
+    size = F.col("others") + F.col("majors")
+    each = open_.where(size > BLOCK).groupBy("node").agg(F.max(F.struct(size.alias("m"), "key", "label")).alias("one")).select("node", "one.*")
+    blocks = F.ceil(F.col("m") / BLOCK)
+    each = each.withColumn("block", F.pmod(F.xxhash64("node", F.lit(turn)), blocks).cast("int")).join(facts, "node")
+    return _compared(each.withColumn("low", F.col("block")).withColumn("high", F.col("block")).drop("m"), 0, 1)
+
+
+def _across(open_: DataFrame, facts: DataFrame, rows: int, k: int) -> DataFrame:
+    """As `_compared`, for all pairs of sets of one key. Sets of a key are cut into
+    blocks. Members of the major component are in blocks of their own, which
+    meet the others' blocks only: m of them and one other make about m rows."""
+    counts = [F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("others", "majors")]
+    placed = open_.select("key", "node", "label", "is_major", *counts).join(facts, "node")
+    # Blocks by hash: no window over a whole key is needed.
     place = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
-    open_ = open_.withColumn("block", F.when(F.col("is_major"), F.col("others") + place("majors")).otherwise(place("others")))
+    block = F.when(F.col("is_major"), F.col("others") + place("majors")).otherwise(place("others"))
     last = F.when(F.col("is_major"), F.col("others")).otherwise(F.col("others") + F.col("majors")) - 1
     pairs = F.transform(
         F.sequence(F.lit(0), last),
         lambda other: F.struct(F.least("block", other).alias("low"), F.greatest("block", other).alias("high")),
     )
-    dealt = open_.withColumn("p", F.explode(pairs)).select("signature", "node", "label", "n", "sketch", "block", "p.*")
-    tasks = parts_for(members.sparkSession, rows, MEMBERS)
-    spread = F.pmod(F.xxhash64("signature", "low", "high"), F.lit(tasks))
-    return dealt.withColumn("task", spread).groupBy("task").applyInPandas(compare, "a binary, b binary").distinct()
+    dealt = placed.withColumn("block", block).withColumn("p", F.explode(pairs)).select("key", "node", "label", "n", "sketch", "block", "p.*")
+    return _compared(dealt, rows, k)
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -369,27 +462,45 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
     facts = materialize(facts, "facts")
-    found = tried = labels = None
-    for first, count in ROUNDS:
-        led = shared.select("node", "times", F.posexplode(F.slice("leaders", first + 1, count)).alias("order", "leader")).where("node <> leader")
-        led = materialize(led.groupBy("node", "order", "leader").agg(F.sum("times").alias("times")), "led")
-        if labels is not None:
-            led = skew_join(led, labels.toDF("leader", "at"), ["leader"], "left", hot_left=find_hot(led, ["leader"])).join(labels, "node", "left")
-            led = led.where(F.coalesce("at", "leader") != F.coalesce("label", "node"))
-        best = led.groupBy("node", "order").agg(F.max(F.struct("times", "leader")).alias("best"))
-        best = best.select(F.least("best.leader", "node").alias("a"), F.greatest("best.leader", "node").alias("b")).distinct()
-        best = materialize(best, "best")
-        near = skew_join(best, facts.toDF("b", "n_b", "sketch_b"), ["b"], hot_left=find_hot(best, ["b"]), spread_by=["a"])
-        near = skew_join(near, facts.toDF("a", "n_a", "sketch_a"), ["a"], hot_left=find_hot(best, ["a"]), spread_by=["b"])
-        near = materialize(near.where(_near("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b"), "near")
-        more = _verified(docs, nodes, near)
-        found, tried = (more, best) if found is None else (found.union(more), tried.union(best))
-        labels = components(found)
-    members = shared.select("signature", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = _across(members, facts, shared.count()).join(tried, ["a", "b"], "left_anti")
-    rest = materialize(rest, "rest")
-    release(spark)
-    return found.union(_verified(docs, nodes, rest))
+    led = shared.select("node", "times", F.posexplode("leaders").alias("order", "leader")).where("node <> leader")
+    led = led.groupBy("node", "order", "leader").agg(F.sum("times").alias("times"))
+    best = led.groupBy("node", "order").agg(F.max(F.struct("times", "leader")).alias("best"))
+    best = best.select(F.least("best.leader", "node").alias("a"), F.greatest("best.leader", "node").alias("b")).distinct()
+    best = materialize(best, "best")
+    near = skew_join(best, facts.toDF("b", "n_b", "sketch_b"), ["b"], hot_left=find_hot(best, ["b"]), spread_by=["a"])
+    near = skew_join(near, facts.toDF("a", "n_a", "sketch_a"), ["a"], hot_left=find_hot(best, ["a"]), spread_by=["b"])
+    near = materialize(near.where(_near("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b"), "near")
+    found, tried = _verified(docs, nodes, near), best
+
+    def opened(some: DataFrame | None = None) -> DataFrame:
+        rows = shared.select("signature", "node")
+        rows = rows if some is None else rows.join(some, "node", "left_semi")
+        return _open(rows.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+    open_ = opened()
+    for turn in range(TURNS):
+        if open_.where(F.col("others") + F.col("majors") > BLOCK).isEmpty():
+            break
+        probed = materialize(_probed(open_, facts, turn).join(tried, ["a", "b"], "left_anti").select("a", "b"), "probed")
+        more = _verified(docs, nodes, probed)
+        tried = tried.union(probed)
+        if more.isEmpty():
+            break
+        found = found.union(more)
+        open_ = opened()
+    k = NEAREST
+    while True:
+        rows = open_.count()
+        pairs = materialize(_across(open_, facts, rows, k), "rest")
+        rest = pairs.join(tried, ["a", "b"], "left_anti").select("a", "b")
+        rest = materialize(rest, "untried")
+        release(spark)
+        found, tried = found.union(_verified(docs, nodes, rest)), tried.union(rest)
+        cut = pairs.where("cut_a").select(F.col("a").alias("node")).union(pairs.where("cut_b").select("b"))
+        if cut.isEmpty():
+            return found
+        # A pair that was left out has two cut sets.
+        open_, k = opened(materialize(cut.distinct(), "cut")), 4 * k
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -74,6 +74,40 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, hot):
     assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
 
 
+def test_sketches_tell_large_sets_apart():
+    rng = np.random.default_rng(2)
+    a, b = (np.unique(rng.integers(0, 1 << 62, 3000).astype(np.uint64)) for _ in range(2))
+    differ = np.bitwise_count(np.frombuffer(jaccard_join.sketch_of(a), np.uint64) ^ np.frombuffer(jaccard_join.sketch_of(b), np.uint64)).sum()
+    assert not jaccard_join._may_link(len(a), len(b), int(differ))
+    some = np.unique(np.concatenate([a[:1900], b]))  # a sketch twice as wide
+    assert jaccard_join._differences([jaccard_join.sketch_of(a), jaccard_join.sketch_of(some)], np.array([0]), np.array([1]))[0] <= len(np.setxor1d(a, some))
+
+
+def test_many_near_copies_are_compared_in_few_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    texts = []
+    for _ in range(600):
+        words = list(base)
+        for _ in range(rng.choice([1, 1, 2])):
+            words[rng.randrange(80)] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    seen = Counter()
+    store = jaccard_join.materialize
+
+    def spied(df, label="step"):
+        found = store(df, label)
+        seen[label] += found.count() if label in ("probed", "rest") else 0
+        return found
+
+    monkeypatch.setattr(jaccard_join, "materialize", spied)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    want = plain_components([plain_set(t) for t in texts])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.op10(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(want))
+    assert sum(seen.values()) < 4 * len(texts), seen
+
+
 def test_keep_one_keeps_columns(spark):
     docs = docs_of(spark, corpus())
     kept = jaccard_join.keep_one(docs)
