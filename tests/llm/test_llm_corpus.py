@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -267,6 +268,25 @@ def test_mix_takes_each_row_of_one_id_by_itself(spark):
     assert sum(size(r["text"]) for r in mixed.collect()) <= sum(size(t) for _, t, _, _ in rows) * 3
 
 
+def test_a_shard_is_opened_in_little_memory():
+    rng = np.random.default_rng(3)
+    dfs = np.full(2000, 200)
+    docs = np.concatenate([np.sort(rng.choice(4000, n, replace=False)) for n in dfs]).astype(np.int32)
+    counts = rng.integers(1, 9, len(docs)).astype(np.int32)
+    row = {"doc_ids": list(range(4000)), "lengths": rng.integers(1, 500, 4000), "terms": [f"t{i}" for i in range(len(dfs))], "dfs": dfs, "docs": docs.tobytes(), "counts": counts.tobytes()}
+    tracemalloc.start()
+    shard = bm25.Shard(row, 250.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(docs)
+    tf, length = counts.astype(float), row["lengths"][docs]
+    assert np.allclose(shard.weight, tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * length / 250)), rtol=1e-14)
+    for term in (0, 7, 1999):  # entries of a term cover its postings, block by block
+        first, last = shard.entries[term], shard.entries[term + 1]
+        assert (shard.begins[first], shard.begins[last]) == (200 * term, 200 * term + 200)
+        assert shard.block[first:last].tolist() == sorted(set((docs[200 * term : 200 * term + 200] // bm25.BLOCK).tolist()))
+
+
 @pytest.mark.parametrize("pruned", [False, True])
 def test_search_equals_brute_force(spark, monkeypatch, pruned):
     if pruned:
