@@ -34,3 +34,15 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "EqualTo(lang,fr)" in plan and "text" not in plan.split("ReadSchema")[-1]
     plan = entry.queries()["search_tasks"](spark, FOLDER)._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "ts:" not in plan.split("ReadSchema")[-1]
+
+
+def test_calls_take_one_pass_over_the_lines(spark):
+    from workload import data
+
+    found = data.calls(spark, entry.SMALL)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Lines are looked up by their length where they are, not shuffled by it.
+    assert sum("text:string" in line for line in plan.splitlines() if "ReadSchema" in line) == 1
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    lines, last = data.method_rows(spark, entry.SMALL).count(), data.documents(spark, entry.SMALL).where("text is not null").count()
+    assert found.count() == 2 * lines - last
