@@ -32,7 +32,6 @@ SHARD_TOKENS = 1 << 22
 CACHED_WORDS = 1_000_000
 GROUP_CHARS = 1 << 20  # characters whose new words are learned together
 END = 1  # appended to each document
-WORD = re.compile(r"[^ \t\n\r]+")
 STEM = re.compile(r"([^\W\d_]+)([.,;:!?#*%$&()|-]*)")
 SHARD_SCHEMA = "shard long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, matrix binary"
 
@@ -149,6 +148,14 @@ def _stem(word: str) -> tuple[str, str]:
     return (m[1].lower() if m[1].isascii() else m[1]), m[2]
 
 
+def split_words(text: str) -> list[str]:
+    """The words between blanks, tabs and breaks, and empty ones where these meet.
+
+    Other white space separates no words here, so `str.split` alone will not do.
+    """
+    return text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
+
+
 class Words:
     """Ids of white-space-separated words, as the library gives them.
 
@@ -164,7 +171,7 @@ class Words:
 
         self._tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._known: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {"": b""}
         self._stems: dict[str, bytes] = {}
         self._end = np.array([END], self.dtype).tobytes()
         vocabulary = self._tokenizer.get_vocab()
@@ -209,7 +216,7 @@ class Words:
         """Ids of each text, new words of about GROUP_CHARS characters at a time."""
         group, held = [], 0
         for text in texts:
-            group.append(WORD.findall(text or ""))
+            group.append(split_words(text or ""))
             held += len(text or "")
             if held >= GROUP_CHARS:
                 yield from self._group(group)
@@ -220,6 +227,7 @@ class Words:
         known = self._known
         if len(known) > CACHED_WORDS:
             known.clear()
+            known[""] = b""
         if len(self._stems) > CACHED_WORDS:
             self._stems.clear()
         new = {w for words in texts for w in words if w not in known}

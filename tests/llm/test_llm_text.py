@@ -279,3 +279,13 @@ def test_html_cut_comments_and_data():
     assert html_text.main_text(f"<div>{LEAD}</div><!-- cut").split("\n") == LEAD_LINES
     assert html_text.main_text("<article><p>One, two, three, four.<![CDATA[ a > & b").endswith("a > & b")
     assert html_text.main_text("<article><p>One, two, three, four.</p><p><![CDATA[a & b").endswith("a & b")
+
+
+def test_words_of_texts_with_odd_white_space_equal_the_library(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED_WORDS", 3)
+    texts = ["", " ", "\n\n", " a  b\t\tc\r\n d ", "a\x0bb\x0cc\x1cd\x85e\u00a0f\u2003g\u3000h", "x \u00a0 y\u2028z", "one two.three\n\nfour", "one\u200btwo"]
+    assert [w for w in token_files.split_words(" a  b\t\tc\r\n\u00a0d ") if w] == ["a", "b", "c", "\u00a0d"]
+    path = tokenizer_path("word_bpe_49k.json")
+    words = token_files.Words(path)
+    own = [np.frombuffer(b, words.dtype).tolist() for t in texts for b in [words.encode(t)]]
+    assert own == [words._tokenizer.encode(t, add_special_tokens=False).ids + [token_files.END] for t in texts]
