@@ -1,5 +1,8 @@
 """N-gram Jaccard join by PartEnum signatures.
 
+A set links only if PERCENT of its shingles stand in other sets as well. Rows are
+counted by shingle first, and sets with fewer such shingles are left out.
+
 Sets are put in bands of size; a set takes part in its own band and the next,
 so any two sets that can be similar meet in one band. There the domain of
 shingles is cut into groups of partitions by a hash. Two sets of the band that
@@ -25,6 +28,7 @@ lost.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,13 +43,17 @@ from pyspark.sql import types as T
 from scribeloom.llm.common import NOT_SPACE, parts_for
 from scribeloom.llm.components import components
 from scribeloom.llm.shingles import mix, shingle_sets
-from scribeloom.scale import find_hot, materialize, release, skew_join
+from scribeloom.scale import few_files, find_hot, materialize, release, skew_join
 
 PERCENT = 80
+CHUNK_SHINGLES = 1_000_000
+BUCKET_SHINGLES = 2_000_000
 CHUNK_SIGNATURES = 1_000_000
 BUCKET_SIGNATURES = 1_500_000
 SKETCH_BITS = 1024, 16384  # of the smallest and the largest sets
 BLOCK = 256  # sets of a key compared with as many others at once
+FEW_NODES = 200_000  # names that are broadcast
+SETS = 2_000  # sets, or pairs of them, in a task
 MEMBERS = 100_000  # rows of sets in a task
 PAIRS = 500_000  # pairs of sets in memory at once
 PAIR_BYTES = 64 << 20  # of sketches compared at once
@@ -154,35 +162,121 @@ def _keyed(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n_shingles, node, sketch of every row with doc_id and text."""
+    """doc_id, key, n_shingles, node of every row with doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, sketches = [], [], []
+            sizes, nodes = [], []
             for _, s in _texts(batch):
                 sizes.append(len(s))
                 nodes.append(node_of(s))
-                sketches.append(sketch_of(s))
-            columns = [batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n_shingles", "node", "sketch"])
+            columns = [batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n_shingles", "node"])
 
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("key", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("key", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType())])
     return _keyed(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
-def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
+def linkable(docs: DataFrame, buckets: int) -> DataFrame:
+    """The nodes that may link: PERCENT of their shingles or more stand in other
+    rows of docs as well.
+
+    Documents are packed in chunks. A shingle goes as its bucket and 32 bits of
+    its hash, with the place of its document in the chunk. A bucket gives the
+    places of shingles that it holds once; a chunk adds them up. Shingles that
+    share these bits, equal sets and lost rows keep a node, they never drop one.
+    """
+    columns = {"bucket": pa.int64(), "chunk": pa.int64(), "shingles": pa.binary(), "places": pa.binary(), "nodes": pa.binary(), "sizes": pa.binary()}
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        found, nodes, held = [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            sizes = np.array([len(s) for s in found], np.uint32)
+            names = b"".join(nodes)
+            chunk = int.from_bytes(hashlib.md5(names).digest()[:8], "little", signed=True)
+            spread = mix(np.concatenate(found))
+            bucket = ((spread >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
+            order = np.argsort(bucket, kind="stable")
+            place = np.repeat(np.arange(len(found), dtype=np.uint16), sizes)[order]
+            low, bucket = spread.astype(np.uint32)[order], bucket[order]
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            cuts = [*starts.tolist(), len(bucket)]
+            rows = [(int(bucket[i]), chunk, low[i:j].tobytes(), place[i:j].tobytes(), None, None) for i, j in zip(cuts, cuts[1:])]  # noqa: B905
+            rows.append((chunk % buckets, chunk, b"", b"", names, sizes.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), columns.values(), strict=True)], names=list(columns))
+
+        for batch in batches:
+            for _, s in _texts(batch):
+                if not len(s) or (node := node_of(s)) in seen:
+                    continue
+                seen.add(node)
+                found.append(s)
+                nodes.append(node)
+                held += len(s)
+                if held >= CHUNK_SHINGLES or len(found) == 1 << 16:
+                    yield packed()
+                    found, nodes, held = [], [], 0
+        if found:
+            yield packed()
+
+    def alone(rows: pd.DataFrame) -> pd.DataFrame:
+        values = np.frombuffer(b"".join(rows["shingles"]), np.uint32)
+        order = np.argsort(values)
+        fresh = np.ones(len(values) + 1, bool)
+        fresh[1:-1] = np.diff(values[order]) != 0
+        once = np.empty(len(values), bool)
+        once[order] = fresh[:-1] & fresh[1:]
+        ends = np.cumsum([len(r) // 4 for r in rows["shingles"]])[:-1]
+        places = [np.frombuffer(p, np.uint16)[o].tobytes() for p, o in zip(rows["places"], np.split(once, ends), strict=True)]
+        return pd.DataFrame({"chunk": rows["chunk"], "places": places, "nodes": rows["nodes"], "sizes": rows["sizes"]})
+
+    def may_link(rows: pd.DataFrame) -> pd.DataFrame:
+        head = rows[rows["nodes"].notna()].iloc[:1]
+        if not len(head):
+            return pd.DataFrame({"node": []})
+        names, sizes = head["nodes"].iloc[0], np.frombuffer(head["sizes"].iloc[0], np.uint32).astype(np.int64)
+        once = np.bincount(np.frombuffer(b"".join(rows["places"]), np.uint16), minlength=len(sizes))
+        keep = np.flatnonzero(100 * (sizes - once) >= PERCENT * sizes)
+        return pd.DataFrame({"node": [names[16 * i : 16 * i + 16] for i in keep]})
+
+    cells = docs.select("text").mapInArrow(pack, "bucket long, chunk long, shingles binary, places binary, nodes binary, sizes binary")
+    once = cells.groupBy("bucket").applyInPandas(alone, "chunk long, places binary, nodes binary, sizes binary")
+    return once.groupBy("chunk").applyInPandas(may_link, "node binary").distinct()
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, n, sketch, shingles of the wanted nodes, from one document of each."""
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row")
+    chosen = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(row).select(F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_key"))
+    rows = wanted.count()
+    if rows <= FEW_NODES:  # texts need not be shuffled to find these
+        chosen = F.broadcast(chosen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(node_of(s), len(s), sketch_of(s), s.tobytes()) for _, s in _texts(batch)]
+            kinds = {"node": pa.binary(), "n": pa.int64(), "sketch": pa.binary(), "shingles": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds.values())], names=list(kinds))
+
+    same = F.col("key").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    texts = _keyed(docs.select("doc_id", "text")).join(chosen, same, "left_semi")
+    # Rows of one id and text may repeat; they are told apart before they are made.
+    return few_files(texts.dropDuplicates(["doc_id", "key"]), rows, SETS).select("text").mapInArrow(run, "node binary, n long, sketch binary, shingles binary")
+
+
+def shared_signatures(sets: DataFrame, buckets: int) -> DataFrame:
     """signature, node, leaders, times for signatures of two sets or more. Each
     of the leaders is a set of the signature, the first one in an order by hash.
 
-    Signatures travel in packed rows, one per bucket and chunk of documents;
-    equal sets of one task are signed once. Signatures that the very same sets
-    share say the same, so each such group is given once, under its hash, with
-    the number of times.
+    Signatures travel in packed rows, one per bucket and chunk of sets.
+    Signatures that the very same sets share say the same, so each such group is
+    given once, under its hash, with the number of times.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         found, nodes, held = [], [], 0
 
         def packed() -> pa.RecordBatch:
@@ -204,14 +298,11 @@ def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
 
         for batch in batches:
-            for _, s in _texts(batch):
-                if not len(s) or (node := node_of(s)) in seen:
-                    continue
-                seen.add(node)
-                own = signatures(s)
+            for node, s in zip(batch.column("node"), batch.column("shingles"), strict=True):
+                own = signatures(np.frombuffer(s.as_py(), np.uint64))
                 if len(own):
                     found.append(own)
-                    nodes.append(node)
+                    nodes.append(node.as_py())
                     held += len(own)
                     if held >= CHUNK_SIGNATURES:
                         yield packed()
@@ -239,8 +330,8 @@ def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
         times[at] = n
         shared = np.repeat((sizes > 1) & (times > 0), sizes)
         leaders = []
-        for order in range(LEADERS):
-            by_hash = mix(marks + np.uint64(order) * _PART)
+        for salt in np.arange(LEADERS, dtype=np.uint64)[:, None] * _PART:
+            by_hash = mix(marks + salt)
             rank = np.empty(len(names), np.int64)
             rank[np.argsort(by_hash)] = np.arange(len(names))
             ranked = np.argsort(rank)  # the set of each rank
@@ -251,31 +342,12 @@ def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
             "signature": values.view(np.int64), "node": [raw[i] for i in owner], "leaders": [[raw[i] for i in row] for row in np.column_stack(leaders)], "times": times,
         })
 
-    packed = docs.select("text").mapInArrow(sign, "bucket long, signatures binary, counts binary, nodes binary")
+    packed = sets.select("node", "shingles").mapInArrow(sign, "bucket long, signatures binary, counts binary, nodes binary")
     return packed.groupBy("bucket").applyInPandas(match, "signature long, node binary, leaders array<binary>, times long").groupBy("signature", "node").agg(
         F.first("leaders").alias("leaders"), F.sum("times").alias("times")
     )
 
 
-def _with_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, shingles of the nodes of the pairs, from one document of each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row")
-    chosen = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(row).select(F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_key"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(node_of(s), s.tobytes()) for _, s in _texts(batch)]
-            columns = [pa.array([row[k] for row in out], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
-
-    same = F.col("key").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    texts = _keyed(docs.select("doc_id", "text")).join(chosen, same, "left_semi")
-    made = texts.select("text").mapInArrow(run, "node binary, shingles binary")
-    # Rows of one id and text may repeat.
-    return made.dropDuplicates(["node"])
-
-
 @F.pandas_udf(T.BooleanType())
 def _near(n_a: pd.Series, n_b: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether sizes and sketches let two sets link."""
@@ -301,16 +373,16 @@ def _links(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(found, dtype=bool)
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs a, b that link, by all their shingles."""
-    if pairs.isEmpty():
+    rows = pairs.count()
+    if not rows:
         return pairs.select("a", "b")
-    sets = materialize(_with_sets(docs, nodes, pairs), "sets")
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}"))
     with_b = pairs.select("a", "b").join(side("b"), "b")
-    with_a = skew_join(with_b, side("a"), ["a"], hot_left=find_hot(pairs, ["a"]), spread_by=["b"])
-    found = materialize(with_a.where(_links("set_a", "set_b")).select("a", "b"), "links")
-    release(docs.sparkSession)
+    with_a = skew_join(with_b, side("a"), ["a"], hot_left=find_hot(pairs, ["a"], rows=rows), spread_by=["b"])
+    found = materialize(few_files(with_a, rows, SETS).where(_links("set_a", "set_b")).select("a", "b"), "links")
+    release(sets.sparkSession)
     return found
 
 
@@ -356,17 +428,19 @@ def _open(members: DataFrame) -> DataFrame:
     sizes = by_label.groupBy("signature").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("major")).where("m > major.c")
     sizes = materialize(sizes.select("signature", F.col("major.label").alias("major"), (F.col("m") - F.col("major.c")).alias("others"), F.col("major.c").alias("majors")), "sizes")
     cost = F.col("others").cast("double") * (F.col("others") / 2 + F.col("majors"))
-    open_ = members.join(sizes, "signature")
+    open_ = materialize(members.join(sizes, "signature"), "meeting")
+    rows = open_.count()
+    open_ = few_files(open_, rows)
     whole = open_.groupBy("major", "node").agg(F.first("label").alias("label"))
     is_major = (F.col("label") == F.col("major")).cast("long")
     counts = whole.groupBy("major").agg(F.sum(1 - is_major).alias("others"), F.sum(is_major).alias("majors"))
     fewer = counts.join(sizes.groupBy("major").agg(F.sum(cost).alias("apart")), "major").where(cost <= F.col("apart")).drop("apart")
-    fewer = materialize(fewer, "fewer")
-    hot = find_hot(whole, ["major"])
+    fewer = materialize(few_files(fewer, rows), "fewer")
+    hot = find_hot(whole, ["major"], rows=rows)
     together = skew_join(whole, fewer, ["major"], hot_left=hot).select(F.col("major").alias("key"), "major", "node", "label", "others", "majors")
     signature = F.unhex(F.lpad(F.hex("signature"), 16, "0"))  # eight bytes; a component has sixteen
     apart = open_.join(fewer.select("major"), "major", "left_anti").select(signature.alias("key"), "major", "node", "label", "others", "majors")
-    return materialize(together.union(apart).withColumn("is_major", F.col("label") == F.col("major")).drop("major"), "open")
+    return materialize(few_files(together.union(apart).withColumn("is_major", F.col("label") == F.col("major")).drop("major"), rows), "open")
 
 
 def _compared(dealt: DataFrame, rows: int, k: int) -> DataFrame:
@@ -448,65 +522,76 @@ def _across(open_: DataFrame, facts: DataFrame, rows: int, k: int) -> DataFrame:
     return _compared(dealt, rows, k)
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links a, b between nodes that join all linked documents' sets.
+def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, label of the nodes that links lead to others.
 
-    Every pair of linked sets is either among the links or joined by others.
+    Every pair of linked sets is either compared or joined by other links.
     """
     spark = docs.sparkSession
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = parts_for(spark, 0.65 * total, BUCKET_SIGNATURES)
-    shared = materialize(shared_signatures(docs, buckets), "signatures")
+    wanted = materialize(linkable(docs, parts_for(spark, total, BUCKET_SHINGLES)), "linkable")
+    sets = materialize(sets_of(docs, nodes, wanted), "sets")
     release(spark)
-    facts = nodes.join(shared.select("node"), "node", "left_semi").groupBy("node").agg(
-        F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
-    )
-    facts = materialize(facts, "facts")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    shared = materialize(shared_signatures(sets, parts_for(spark, 0.65 * total, BUCKET_SIGNATURES)), "signatures")
+    release(spark)
+    facts = sets.drop("shingles")
+    rows = shared.count()
     led = shared.select("node", "times", F.posexplode("leaders").alias("order", "leader")).where("node <> leader")
     led = led.groupBy("node", "order", "leader").agg(F.sum("times").alias("times"))
     best = led.groupBy("node", "order").agg(F.max(F.struct("times", "leader")).alias("best"))
     best = best.select(F.least("best.leader", "node").alias("a"), F.greatest("best.leader", "node").alias("b")).distinct()
-    best = materialize(best, "best")
-    near = skew_join(best, facts.toDF("b", "n_b", "sketch_b"), ["b"], hot_left=find_hot(best, ["b"]), spread_by=["a"])
-    near = skew_join(near, facts.toDF("a", "n_a", "sketch_a"), ["a"], hot_left=find_hot(best, ["a"]), spread_by=["b"])
-    near = materialize(near.where(_near("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b"), "near")
-    found, tried = _verified(docs, nodes, near), best
+    best = materialize(few_files(best, rows), "best")
+    rows = best.count()
+    near = skew_join(best, facts.toDF("b", "n_b", "sketch_b"), ["b"], hot_left=find_hot(best, ["b"], rows=rows), spread_by=["a"])
+    near = skew_join(near, facts.toDF("a", "n_a", "sketch_a"), ["a"], hot_left=find_hot(best, ["a"], rows=rows), spread_by=["b"])
+    near = materialize(few_files(near, rows, SETS).where(_near("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b"), "near")
+    found, tried = _verified(sets, near), best
+    labels = components(found)
 
     def opened(some: DataFrame | None = None) -> DataFrame:
         rows = shared.select("signature", "node")
         rows = rows if some is None else rows.join(some, "node", "left_semi")
-        return _open(rows.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node")))
+        return _open(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
 
     open_ = opened()
     for turn in range(TURNS):
         if open_.where(F.col("others") + F.col("majors") > BLOCK).isEmpty():
             break
         probed = materialize(_probed(open_, facts, turn).join(tried, ["a", "b"], "left_anti").select("a", "b"), "probed")
-        more = _verified(docs, nodes, probed)
+        more = _verified(sets, probed)
         tried = tried.union(probed)
-        if more.isEmpty():
+        joined = more.count()
+        if not joined:
             break
         found = found.union(more)
+        labels = components(found)
         open_ = opened()
+        if 4 * joined < labels.count():  # another turn would join few
+            break
     k = NEAREST
-    while True:
-        rows = open_.count()
+    while rows := open_.count():
         pairs = materialize(_across(open_, facts, rows, k), "rest")
         rest = pairs.join(tried, ["a", "b"], "left_anti").select("a", "b")
         rest = materialize(rest, "untried")
         release(spark)
-        found, tried = found.union(_verified(docs, nodes, rest)), tried.union(rest)
+        more = _verified(sets, rest)
+        tried = tried.union(rest)
+        if not more.isEmpty():
+            found = found.union(more)
+            labels = components(found)
         cut = pairs.where("cut_a").select(F.col("a").alias("node")).union(pairs.where("cut_b").select("b"))
         if cut.isEmpty():
-            return found
+            break
         # A pair that was left out has two cut sets.
         open_, k = opened(materialize(cut.distinct(), "cut")), 4 * k
+    return labels
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes of docs with doc_id and text, and node, label of those that link."""
     nodes = materialize(nodes_of(docs), "nodes")
-    return nodes, components(links(docs, nodes.where("n_shingles > 0")))
+    return nodes, linked(docs, nodes.where("n_shingles > 0"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -521,7 +606,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     least = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     least = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = least.join(least.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
-    joined = skew_join(nodes.drop("sketch", "key"), materialize(named, "named"), ["node"], "left", hot_left=find_hot(nodes, ["node"]))
+    joined = skew_join(nodes.drop("key"), materialize(named, "named"), ["node"], "left", hot_left=find_hot(nodes, ["node"]))
     return joined.select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )

@@ -107,6 +107,12 @@ def counted(df: DataFrame, label: str = "step") -> tuple[DataFrame, int]:
     return stored, seen.get["rows"]
 
 
+def few_files(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """The frame in about `each` rows a partition, eight partitions at least, if
+    that is fewer: a step of few rows needs no task for each shuffle partition."""
+    return df.coalesce(max(8, -(-rows // each)))
+
+
 def at_once(spark: SparkSession, *steps: Callable[[], T]) -> list[T]:
     """Run steps that do not need each other from threads of the driver, so
     that the cluster can fill idle cores of one with tasks of another."""

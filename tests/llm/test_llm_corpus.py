@@ -109,6 +109,27 @@ def test_many_near_copies_are_compared_in_few_pairs(spark, monkeypatch):
     assert sum(seen.values()) < 4 * len(texts), seen
 
 
+def test_sets_with_few_shared_shingles_are_not_signed(spark, monkeypatch):
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(70)
+    texts = [" ".join(passage + fresh(30)) for _ in range(120)]  # alike, but none links
+    whole = fresh(100)
+    texts += [" ".join(whole), " ".join(whole[1:]), " ".join(whole[:-1])]
+    seen, store = Counter(), jaccard_join.materialize
+
+    def spied(df, label="step"):
+        found = store(df, label)
+        seen[label] = found.select("node").distinct().count() if label == "signatures" else 0
+        return found
+
+    monkeypatch.setattr(jaccard_join, "materialize", spied)
+    monkeypatch.setattr(jaccard_join, "CHUNK_SHINGLES", 500, raising=False)  # equal shingles in many chunks
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.op10(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(plain_components([plain_set(t) for t in texts])))
+    assert seen["signatures"] == 3
+
+
 def test_keep_one_keeps_columns(spark):
     docs = docs_of(spark, corpus())
     kept = jaccard_join.keep_one(docs)
