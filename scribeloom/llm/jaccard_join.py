@@ -55,8 +55,8 @@ BLOCK = 256  # sets of a key compared with as many others at once
 FEW_NODES = 200_000  # names that are broadcast
 SETS = 2_000  # sets, or pairs of them, in a task
 MEMBERS = 100_000  # rows of sets in a task
-PAIRS = 500_000  # pairs of sets in memory at once
-PAIR_BYTES = 64 << 20  # of sketches compared at once
+PAIRS = 125_000  # pairs of sets in memory at once
+PAIR_BYTES = 8 << 20  # of sketches compared at once
 LEADERS = 3  # of a signature
 TURNS = 2  # at most, in which sets of large keys are compared with one block
 NEAREST = 4  # sets that each set is compared with by all shingles, at first

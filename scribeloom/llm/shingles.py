@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-CHUNK = 1 << 20  # bytes hashed at once
+CHUNK = 1 << 18  # bytes hashed at once
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(P), -1, 1 << 64))
