@@ -33,6 +33,7 @@ CACHED_WORDS = 1_000_000
 GROUP_CHARS = 1 << 20  # characters whose new words are learned together
 END = 1  # appended to each document
 STEM = re.compile(r"([^\W\d_]+)([.,;:!?#*%$&()|-]*)")
+MARKS = re.compile("[^\x00-\u02ff]")  # no mark that joins a letter is below
 SHARD_SCHEMA = "shard long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, matrix binary"
 
 
@@ -60,14 +61,14 @@ class WaveletMatrix:
         level = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         out, pack = [MAGIC, struct.pack("<QI", len(ids), bits)], zstandard.ZstdCompressor(level=1)
         for bit in range(bits - 1, -1, -1):
-            ones = ((level >> bit) & 1).astype(bool)
+            ones = (level & level.dtype.type(1 << bit)) != 0
             plane = np.packbits(ones)
             starts = np.arange(0, len(plane), BLOCK // 8)
             sums = np.add.reduceat(np.bitwise_count(plane), starts, dtype=np.uint64) if len(plane) else np.zeros(0, np.uint64)
             ranks = np.concatenate([np.zeros(1, np.uint64), np.cumsum(sums, dtype=np.uint64)])
             a, b = pack.compress(plane.tobytes()), pack.compress(ranks.tobytes())
             out += [struct.pack("<QQQ", len(ids) - int(ranks[-1]), len(a), len(b)), a, b]
-            level = np.concatenate([level[~ones], level[ones]])
+            level = np.concatenate([np.compress(~ones, level), np.compress(ones, level)])
         return b"".join(out)
 
     def _rank1(self, k: int, i: int) -> int:
@@ -132,8 +133,8 @@ class WaveletMatrix:
         for k in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self._planes[k], count=self.size).astype(bool)
             above = np.empty_like(ids)
-            above[~ones] = ids[: self._zeros[k]]
-            above[ones] = ids[self._zeros[k] :] | ids.dtype.type(1 << (self.bits - 1 - k))
+            above[np.flatnonzero(~ones)] = ids[: self._zeros[k]]
+            above[np.flatnonzero(ones)] = ids[self._zeros[k] :] | ids.dtype.type(1 << (self.bits - 1 - k))
             ids = above
         return ids
 
@@ -175,6 +176,7 @@ class Words:
         self._stems: dict[str, bytes] = {}
         self._end = np.array([END], self.dtype).tobytes()
         vocabulary = self._tokenizer.get_vocab()
+        self._special = [t.content.lower() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self._closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
@@ -209,6 +211,13 @@ class Words:
         stems = self._stems
         self._known.update((w, stems[a] + stems[b] if b else stems[a]) for w, (a, b) in zip(words, parts, strict=True))
 
+    def _small(self, text: str) -> str:
+        """The text with A-Z as a-z. The tokenizer does that as well, but after
+        it has found special tokens and joined letters and marks; texts that may
+        hold these stay as they are."""
+        small = text.encode().lower().decode()
+        return text if MARKS.search(text) or any(t in small for t in self._special) else small
+
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_all([text]))
 
@@ -216,7 +225,7 @@ class Words:
         """Ids of each text, new words of about GROUP_CHARS characters at a time."""
         group, held = [], 0
         for text in texts:
-            group.append(split_words(text or ""))
+            group.append(split_words(self._small(text or "")))
             held += len(text or "")
             if held >= GROUP_CHARS:
                 yield from self._group(group)
@@ -230,7 +239,7 @@ class Words:
             known[""] = b""
         if len(self._stems) > CACHED_WORDS:
             self._stems.clear()
-        new = {w for words in texts for w in words if w not in known}
+        new = set().union(*texts).difference(known)
         if new:
             self._learn(list(new))
         for words in texts:

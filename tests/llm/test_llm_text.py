@@ -289,3 +289,11 @@ def test_words_of_texts_with_odd_white_space_equal_the_library(monkeypatch):
     words = token_files.Words(path)
     own = [np.frombuffer(b, words.dtype).tolist() for t in texts for b in [words.encode(t)]]
     assert own == [words._tokenizer.encode(t, add_special_tokens=False).ids + [token_files.END] for t in texts]
+
+
+def test_capitals_are_learned_once_and_marks_join_as_in_the_library():
+    words = token_files.Words(tokenizer_path("word_bpe_49k.json"))
+    texts = ["Alpha alpha ALPHA \u00c9t\u00e9 \u00c9T\u00c9", "H\u0331 T\u0308 W\u030a Y\u030a J\u030c \u0391\u03a3 Ab", None]
+    got = [np.frombuffer(b, words.dtype).tolist() for b in words.encode_all(texts)]
+    assert got == [words._tokenizer.encode(t or "", add_special_tokens=False).ids + [token_files.END] for t in texts]
+    assert {"alpha", "Alpha", "ALPHA"} & set(words._known) == {"alpha"}
