@@ -336,6 +336,27 @@ def test_search_equals_brute_force(spark, monkeypatch, pruned):
     assert bm25.search(docs.limit(0), docs.limit(0)).count() == 0
 
 
+def test_queries_meet_many_shards_without_a_shuffle(spark, monkeypatch):
+    """Null and repeated ids, ties over shards, blocks of queries: as with one shard, and
+    a task gives the best k of all its shards."""
+    texts = corpus(n=60)
+    rows = [(i % 50 if i % 7 else None, t) for i, t in enumerate(texts)] + [(100 + i, "same words here") for i in range(30)] + [(7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = docs.where("doc_id % 10 = 0 or doc_id is null")
+    one = sorted(map(str, bm25.search(docs, queries, k=5).collect()))
+    for name, value in (("SHARD_BYTES", 2000), ("QUERY_TERMS", 100), ("BLOCK", 2), ("FIRST_BLOCKS", 1)):
+        monkeypatch.setattr(bm25, name, value)
+    stored, keep = {}, bm25.materialize
+    monkeypatch.setattr(bm25, "materialize", lambda df, label: stored.setdefault(label, []).append(keep(df, label)) or stored[label][-1])
+    found = bm25.search(docs, queries, k=5)
+    assert sorted(map(str, found.collect())) == one
+    assert "CoGroup" not in found._jdf.queryExecution().toString()
+    shards, tasks = stored["index"][0].count(), stored["index"][0].rdd.getNumPartitions()
+    asked = queries.where("text is not null and text <> ''").distinct().count()
+    assert len(stored["found"]) > 3 and shards > tasks
+    assert 0 < sum(f.count() for f in stored["found"]) <= asked * tasks
+
+
 def test_url_rules_by_date(spark):
     rows = [("d:a.org", "2024-01-05", True, 1), ("d:a.org", "2024-03-05", False, 2), ("d:a.org", "2024-03-05", True, 3), ("d:a.org", "2024-04-01", False, 4),
             ("f:b.a.org/x", "2024-02-01", True, 5), (None, "2024-01-01", True, 6), ("d:c.org", None, True, 7)]
